@@ -16,7 +16,8 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
     span = end - start
 
     def part(field: str, micros: int) -> Column:
-        return (F.extract(F.lit(field), span) * F.lit(micros)).cast("bigint")
+        value = F.extract(F.lit(field), span).cast("decimal(20,6)")
+        return (value * F.lit(micros)).cast("bigint")
 
     return (
         part("DAY", 86_400_000_000)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-from panewise.operators.running import HOT_ROWS, number_rows
+from panewise.operators.running import BITS, HOT_ROWS, number_rows
 
 # Sorts before any real row, so a state carried in never wins over a newer payload.
 _BEFORE_ALL = -(1 << 63)
@@ -18,6 +20,7 @@ def running_counter(
     initial: DataFrame | None = None,
     strict: bool = False,
     hot_rows: int | None = HOT_ROWS,
+    bits: Sequence[int] = BITS,
 ) -> DataFrame:
     """One row `key, n, payload` per input row: n counts the key's rows so far, by `order_by`.
 
@@ -26,7 +29,7 @@ def running_counter(
     """
     needed = rows.select(key, order_by, payload)
     state = None if initial is None else initial.select(key, "n")
-    counted = number_rows(needed, [key], order_by, "n", state, hot_rows)
+    counted = number_rows(needed, [key], order_by, "n", state, hot_rows, bits)
     shown = F.lit(0).cast(rows.schema[key].dataType) if strict else F.col(key)
     return counted.select(shown.alias(key), "n", payload)
 

@@ -29,6 +29,11 @@ def number_words(lines: DataFrame, column: str, order_by: str) -> DataFrame:
     return placed.select((F.col("__before") + F.col("__at") + 1).alias("seq"), "word")
 
 
+def total_words(lines: DataFrame, column: str) -> Column:
+    """Number of words of all lines, as a scalar subquery."""
+    return lines.agg(F.sum(F.size(split_words(column)))).scalar()
+
+
 def pane_histogram(
     numbered: DataFrame, word: str, size: int, slide: int, total: Column, seq: str = "seq"
 ) -> DataFrame:
