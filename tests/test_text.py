@@ -19,7 +19,7 @@ LINES = {
     "a  b": ["a", "", "b"],
     "a b c  ": ["a", "b", "c"],
     "a\tb\x0bc": ["a", "b", "c"],
-    "a b": ["a b"],
+    "a\u00a0b": ["a\u00a0b"],
     "x": ["x"],
 }
 
