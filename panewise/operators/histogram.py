@@ -9,29 +9,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panewise.functions.arith import div
 from panewise.functions.checks import positive
 from panewise.functions.text import split_words
-from panewise.operators.running import number_all_rows, running_sum
+from panewise.operators.running import number_all_rows, running_sum, total_weight
+
+
+# Lines are long, so fewer of them make a chunk: 2^8 lines, then 2^18 and 2^19 totals.
+LINE_BITS = (8, 18, 19)
+
+# With no more panes per row than this, counting in slices first costs more than it saves.
+FEW_PANES = 8
 
 
 def histogram(rows: DataFrame, word: str, into: str = "cnt") -> DataFrame:
     return rows.groupBy(word).agg(F.count(F.lit(1)).alias(into))
 
 
+def _words(lines: DataFrame, column: str, order_by: str) -> DataFrame:
+    return lines.select(order_by, split_words(column).alias("__words"))
+
+
 def number_words(lines: DataFrame, column: str, order_by: str) -> DataFrame:
     """`seq, word`: the words of all lines, numbered 1, 2, 3, ... in line order.
 
     Only lines are ordered, with their word counts as weights; a word's number is its place in its
     line after the words of all lines before.
     """
-    words = lines.select(order_by, split_words(column).alias("__words"))
-    counts = running_sum(words, order_by, F.size("__words"), "__upto")
+    words = _words(lines, column, order_by)
+    summed = running_sum(words, order_by, F.size("__words"), "__upto", bits=LINE_BITS)
     before = F.col("__upto") - F.size("__words")
-    placed = counts.select(before.alias("__before"), F.posexplode("__words").alias("__at", "word"))
+    placed = summed.select(before.alias("__before"), F.posexplode("__words").alias("__at", "word"))
     return placed.select((F.col("__before") + F.col("__at") + 1).alias("seq"), "word")
 
 
-def total_words(lines: DataFrame, column: str) -> Column:
-    """Number of words of all lines, as a scalar subquery."""
-    return lines.agg(F.sum(F.size(split_words(column)))).scalar()
+def total_words(lines: DataFrame, column: str, order_by: str) -> Column:
+    """Number of words of all lines, as a scalar subquery that shares the counts of `number_words`."""
+    words = _words(lines, column, order_by)
+    return total_weight(words, order_by, F.size("__words"), LINE_BITS)
 
 
 def pane_histogram(
@@ -39,13 +51,21 @@ def pane_histogram(
 ) -> DataFrame:
     """`pane, word, cnt`: word counts of the panes of a stream numbered 1..total by `seq`.
 
-    Pane j holds the last `size` rows up to row j * slide. Rows are first counted per slice, the
-    longest run of rows that always share their panes, and slices are then sent to their panes.
+    Pane j holds the last `size` rows up to row j * slide. If a row has many panes, rows are first
+    counted per slice, the longest run of rows that always share their panes, and slices are then
+    sent to their panes.
     """
     positive(size=size, slide=slide)
     run = gcd(size, slide)
-    cut = div(F.col(seq) - 1, run)
-    slices = numbered.groupBy(cut.alias("__slice"), word).agg(F.count(F.lit(1)).alias("__cnt"))
+    if run == 1 or size <= FEW_PANES * slide:
+        run = 1
+        slices = numbered.select(
+            (F.col(seq) - 1).alias("__slice"), word, F.lit(1).cast("bigint").alias("__cnt")
+        )
+    else:
+        slices = numbered.groupBy(div(F.col(seq) - 1, run).alias("__slice"), word).agg(
+            F.count(F.lit(1)).alias("__cnt")
+        )
     start = F.col("__slice") * run
     first = div(start + (run + slide - 1), slide)
     last = F.least(div(start + size, slide), div(total, slide))
@@ -55,8 +75,9 @@ def pane_histogram(
 
 def stream_histogram(rows: DataFrame, word: str, order_by: str, size: int, slide: int) -> DataFrame:
     """`pane_histogram` of a table read in the order of a unique integer column."""
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    numbered = number_all_rows(rows.select(order_by, word), order_by, "__seq")
+    needed = rows.select(order_by, word)
+    total = total_weight(needed, order_by, F.lit(1))
+    numbered = number_all_rows(needed, order_by, "__seq")
     return pane_histogram(numbered, word, size, slide, total, "__seq")
 
 

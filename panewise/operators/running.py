@@ -59,14 +59,8 @@ def running_sum(
     if not bits:
         weighted = weighted.withColumn(chunk, F.lit(None).cast("bigint"))
     else:
-        place = F.shiftright(F.col(order_by).cast("bigint"), bits[0])
-        place = place if split is None else F.when(split, place)
-        weighted = weighted.withColumn(chunk, place)
-        totals = (
-            weighted.where(F.col(chunk).isNotNull())
-            .groupBy(*keys, chunk)
-            .agg(F.sum(own).alias("__total"))
-        )
+        weighted = weighted.withColumn(chunk, _chunk(order_by, split, bits[0]))
+        totals = chunk_totals(rows, order_by, weight, keys, split, bits[0], chunk)
         upto = running_sum(
             totals, chunk, F.col("__total"), into, keys, None, initial, bits[1:]
         )
@@ -89,6 +83,38 @@ def running_sum(
     )
 
 
+def _chunk(order_by: str, split: Column | None, bits: int) -> Column:
+    place = F.shiftright(F.col(order_by).cast("bigint"), bits)
+    return place if split is None else F.when(split, place)
+
+
+def chunk_totals(
+    rows: DataFrame,
+    order_by: str,
+    weight: Column,
+    keys: Sequence[str],
+    split: Column | None,
+    bits: int,
+    chunk: str,
+) -> DataFrame:
+    """`keys..., chunk, __total`: the weight of every chunk.
+
+    Everything above it builds on this one aggregate in the same form, so Spark runs it once and
+    reuses its exchange: the levels of a running sum cost no further pass over the rows.
+    """
+    cut = rows if split is None else rows.where(split)
+    place = _chunk(order_by, None, bits).alias(chunk)
+    return cut.groupBy(*keys, place).agg(F.sum(weight.cast("bigint")).alias("__total"))
+
+
+def total_weight(
+    rows: DataFrame, order_by: str, weight: Column, bits: Sequence[int] = BITS
+) -> Column:
+    """The weight of the whole table as a scalar subquery, from the chunk totals of `running_sum`."""
+    totals = chunk_totals(rows, order_by, weight, [], None, bits[0], _scratch("chunk", len(bits)))
+    return totals.agg(F.sum("__total")).scalar()
+
+
 def hot_keys(
     rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, limit: int = MAX_HOT_KEYS
 ) -> DataFrame:
@@ -157,7 +183,7 @@ def rows_at(
     are sorted and the table itself is never shuffled.
     """
     chunked = rows.withColumn("__chunk", F.shiftright(F.col(order_by).cast("bigint"), bits[0]))
-    totals = chunked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__total"))
+    totals = chunk_totals(rows, order_by, F.lit(1), [], None, bits[0], "__chunk")
     upto = running_sum(totals, "__chunk", F.col("__total"), "__upto", bits=bits[1:])
     before = F.col("__upto") - F.col("__total")
     wanted = [(before < p) & (F.col("__upto") >= p) for p in positions]

@@ -62,8 +62,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return io.read_table(spark, f"{sf_dir}/documents.parquet", *columns, spread=True)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_table(spark, f"{sf_dir}/orders.parquet", "o_orderkey", spread=True)
 
 
 def cents(rows: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def below_sql(draw: str, bound: str) -> str:
 
 @register("word_count", f"select word, count(*) as cnt from ({WORDS}) group by word")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram.histogram(tokenize(documents(spark, sf_dir), "text"), "word")
+    return histogram.histogram(tokenize(documents(spark, sf_dir, "text"), "text"), "word")
 
 
 @register(
@@ -158,7 +162,7 @@ def word_count_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("count_window_words", pane_counts_sql(WORDS, "word", 10, 3))
 def count_window_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tokenize(documents(spark, sf_dir), "text")
+    words = tokenize(documents(spark, sf_dir, "text"), "text")
     return windows.count_window_counts(words, ["word"], 10, 3)
 
 
@@ -168,7 +172,7 @@ def count_window_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"({pane_counts_sql(WORDS, 'word', 10, 3)}) where word = 'the'",
 )
 def window_word_count_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.window_word_count(documents(spark, sf_dir), 10, 3, word="the", column="text")
+    return jobs.window_word_count(documents(spark, sf_dir, "text"), 10, 3, word="the", column="text")
 
 
 def _count_window(size: int, slide: int) -> Run:
@@ -274,10 +278,10 @@ def pane_bottomk_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     "as r from h) where r <= 3",
 )
 def pane_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = documents(spark, sf_dir)
+    lines = documents(spark, sf_dir, "doc_id", "text")
     numbered = histogram.number_words(lines, "text", "doc_id")
     panes = histogram.pane_histogram(
-        numbered, "word", 5000, 2500, histogram.total_words(lines, "text")
+        numbered, "word", 5000, 2500, histogram.total_words(lines, "text", "doc_id")
     )
     return histogram.top_words(panes, "word", 3)
 
@@ -384,8 +388,8 @@ def zipf_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return zipf.draw_words(orders, "o_orderkey", _parts(spark, sf_dir), 1.0, draw=md5_draw)
+    rows = orders(spark, sf_dir)
+    return zipf.draw_words(rows, "o_orderkey", _parts(spark, sf_dir), 1.0, draw=md5_draw)
 
 
 @register("zipf_words", f"{DRAWN} select o_orderkey, rank, word from d")
@@ -411,8 +415,7 @@ def zipf_count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def key_payload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").count()
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return generate.key_payloads(orders, "o_orderkey", customers, 8, draw=md5_draw)
+    return generate.key_payloads(orders(spark, sf_dir), "o_orderkey", customers, 8, draw=md5_draw)
 
 
 # Throughput -----------------------------------------------------------------------------------

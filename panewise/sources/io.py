@@ -18,6 +18,21 @@ PRODUCER = {
 }
 
 
+def read_table(spark: SparkSession, path: str, *columns: str, spread: bool = False) -> DataFrame:
+    """The named columns (default all) of a Parquet table.
+
+    With `spread`, a scan with fewer splits than there are cores is shuffled once, so that all cores
+    share the work on its rows. So few splits are little data (a split has 128 MB unless set
+    otherwise); a large table has more splits than cores and is left as it is.
+    """
+    rows = spark.read.parquet(path)
+    rows = rows.select(*columns) if columns else rows
+    cores = spark.sparkContext.defaultParallelism
+    if spread and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
+
+
 def _line(lines: DataFrame) -> DataFrame:
     value = F.col("value")
     bare = F.when(value.endswith("\r"), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)

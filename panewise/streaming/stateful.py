@@ -34,7 +34,7 @@ class CounterState(StatefulProcessor):
         self._state = handle.getValueState("counter", "n BIGINT, last STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, last = self._state.get() if self._state.exists() else (0, "")
+        n, last = self._state.get() or (0, "")
         for batch in rows:
             if self._order_by is not None:
                 batch = batch.sort_values(self._order_by, kind="stable")
@@ -77,7 +77,7 @@ class CountPaneState(StatefulProcessor):
         self._state = handle.getValueState("seen", "n BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._state.get()[0] if self._state.exists() else 0
+        (before,) = self._state.get() or (0,)
         now = before + sum(int(batch["rows_seen"].sum()) for batch in rows)
         self._state.update((now,))
         first, last = before // self._slide + 1, now // self._slide
@@ -124,8 +124,9 @@ class ReducePaneState(StatefulProcessor):
         self._last = handle.getValueState("last", "tail ARRAY<BIGINT>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self._seen.get()[0] if self._seen.exists() else 0
-        tail = np.asarray(self._last.get()[0] if self._last.exists() else [], dtype=np.int64)
+        (n,) = self._seen.get() or (0,)
+        (tail,) = self._last.get() or ([],)
+        tail = np.asarray(tail, dtype=np.int64)
         reduce = _REDUCE[self._how]
         for batch in rows:
             if self._order_by is not None:

@@ -49,7 +49,7 @@ def test_words_of_lines(spark):
     numbered = number_words(df, "value", "o")
     got = [(r.seq, r.word) for r in numbered.orderBy("seq").collect()]
     assert got == list(enumerate(["x", "y", "", "y", "", "z", "x"], 1))
-    panes = pane_histogram(numbered, "word", 4, 3, total_words(df, "value"))
+    panes = pane_histogram(numbered, "word", 4, 3, total_words(df, "value", "o"))
     assert {(r.pane, r.word): r.cnt for r in panes.collect()} == {
         (1, "x"): 1, (1, "y"): 1, (1, ""): 1, (2, ""): 2, (2, "y"): 1, (2, "z"): 1
     }
