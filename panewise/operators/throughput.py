@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panewise.functions.arith import div, floor_div
 from panewise.functions.checks import positive
@@ -52,10 +52,13 @@ def warm_mean(measured: DataFrame, ms: int, runs: int = RUNS, warm_up: int = WAR
     without a break: a stretch without rows is a run at rate 0.
     """
     positive(ms=ms, runs=runs, warm_up=warm_up, measured_runs=runs - warm_up)
-    since = micros_between(measured.agg(F.min("start")).scalar(), "start")
-    run = div(since, ms * 1000) + 1
-    counted = F.sum(F.when((run > warm_up) & (run <= runs), F.col("n")).otherwise(F.lit(0)))
-    return measured.agg((counted / F.lit((runs - warm_up) * ms / 1000.0)).alias("thp"))
+    # The measured runs are among the first `runs` stretches, however many there are.
+    first = measured.orderBy("start").limit(runs)
+    since = micros_between(F.min("start").over(Window.partitionBy()), "start")
+    numbered = first.select("n", (div(since, ms * 1000) + 1).alias("__run"))
+    timed = (F.col("__run") > warm_up) & (F.col("__run") <= runs)
+    counted = F.sum(F.when(timed, F.col("n")).otherwise(F.lit(0)))
+    return numbered.agg((counted / F.lit((runs - warm_up) * ms / 1000.0)).alias("thp"))
 
 
 def until_idle(
@@ -70,8 +73,9 @@ def until_idle(
     The rate is that of `given` rows if set, else of the rows seen.
 
     Rows are first folded into buckets as long as the pause: rows of one bucket always belong
-    together, so the session merge reads buckets, not rows. Buckets merge within long stretches of
-    time first, which leaves the last merge only what crosses stretches or is a session anyway.
+    together, so the session merge reads buckets, not rows. Buckets are then merged within long
+    stretches of time. Only the first and last span of a stretch can go on in another one, so the
+    merge over all time reads at most two spans per 65,536 pauses.
     """
     positive(idle_ms=idle_ms)
     pause = idle_ms * 1000
@@ -82,8 +86,15 @@ def until_idle(
         .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("start"), F.max(ts).alias("end"))
     )
     stretch = floor_div(F.col("__bucket"), _BUCKETS_PER_STRETCH)
-    near = _merge(buckets.withColumn("__stretch", stretch), [*by, "__stretch"], pause)
-    sessions = _merge(near, by, pause)
+    spans = _merge(buckets.withColumn("__stretch", stretch), [*by, "__stretch"], pause)
+    of_stretch = Window.partitionBy(*by, "__stretch")
+    edge = (F.col("start") == F.min("start").over(of_stretch)) | (
+        F.col("end") == F.max("end").over(of_stretch)
+    )
+    spans = spans.withColumn("__edge", edge)
+    columns = [*by, "start", "end", "n"]
+    inner = spans.where(~F.col("__edge")).select(*columns)
+    sessions = inner.unionByName(_merge(spans.where("__edge"), by, pause).select(*columns))
     counted = F.lit(given) if given is not None else F.col("n")
     return sessions.select(
         *by, "start", "end", "n", rate(counted, seconds_between("start", "end")).alias("thp")

@@ -356,7 +356,8 @@ def text_file_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written to text files and read back, numbered in the order they are read."""
     path = working_dir(spark, "lines")
     io.write_lines(key_payload_lines(events(spark, sf_dir)), path)
-    records = parse_key_payload(io.read_lines(spark, path, order="line"), keep=("line",))
+    lines = io.read_lines(spark, path, order="line")
+    records = io.written(parse_key_payload(lines, keep=("line",)), "records")
     return counter.running_counter(records, "key", "line", "payload").select("key", "n")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from panewise.session import working_dir
+
 # Topics, consumer group and client settings of the measured set-up.
 WORD_TOPIC = "word"
 RESULT_TOPIC = "result"
@@ -33,6 +35,13 @@ def read_table(spark: SparkSession, path: str, *columns: str, spread: bool = Fal
     return rows
 
 
+def written(rows: DataFrame, purpose: str = "rows") -> DataFrame:
+    """The rows read back from a table in the shared working folder: fixed, and without lineage."""
+    path = working_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _line(lines: DataFrame) -> DataFrame:
     value = F.col("value")
     bare = F.when(value.endswith("\r"), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
@@ -43,7 +52,8 @@ def read_lines(spark: SparkSession, path: str, order: str | None = None) -> Data
     """`value STRING`, one row per line, without a carriage return at its end.
 
     With `order`, a unique BIGINT of that name follows the lines of each file split; Spark decides
-    the order of splits.
+    the order of splits. How files are split may change with the size of the cluster, so give the
+    lines to `written` before operators that read them more than once.
     """
     lines = _line(spark.read.text(path, lineSep="\n"))
     return lines if order is None else lines.withColumn(order, F.monotonically_increasing_id())

@@ -26,6 +26,31 @@ def test_order_follows_a_file(spark, tmp_path):
     assert [int(r.value) for r in got] == list(range(5000))
 
 
+def test_written_rows_keep_their_order_column(spark, tmp_path):
+    path = tmp_path / "in.txt"
+    path.write_text("".join(f"{i}\n" for i in range(100)))
+    rows = io.written(io.read_lines(spark, str(path), order="seq"))
+    assert [int(r.value) for r in rows.orderBy("seq").collect()] == list(range(100))
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    path = str(tmp_path / "table")
+    spark.range(1000).withColumn("x", F.lit(1)).coalesce(1).write.parquet(path)
+    spread = io.read_table(spark, path, "id", spread=True)
+    assert spread.columns == ["id"] and spread.rdd.getNumPartitions() == max(cores, 1)
+    assert io.read_table(spark, path).rdd.getNumPartitions() == 1
+    many = str(tmp_path / "many")
+    spark.range(10_000).repartition(4 * cores).write.parquet(many)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        kept = io.read_table(spark, many, spread=True)
+        assert "RoundRobin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.rdd.getNumPartitions() == 4 * cores
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_messages_are_text(spark):
     raw = spark.createDataFrame([(None, b"a"), (b"k", b"b")], "key binary, value binary")
     raw = raw.withColumn("offset", F.lit(1))

@@ -99,12 +99,21 @@ def test_rows_at(spark):
 def test_hot_keys_are_the_largest(spark):
     rows = some_rows(ORDERS["dense"])
     df = keyed(spark, rows)
-    assert [r.key for r in hot_keys(df, ["key"], 50, limit=1).collect()] == ["hot"]
-    marked = mark_hot(df, ["key"], "is_hot", 50)
+    assert [r.key for r in hot_keys(df, ["key"], "o", 50, limit=1).collect()] == ["hot"]
+    marked = mark_hot(df, ["key"], "o", "is_hot", 50)
     assert {r.key for r in marked.where("is_hot").collect()} == {"hot", None}
     assert marked.count() == len(rows)
 
 
+def test_hot_keys_from_some_rows(spark):
+    key = F.when(F.col("id") % 3 == 0, "third").otherwise((F.col("id") % 5000).cast("string"))
+    df = spark.range(200_000).select(F.col("id").alias("o"), key.alias("key"))
+    hot = hot_keys(df, ["key"], "o", 20_000)
+    assert [r.key for r in hot.collect()] == ["third"]
+    numbered = number_rows(df, ["key"], "o", hot_rows=20_000, bits=(10, 4))
+    assert numbered.exceptAll(number_rows(df, ["key"], "o", hot_rows=None)).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 3, 100])
 def test_explode_range(spark, block):
     df = spark.createDataFrame([("a", 1, 10), ("b", 5, 5), ("c", 3, 2)], "k string, f bigint, t bigint")
