@@ -8,16 +8,21 @@ payload meets which n, which values share a pane) is only as good as the arrival
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panewise.functions.checks import one_of, positive
 
+# Send the classes below to Python workers as code, as workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Panes per output batch, so that a hot key's panes never sit in memory together.
 _OUT_ROWS = 100_000
 

@@ -1,9 +1,12 @@
 import os
+import subprocess
+import sys
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import TESTDATA
 from panewise.operators import count_window as windows
 from panewise.operators import counter, throughput
 from panewise.plans import jobs
@@ -239,3 +242,22 @@ def test_timed_write(spark, tmp_path):
     rows = spark.range(1000)
     got = timed_write(spark, 1000, lambda: rows.write.parquet(str(tmp_path / "out"))).first()
     assert got.rows == 1000 and got.thp == pytest.approx(1000 / got.seconds)
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """A driver that found the package by `sys.path` alone, started from another folder."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "driver.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from panewise.session import local_session\n"
+        "from panewise.plans.registry import QUERIES\n"
+        "spark = local_session(2, memory='2g')\n"
+        "for name in ('stream_count_window', 'stream_running_counter_state'):\n"
+        f"    print(name, QUERIES[name].run(spark, {TESTDATA + '/sf0.001'!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "stream_running_counter_state 1000" in done.stdout, done.stderr[-2000:]
