@@ -39,11 +39,23 @@ def count_window_counts(
     """
     positive(size=size, slide=slide)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    panes = div(F.col("__rows"), slide)
-    fired = explode_range(
-        totals.where(F.col("__rows") >= slide).withColumn("__panes", panes),
-        F.lit(1), F.col("__panes"), "__pane",
-    )
+    totals = totals.withColumn("__before", F.lit(0).cast("bigint"))
+    return panes_between(totals, keys, "__before", "__rows", size, slide, into)
+
+
+def panes_between(
+    seen: DataFrame,
+    keys: Sequence[str],
+    before: str,
+    now: str,
+    size: int,
+    slide: int,
+    into: str = "cnt",
+) -> DataFrame:
+    """`keys..., n, into`: the panes that fire as each key's rows grow from `before` to `now`."""
+    first, last = div(F.col(before), slide) + 1, div(F.col(now), slide)
+    growth = seen.where(first <= last).select(*keys, first.alias("__from"), last.alias("__to"))
+    fired = explode_range(growth, F.col("__from"), F.col("__to"), "__pane")
     n = F.col("__pane") * slide
     return fired.select(*keys, n.alias("n"), F.least(n, F.lit(size)).cast("bigint").alias(into))
 

@@ -513,6 +513,16 @@ def stream_count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, counts)
 
 
+@register("stream_count_window_batches", pane_counts_sql("select user_id from events", "user_id", 10, 3))
+def stream_count_window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = working_dir(spark, "stream")
+    writer = microbatch.count_window_counts(
+        event_stream(spark, sf_dir), "user_id", 10, 3, f"{path}/rows", f"{path}/checkpoint"
+    )
+    run_to_end(spark, writer)
+    return microbatch.read_output(spark, f"{path}/rows")
+
+
 @register("stream_count_window_sum", sliding_sql("total", 10, 3))
 def stream_count_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = working_dir(spark, "stream")

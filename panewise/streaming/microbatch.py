@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructType
 
 from panewise.functions.checks import one_of, positive
 from panewise.operators import counter
-from panewise.operators.count_window import MERGERS, REDUCERS, to_panes
+from panewise.operators.count_window import MERGERS, REDUCERS, panes_between, to_panes
 from panewise.operators.running import HOT_ROWS, number_rows
 
 BATCH = "batch_id"
@@ -107,6 +107,31 @@ def running_counter(
     return _each_batch(rows, checkpoint, step)
 
 
+def count_window_counts(
+    stream: DataFrame, key: str, size: int, slide: int, output: str, checkpoint: str
+) -> DataStreamWriter:
+    """Write `key, n, cnt` per pane, as the batch form does. State is the rows seen per key."""
+    positive(size=size, slide=slide)
+    rows = stream.select(key)
+    schema = StructType().add(rows.schema[key]).add("n", LongType())
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = _read_state(batch.sparkSession, checkpoint, "seen", batch_id, schema)
+        counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("__before", F.lit(0).cast("bigint"))
+        if before is not None:
+            old = before.withColumn("__before", F.col("n"))
+            counts = counts.unionByName(old).groupBy(key).agg(
+                F.sum("n").alias("n"), F.sum("__before").alias("__before")
+            )
+        # Written once and read back twice: for the panes of this batch and as the next state.
+        seen = _write_state(counts, checkpoint, "counts", batch_id)
+        _write_out(panes_between(seen, [key], "__before", "n", size, slide), output, batch_id)
+        _write_state(seen.select(key, "n"), checkpoint, "seen", batch_id)
+
+    return _each_batch(rows, checkpoint, step)
+
+
 def count_window_reduce(
     stream: DataFrame,
     key: str,

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from panewise.operators.throughput import rate
 from panewise.streaming.state import session_settings, state_profile
 
-MEASURE_SCHEMA = (
-    "batches BIGINT, rows BIGINT, seconds DOUBLE, thp DOUBLE, state_rows BIGINT, state_bytes BIGINT"
-)
-
 # Progress reports Spark keeps for a query; more batches than this and rows would be undercounted.
 _PROGRESS = {"spark.sql.streaming.numRecentProgressUpdates": "100000"}
 
@@ -42,15 +39,35 @@ def measures(
     progress = query.recentProgress
     rows = sum(p["numInputRows"] for p in progress)
     state = progress[-1]["stateOperators"] if progress else []
-    row = (
+    return _measure(
+        spark,
         len(progress),
         rows,
         seconds,
-        (given if given is not None else rows) / seconds if seconds > 0 else None,
+        given if given is not None else rows,
         sum(s["numRowsTotal"] for s in state),
         sum(s["memoryUsedBytes"] for s in state),
     )
-    return spark.createDataFrame([row], MEASURE_SCHEMA)
+
+
+def _measure(
+    spark: SparkSession,
+    batches: int,
+    rows: int,
+    seconds: float,
+    counted: int,
+    state_rows: int = 0,
+    state_bytes: int = 0,
+) -> DataFrame:
+    time_taken = F.lit(seconds).cast("double")
+    return spark.range(1).select(
+        F.lit(batches).cast("bigint").alias("batches"),
+        F.lit(rows).cast("bigint").alias("rows"),
+        time_taken.alias("seconds"),
+        rate(F.lit(counted), time_taken).alias("thp"),
+        F.lit(state_rows).cast("bigint").alias("state_rows"),
+        F.lit(state_bytes).cast("bigint").alias("state_bytes"),
+    )
 
 
 def timed_write(spark: SparkSession, rows: int, write) -> DataFrame:
@@ -58,4 +75,4 @@ def timed_write(spark: SparkSession, rows: int, write) -> DataFrame:
     begin = time.monotonic()
     write()
     seconds = time.monotonic() - begin
-    return spark.createDataFrame([(1, rows, seconds, rows / seconds, 0, 0)], MEASURE_SCHEMA)
+    return _measure(spark, 1, rows, seconds, rows)

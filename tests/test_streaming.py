@@ -162,6 +162,17 @@ def test_microbatch_reduce(spark, events, folder, tmp_path, how, size, slide):
     same(microbatch.read_output(spark, out), want)
 
 
+@pytest.mark.parametrize("size,slide", [(10, 3), (3, 10)])
+def test_microbatch_counts(spark, events, folder, tmp_path, size, slide):
+    out = str(tmp_path / "out")
+    writer = microbatch.count_window_counts(
+        stream(spark, events, folder), "user_id", size, slide, out, str(tmp_path / "checkpoint")
+    )
+    run_to_end(spark, writer)
+    want = windows.count_window_counts(events, ["user_id"], size, slide)
+    same(microbatch.read_output(spark, out), want)
+
+
 def timed(spark, events, folder):
     utc = F.col("ts").cast("timestamp")
     return stream(spark, events, folder).withColumn("ts", utc).withWatermark("ts", "1 hour")
