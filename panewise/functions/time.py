@@ -15,15 +15,14 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
     end = F.col(end) if isinstance(end, str) else end
     span = end - start
 
-    def part(field: str, micros: int) -> Column:
-        value = F.extract(F.lit(field), span).cast("decimal(20,6)")
-        return (value * F.lit(micros)).cast("bigint")
+    def whole(field: str, micros: int) -> Column:
+        return F.extract(F.lit(field), span).cast("bigint") * F.lit(micros).cast("bigint")
 
+    # Seconds come with their fraction, as DECIMAL(8,6).
+    seconds = (F.extract(F.lit("SECOND"), span) * F.lit(1_000_000)).cast("bigint")
     return (
-        part("DAY", 86_400_000_000)
-        + part("HOUR", 3_600_000_000)
-        + part("MINUTE", 60_000_000)
-        + part("SECOND", 1_000_000)
+        whole("DAY", 86_400_000_000) + whole("HOUR", 3_600_000_000) + whole("MINUTE", 60_000_000)
+        + seconds
     )
 
 

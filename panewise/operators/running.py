@@ -35,6 +35,13 @@ def _scratch(name: str, level: int) -> str:
     return f"__{name}{level}"
 
 
+def _ordered(rows: DataFrame, order_by: str) -> DataFrame:
+    """Fail on a row without an order, which would be taken for a carry and lost."""
+    missing = F.raise_error(F.lit(f"null in the order column {order_by}"))
+    order = F.coalesce(F.col(order_by), missing.cast(rows.schema[order_by].dataType))
+    return rows.withColumn(order_by, order)
+
+
 def running_sum(
     rows: DataFrame,
     order_by: str,
@@ -53,7 +60,21 @@ def running_sum(
     bits     a chunk spans 2^bits[0] order values, a chunk of chunk totals 2^bits[1] of those, and
              so on; empty is the plain window
     """
-    keys = list(keys)
+    return _running_sum(
+        _ordered(rows, order_by), order_by, weight, into, list(keys), split, initial, bits
+    )
+
+
+def _running_sum(
+    rows: DataFrame,
+    order_by: str,
+    weight: Column,
+    into: str,
+    keys: list[str],
+    split: Column | None,
+    initial: DataFrame | None,
+    bits: Sequence[int],
+) -> DataFrame:
     levels = len(bits)
     own, chunk = _scratch("weight", levels), _scratch("chunk", levels)
     weighted = rows.withColumn(own, weight.cast("bigint"))
@@ -63,7 +84,7 @@ def running_sum(
     else:
         weighted = weighted.withColumn(chunk, _chunk(order_by, split, bits[0]))
         totals = chunk_totals(rows, order_by, weight, keys, split, bits[0], chunk)
-        upto = running_sum(
+        upto = _running_sum(
             totals, chunk, F.col("__total"), into, keys, None, initial, bits[1:]
         )
         carries.append(upto.select(*keys, chunk, (F.col(into) - F.col("__total")).alias(own)))
@@ -113,6 +134,7 @@ def total_weight(
     rows: DataFrame, order_by: str, weight: Column, bits: Sequence[int] = BITS
 ) -> Column:
     """The weight of the whole table as a scalar subquery, from the chunk totals of `running_sum`."""
+    rows = _ordered(rows, order_by)
     totals = chunk_totals(rows, order_by, weight, [], None, bits[0], _scratch("chunk", len(bits)))
     return totals.agg(F.sum("__total")).scalar()
 
@@ -196,9 +218,10 @@ def rows_at(
     Chunk totals tell which chunks hold the positions (at most one each), so only those few chunks
     are sorted and the table itself is never shuffled.
     """
+    rows = _ordered(rows, order_by)
     chunked = rows.withColumn("__chunk", F.shiftright(F.col(order_by).cast("bigint"), bits[0]))
     totals = chunk_totals(rows, order_by, F.lit(1), [], None, bits[0], "__chunk")
-    upto = running_sum(totals, "__chunk", F.col("__total"), "__upto", bits=bits[1:])
+    upto = _running_sum(totals, "__chunk", F.col("__total"), "__upto", [], None, None, bits[1:])
     before = F.col("__upto") - F.col("__total")
     wanted = [(before < p) & (F.col("__upto") >= p) for p in positions]
     few = upto.where(reduce(lambda a, b: a | b, wanted)).select("__chunk", before.alias("__before"))

@@ -96,6 +96,17 @@ def test_rows_at(spark):
     assert got == {1: ranked[0], 150: ranked[149], 300: ranked[299]}
 
 
+@pytest.mark.parametrize("hot_rows", [None, 1, 10**6])
+def test_a_row_without_an_order_is_not_lost_silently(spark, hot_rows):
+    df = spark.createDataFrame([("a", 1), ("a", None)], "key string, o bigint")
+    with pytest.raises(Exception, match="null in the order column o"):
+        number_rows(df, ["key"], "o", hot_rows=hot_rows).collect()
+    with pytest.raises(Exception, match="null in the order column o"):
+        number_all_rows(df, "o").collect()
+    with pytest.raises(Exception, match="null in the order column o"):
+        rows_at(df, "o", [1]).collect()
+
+
 def test_hot_keys_are_the_largest(spark):
     rows = some_rows(ORDERS["dense"])
     df = keyed(spark, rows)
