@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import packing, token_counts
+from panewise.llm import packing, pii, secrets, token_counts, topk
 from panewise.llm.common import table, working_dir
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,36 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most=2048, end=0)
+
+
+@register("op7_pii_boosting")
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    return secrets.digest_columns(found, pii.KINDS)
+
+
+@register("op9_secret_lexing")
+def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.digest_columns(found, secrets.KINDS)
+
+
+_WHOLE = """select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+    where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+
+@register(
+    "op10_pivot_top_k",
+    f"""with w as ({_WHOLE}),
+    s as (select q.vec_id query_id, x.vec_id vec_id,
+            list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint score
+        from w q join w x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id)
+    select query_id, rank, vec_id, score from (
+        select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+    where rank <= 5""",
+)
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set, every 50th id, against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.filter("vec_id % 50 = 0"), k=5)
