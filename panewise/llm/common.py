@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panewise.session import working_dir
-from panewise.sources.io import written
-
-__all__ = ["table", "written", "working_dir", "word_bytes", "by_size", "same", "ASCII_SPACE"]
+from panewise.session import working_dir  # noqa: F401
+from panewise.sources.io import written  # noqa: F401
 
 # The white space of the contracts' words, as a Java or Python character class.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -25,11 +23,6 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def word_bytes(text: str | None) -> list[bytes]:
-    """The words of a text: bytes.split parts at exactly the six characters of ASCII_SPACE."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one take about `most` bytes; one longer text stays whole."""
     for batch in batches:
@@ -46,3 +39,13 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 
 def partitions_for(rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where inner functions use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def numbers(first: Column, last: Column) -> Column:
+    """first, first + 1, ..., last; empty if last < first."""
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))

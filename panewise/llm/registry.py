@@ -6,9 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panewise.llm import packing, pii, secrets, token_counts, topk
+from panewise.llm import host_rules, line_chunks, packing, pii, secrets, sql, token_counts, topk
 from panewise.llm.common import table, working_dir
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+@register("op3_line_chunks", sql.LINE_CHUNKS)
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.col("line_dedup.n_lines"), F.col("line_dedup.n_removed"))
+
+
 @register("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own per run, so that every count is made here."""
@@ -51,6 +57,11 @@ def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(found, pii.KINDS)
 
 
+@register("op8_host_rules", sql.HOST_RULES)
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @register("op9_secret_lexing")
 def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
