@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panewise.llm import host_rules, line_chunks, packing, pii, secrets, sql, token_counts, topk
+from panewise.llm import host_rules, line_chunks, packing, pii, secrets, sql, token_counts, topk, word_lang
 from panewise.llm.common import table, working_dir
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def register(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+@register("op1_crf_language")
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taught by documents that aren't held out; every text is labelled."""
+    docs = table(spark, sf_dir, "documents")
+    found = word_lang.identify(docs, word_lang.train(word_lang.stretches(docs)))
+    return found.withColumn("held_out", word_lang.held_out(F.col("doc_id")))
+
+
 @register("op3_line_chunks", sql.LINE_CHUNKS)
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -80,7 +80,8 @@ def count_tokens(
     )
     counted = chosen.select("content", "text").mapInArrow(_counter(vocabulary), CACHE)
     counted.write.mode("append").parquet(_folder(cache, vocabulary))
-    counts = rows.join(stored(spark, cache, vocabulary), "content", "left")
-    return counts.select(
+    # Written, so that the last join has two plain sides and a digest with many rows can be split.
+    counts = written(first.select("content").join(stored(spark, cache, vocabulary), "content"), "counts")
+    return rows.join(counts, "content", "left").select(
         F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
