@@ -49,3 +49,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def numbers(first: Column, last: Column) -> Column:
     """first, first + 1, ..., last; empty if last < first."""
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like `name` that isn't among `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -111,19 +111,17 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return gone.groupBy("id", "h").agg(F.collect_set("no").alias("removed"))
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with the repeated chunks out of `text`, and a last column
-    `line_dedup` of (n_lines, n_removed), null for a null text."""
-    gone = repeated(docs, id, text)
-    d, g = docs.withColumn("__h", F.xxhash64(text)).alias("d"), gone.alias("g")
-    joined = d.join(g, same(F.col(f"d.{id}").cast("bigint"), F.col("g.id")) & (F.col("d.__h") == F.col("g.h")), "left")
-    new = F.when(F.col("g.removed").isNotNull(), _without(F.col(f"d.{text}"), F.col("g.removed")))
-    lines = F.size(F.split(F.col(f"d.{text}"), "\n", -1))
-    told = F.struct(
-        F.coalesce(new["n_lines"], lines).cast("bigint").alias("n_lines"),
-        F.coalesce(new["n_removed"], F.lit(0)).cast("bigint").alias("n_removed"),
-    )
-    columns = [
-        F.coalesce(new["text"], F.col(f"d.{text}")).alias(text) if c == text else F.col(f"d.`{c}`") for c in docs.columns
-    ]
-    return joined.select(*columns, F.when(F.col(f"d.{text}").isNotNull(), told).alias("line_dedup"))
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", told: str = "line_dedup") -> DataFrame:
+    """The documents, all columns, with the repeated chunks out of `text`, and a last column `told` of
+    (n_lines, n_removed), null for a null text."""
+    gone = repeated(docs, id, text).select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "removed")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the table meets one of ours
+    d = docs.toDF(*names.values()).withColumn("h", F.xxhash64(names[text]))
+    old = F.col(names[text])
+    joined = d.join(gone, same(F.col(names[id]).cast("bigint"), F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
+    # Kept as one column, so that it is worked out once.
+    joined = joined.withColumn("new", F.when(F.col("removed").isNotNull(), _without(old, F.col("removed"))))
+    n_lines = F.coalesce(F.col("new.n_lines"), F.size(F.split(old, "\n", -1))).cast("bigint").alias("n_lines")
+    n_removed = F.coalesce(F.col("new.n_removed"), F.lit(0)).cast("bigint").alias("n_removed")
+    columns = [(F.coalesce("new.text", old) if c == text else F.col(n)).alias(c) for c, n in names.items()]
+    return joined.select(*columns, F.when(old.isNotNull(), F.struct(n_lines, n_removed)).alias(told))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panewise.llm import host_rules, line_chunks, packing, pii, secrets, sql, token_counts, topk, word_lang
+from panewise.llm import host_rules, line_chunks, near_join, packing, pieces, pii, secrets, sql, token_counts, topk, word_lang
 from panewise.llm.common import table, working_dir
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,11 @@ def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", word_lang.held_out(F.col("doc_id")))
 
 
+@register("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op3_line_chunks", sql.LINE_CHUNKS)
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +59,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, cache, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@register("op5_token_group_join")
+def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 @register("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -95,3 +106,6 @@ def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set, every 50th id, against all rows."""
     rows = table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+QUERIES["pipeline"] = Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

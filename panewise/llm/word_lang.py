@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from panewise.llm.common import by_size
 
@@ -376,6 +377,9 @@ def _label(model: Model, runs: bool):
     return label
 
 
+_FOUND = StructType.fromDDL(
+    "lang_pred string, score double, n_words long, n_runs long, runs array<struct<first:int,n:int,lang:string>>"
+)
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("lang", pa.string())]))
 
 
@@ -383,12 +387,24 @@ def identify(docs: DataFrame, model: Model | None, runs: bool = False, id: str =
     """`id, lang_pred, score, n_words, n_runs` per row; with `runs`, also the stretches of words of one language
     as (first word, words, language). Texts are read and answered in place, without a shuffle."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = f"id {kind}, lang_pred string, score double, n_words long, n_runs long"
-    out += ", runs array<struct<first:int,n:int,lang:string>>" if runs else ""
+    return _identified(rows, model, runs).withColumnRenamed("id", id)
+
+
+def known(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents, all columns, whose language isn't `und`; a null `lang` is filled in with what was found."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id"), F.col(text).alias("text"))
+    found = _identified(rows, model, False).filter(F.col("lang_pred") != UNKNOWN)
+    columns = [F.col("id").getField(c).alias(c) for c in docs.columns]
+    at = docs.columns.index(lang)
+    columns[at] = F.coalesce(F.col("id").getField(lang), F.col("lang_pred")).alias(lang)
+    return found.select(*columns)
+
+
+def _identified(rows: DataFrame, model: Model | None, runs: bool) -> DataFrame:
+    out = StructType([rows.schema["id"], *_FOUND.fields[: None if runs else -1]])
     if model is None:
         nothing = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")]
         nothing += [F.lit(0).cast("bigint").alias(c) for c in ("n_words", "n_runs")]
         nothing += [F.array().cast("array<struct<first:int,n:int,lang:string>>").alias("runs")] if runs else []
-        return rows.select(F.col("id").alias(id), *nothing)
-    return rows.mapInArrow(_label(model, runs), out).withColumnRenamed("id", id)
+        return rows.select("id", *nothing)
+    return rows.mapInArrow(_label(model, runs), out)
