@@ -37,8 +37,9 @@ def parse_key_payload(
 ) -> DataFrame:
     """`key payload [ignored ...]` lines as `key INT, payload STRING` plus the columns in `keep`.
 
-    A line with no integer key or with fewer than two words fails the query, or is dropped with
-    `on_error="drop"`.
+    A line with no integer key or with fewer than two words, and a null one, fails the query, or is dropped
+    with `on_error="drop"`. Every output column checks the whole line, so that a bad line also fails where
+    only some columns are read or rows are filtered by one.
     """
     one_of("on_error", on_error, ("fail", "drop"))
     parts = split_words(column)
@@ -49,11 +50,16 @@ def parse_key_payload(
         return lines.select(*keep, number.alias("key"), payload.alias("payload")).where(
             F.col("key").isNotNull() & F.col("payload").isNotNull()
         )
-    complaint = F.raise_error(F.concat(F.lit("not a `key payload` line: "), F.col(column)))
-    return lines.where(F.col(column).isNotNull()).select(
-        *keep,
-        F.coalesce(number, complaint.cast("int")).alias("key"),
-        F.coalesce(payload, complaint.cast("string")).alias("payload"),
+    good = number.isNotNull() & payload.isNotNull()
+    complaint = F.raise_error(F.concat(F.lit("not a `key payload` line: "), as_text(column)))
+
+    def checked(value: Column, kind) -> Column:
+        return F.when(good, value).otherwise(complaint.cast(kind))
+
+    return lines.select(
+        *[checked(F.col(c), lines.schema[c].dataType).alias(c) for c in keep],
+        checked(number, "int").alias("key"),
+        checked(payload, "string").alias("payload"),
     )
 
 

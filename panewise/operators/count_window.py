@@ -7,7 +7,8 @@ panes are short, and rows after the last multiple never fire. `slide == size` is
 Three forms, by what is asked of a pane:
 
 * `count_window_counts`: only how many rows it has. Needs no order, only a count per key.
-* `count_window`: any Spark aggregate. Each row is sent to its size/slide panes.
+* `count_window`: any Spark aggregate. Each row is sent to its size/slide panes, or with many panes
+  per row seen through a frame over the last rows.
 * `count_window_reduce`: sum, min, max or count, at a cost per row that does not grow with size/slide.
 """
 
@@ -15,16 +16,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panewise.functions.arith import div
 from panewise.functions.checks import one_of, positive
 from panewise.operators.ranges import explode_range
-from panewise.operators.running import HOT_ROWS, number_rows
+from panewise.operators.running import BITS, HOT_ROWS, number_rows
 
 # Up to this many panes per row, sending each row to its panes is cheaper than a second shuffle.
 FEW_PANES = 16
 
+# Rows of a key in one window group of the long form, or the size of the window if that is more.
+FRAME_BLOCK = 1 << 18
+
 REDUCERS = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 # How parts of a pane are put together.
 MERGERS = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}
@@ -79,13 +84,21 @@ def count_window(
     slide: int,
     aggs: Sequence[Column],
     hot_rows: int | None = HOT_ROWS,
+    bits: Sequence[int] = BITS,
 ) -> DataFrame:
     """`keys..., n` and the given aggregates of every pane.
 
-    Aggregates may use the column `n`, the row's number within its key, e.g. `max_by(x, "n")`.
+    Aggregates may use the column `n`, the row's number within its key, e.g. `max_by(x, "n")`. With more
+    than FEW_PANES panes per row, aggregates that are one function each, as `avg("x")`, are seen through a
+    frame; calculations on aggregates are better put after the window, as they make copies of rows.
     """
     positive(size=size, slide=slide)
-    numbered = number_rows(rows, keys, order_by, "n", hot_rows=hot_rows)
+    numbered = number_rows(rows, keys, order_by, "n", hot_rows=hot_rows, bits=bits)
+    if size > FEW_PANES * slide:
+        try:
+            return _framed(numbered, list(keys), size, slide, aggs)
+        except AnalysisException:
+            pass  # not a plain function, or wrong in any form, which the copies then tell
     panes = to_panes(numbered, size, slide, into="__pane")
     grouped = panes.groupBy(*keys, "__pane").agg(F.max("n").alias("__end"), *aggs)
     # A pane is complete once the row it ends at is there.
@@ -93,6 +106,24 @@ def count_window(
     return complete.withColumnRenamed("__end", "n").drop("__pane")
 
 
+def _framed(numbered: DataFrame, keys: list[str], size: int, slide: int, aggs: Sequence[Column]) -> DataFrame:
+    """The aggregates over a frame of the last `size` rows.
+
+    A key's rows are cut into blocks of at least `size`, and a block is handed the last `size` - 1 rows
+    before it: a row is there twice at most, and no key makes a group of more than two blocks.
+    """
+    length = max(size, FRAME_BLOCK)
+    own = div(F.col("n") - 1, length)
+    led = F.when(F.col("n") > (own + 1) * length - (size - 1), own + 1)
+    blocks = numbered.withColumn("__own", own).withColumn("__block", F.explode(F.array_compact(F.array(F.col("__own"), led))))
+    frame = Window.partitionBy(*keys, "__block").orderBy("n").rowsBetween(1 - size, Window.currentRow)
+    names = [f"__agg{i}" for i in range(len(aggs))]
+    shown = numbered.limit(0).groupBy(*keys).agg(*aggs).columns[len(keys) :]
+    framed = blocks.select("*", *[a.over(frame).alias(x) for a, x in zip(aggs, names)])
+    fired = framed.where((F.col("__block") == F.col("__own")) & (F.col("n") % slide == 0))
+    return fired.select(*keys, "n", *[F.col(x).alias(c) for x, c in zip(names, shown)])
+
+
 def count_window_reduce(
     rows: DataFrame,
     keys: Sequence[str],
@@ -114,12 +145,15 @@ def count_window_reduce(
     one_of("how", how, tuple(REDUCERS))
     into = into or how
     keys = list(keys)
-    needed = rows.select(*keys, order_by, value)
+    # The value gets a name of its own, as it may be the order column or a key too.
+    needed = rows.select(*keys, order_by, F.col(value).alias("__value"))
+    value = "__value"
+    reduced = needed.groupBy(*keys).agg(REDUCERS[how](value).alias(into)).schema[into].dataType
     if size <= FEW_PANES * slide:
         return count_window(
             needed, keys, order_by, size, slide, [REDUCERS[how](value).alias(into)], hot_rows
         )
-    numbered = number_rows(needed, keys, order_by, "n", hot_rows=hot_rows).drop(order_by)
+    numbered = number_rows(needed, keys, order_by, "n", hot_rows=hot_rows).select(*keys, "n", value)
     blocked = numbered.withColumn("__block", div(F.col("n") - 1, size))
     block = Window.partitionBy(*keys, "__block")
     upto = block.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -144,4 +178,4 @@ def count_window_reduce(
     merged = parts.groupBy(*keys, F.col("p.end").alias("n")).agg(
         MERGERS[how]("p.part").alias(into), F.max("p.last").alias("__fired")
     )
-    return merged.where("__fired").drop("__fired")
+    return merged.where("__fired").select(*keys, "n", F.col(into).cast(reduced).alias(into))

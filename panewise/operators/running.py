@@ -24,9 +24,9 @@ BITS = (CHUNK_BITS, UPPER_BITS)
 
 # Keys with about more rows than this are cut into chunks; the others stay whole.
 HOT_ROWS = 2_000_000
-# No more than this many keys are cut, the largest first. They are broadcast, so this bounds it. A
-# key that is left whole then has about 1/10000 of all rows at most.
-MAX_HOT_KEYS = 10_000
+# Up to this many hot keys are sent to every executor; more are met by a shuffled join, which Spark splits
+# where it is skewed. There are at most rows / HOT_ROWS of them.
+BROADCAST_KEYS = 100_000
 # Rows of a hot key that are enough to tell it is one.
 EVIDENCE = 1000
 
@@ -144,9 +144,8 @@ def hot_keys(
     keys: Sequence[str],
     order_by: str,
     hot_rows: int = HOT_ROWS,
-    limit: int = MAX_HOT_KEYS,
 ) -> DataFrame:
-    """The keys with about more than `hot_rows` rows, at most `limit` of them, the largest first.
+    """All keys with about more than `hot_rows` rows.
 
     Which keys are cut changes only where their rows are summed, never the sums. So it is enough to
     count one row in `hot_rows / EVIDENCE`, picked by a hash of the unique order: every read picks
@@ -159,22 +158,27 @@ def hot_keys(
         rows.groupBy(*keys)
         .agg((F.count(F.lit(1)) * one_in).alias("__rows"))
         .where(F.col("__rows") > hot_rows)
-        .orderBy(F.col("__rows").desc(), *keys)
-        .limit(limit)
         .select(*keys)
     )
 
 
 def mark_hot(
     rows: DataFrame, keys: Sequence[str], order_by: str, into: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add the BOOLEAN `into`: whether the row's key is one of `hot_keys`."""
-    hot = hot_keys(rows, keys, order_by, hot_rows)
+) -> DataFrame | None:
+    """Add the BOOLEAN `into`: whether the row's key is one of `hot_keys`; None if there are no such keys.
+
+    Hot keys are found here and now, so that their number decides how they meet the rows.
+    """
+    hot = hot_keys(rows, keys, order_by, hot_rows).persist()
+    number = hot.count()
+    if not number:
+        hot.unpersist()
+        return None
     hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias(into))
     same = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
     )
-    return rows.join(F.broadcast(hot), same, "left").select(
+    return rows.join(F.broadcast(hot) if number <= BROADCAST_KEYS else hot, same, "left").select(
         *rows.columns, F.coalesce(F.col(into), F.lit(False)).alias(into)
     )
 
@@ -190,11 +194,12 @@ def number_rows(
 ) -> DataFrame:
     """Add `into`: 1, 2, 3, ... within each key, by `order_by`; after `initial` where it has the key.
 
-    `hot_rows=None` promises that no key is large and leaves all keys whole.
+    `hot_rows=None` promises that no key is large and leaves all keys whole; else a first look at the key
+    and order columns finds the large ones.
     """
-    if hot_rows is None:
+    marked = None if hot_rows is None else mark_hot(rows, keys, order_by, "__hot", hot_rows)
+    if marked is None:
         return running_sum(rows, order_by, F.lit(1), into, keys, None, initial, bits=())
-    marked = mark_hot(rows, keys, order_by, "__hot", hot_rows)
     numbered = running_sum(marked, order_by, F.lit(1), into, keys, F.col("__hot"), initial, bits)
     return numbered.drop("__hot")
 

@@ -49,7 +49,8 @@ def warm_mean(measured: DataFrame, ms: int, runs: int = RUNS, warm_up: int = WAR
     """`thp`: mean rate of runs warm_up+1 .. runs, where run i is the i-th stretch of `fixed_time`.
 
     Runs are equally long, so their mean rate is their rows over their time. They follow each other
-    without a break: a stretch without rows is a run at rate 0.
+    without a break: a stretch without rows is a run at rate 0, up to the last with rows. With fewer runs
+    the mean is over those there are; null if the warm-up is all there is.
     """
     positive(ms=ms, runs=runs, warm_up=warm_up, measured_runs=runs - warm_up)
     # The measured runs are among the first `runs` stretches, however many there are.
@@ -58,7 +59,9 @@ def warm_mean(measured: DataFrame, ms: int, runs: int = RUNS, warm_up: int = WAR
     numbered = first.select("n", (div(since, ms * 1000) + 1).alias("__run"))
     timed = (F.col("__run") > warm_up) & (F.col("__run") <= runs)
     counted = F.sum(F.when(timed, F.col("n")).otherwise(F.lit(0)))
-    return numbered.agg((counted / F.lit((runs - warm_up) * ms / 1000.0)).alias("thp"))
+    there = F.least(F.max("__run"), F.lit(runs)) - warm_up
+    seconds = F.when(there > 0, there * F.lit(ms / 1000.0))
+    return numbered.agg(rate(counted, seconds).alias("thp"))
 
 
 def until_idle(

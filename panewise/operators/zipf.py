@@ -7,6 +7,7 @@ in one interval [lo, hi), never before the first or past the last.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,14 +17,19 @@ from panewise.functions.checks import positive
 from panewise.functions.draws import Draw, below, hash_draw
 from panewise.operators.ranges import explode_range
 from panewise.operators.running import UPPER_BITS, running_sum
+from panewise.sources.io import written
 
 # Up to this many words the table, cut into bins, is at most 2,000,000 rows of four numbers (about
 # 100 MB): worth sending to every executor, as the other way shuffles every draw.
 BROADCAST_WORDS = 1_000_000
 
-# Words are read back as 32-bit integers, and the prime they are mixed with must be larger.
-MAX_WORDS = (1 << 31) - 2
-_MIXING_PRIME = (1 << 31) - 1
+# Ranks are mixed with a prime that must be larger than their number: one of 31 bits while products with it
+# fit a BIGINT, one of 61 bits beyond.
+_PRIME_31 = (1 << 31) - 1
+_PRIME_61 = (1 << 61) - 1
+
+# Weights tile a range that a draw of 52 bits can reach every part of, so there can't be more words.
+MAX_WORDS = 1 << 50
 
 _TOTAL_BITS = 51
 
@@ -43,10 +49,9 @@ def check_skew(skew: float) -> None:
 
 
 def zipf_weights(ranks: DataFrame, rank: str, skew: float, scale: float) -> DataFrame:
-    """Add `weight BIGINT` = floor(scale / rank^skew)."""
-    return ranks.withColumn(
-        "weight", F.floor(F.lit(scale) / F.pow(F.col(rank).cast("double"), F.lit(float(skew)))).cast("bigint")
-    )
+    """Add `weight BIGINT` = floor(scale / rank^skew), 1 at least: no rank is too rare to be drawn."""
+    exact = F.floor(F.lit(scale) / F.pow(F.col(rank).cast("double"), F.lit(float(skew)))).cast("bigint")
+    return ranks.withColumn("weight", F.greatest(exact, F.lit(1).cast("bigint")))
 
 
 def zipf_ranks(
@@ -77,11 +82,39 @@ def word_of_rank(rank: str, words: int, seed: int) -> Column:
 
     Ranks are spread by a step that shares no factor with `words`: a power of a larger prime.
     """
-    step = pow(_MIXING_PRIME, seed + 1, words)
-    place = F.pmod(F.col(rank).cast("bigint") * step + seed % words, F.lit(words).cast("bigint"))
+    if words < _PRIME_31:
+        step = pow(_PRIME_31, seed + 1, words)
+        place = F.pmod(F.col(rank).cast("bigint") * step + seed % words, F.lit(words).cast("bigint"))
+    else:
+        step = F.lit(str(pow(_PRIME_61, seed + 1, words))).cast("decimal(19,0)")
+        product = F.col(rank).cast("decimal(18,0)") * step + F.lit(seed % words).cast("decimal(18,0)")
+        place = F.pmod(product, F.lit(str(words)).cast("decimal(18,0)")).cast("bigint")
     return (place + 1).cast("string").alias("word")
 
 
+@dataclass(frozen=True)
+class WordTable:
+    """The intervals of all words by bin, written once, and the numbers a draw needs to find its bin."""
+
+    binned: DataFrame
+    total: int
+    width: int
+    words: int
+
+
+def word_table(
+    spark: SparkSession, words: int, skew: float, seed: int = 0, scale: float | None = None
+) -> WordTable:
+    """For streams: `draw_words` with it works out no weights again in each micro-batch."""
+    total = zipf_ranks(spark, words, skew, scale).agg(F.sum("weight")).first()[0]
+    width = (total + words - 1) // words
+    return WordTable(written(_binned(zipf_cdf(spark, words, skew, seed, scale), F.lit(width)), "words"), total, width, words)
+
+
+def _binned(cdf: DataFrame, width: Column) -> DataFrame:
+    return explode_range(cdf, div(F.col("lo"), width), div(F.col("hi") - 1, width), "__bin")
+
+
 def draw_words(
     rows: DataFrame,
     id_: str,
@@ -90,6 +123,7 @@ def draw_words(
     seed: int = 0,
     draw: Draw = hash_draw,
     scale: float | None = None,
+    table: WordTable | None = None,
 ) -> DataFrame:
     """Add `rank` and `word` to every row (batch or stream), drawn by its id.
 
@@ -97,13 +131,12 @@ def draw_words(
     intervals on average, and draws are uniform over bins however skewed the words are.
     """
     spark = rows.sparkSession
-    cdf = zipf_cdf(spark, words, skew, seed, scale)
-    total = zipf_ranks(spark, words, skew, scale).agg(F.sum("weight")).scalar()
-    width = div(total + (words - 1), words)
-    binned = explode_range(
-        cdf.where(F.col("lo") < F.col("hi")),
-        div(F.col("lo"), width), div(F.col("hi") - 1, width), "__bin",
-    )
+    if table is None:
+        total = zipf_ranks(spark, words, skew, scale).agg(F.sum("weight")).scalar()
+        width = div(total + (words - 1), words)
+        binned = _binned(zipf_cdf(spark, words, skew, seed, scale), width)
+    else:
+        binned, total, width = table.binned, F.lit(table.total), F.lit(table.width).cast("bigint")
     at = F.col("__at")
     drawn = rows.withColumn("__at", below(draw(F.col(id_), seed), total))
     drawn = drawn.withColumn("__bin", div(at, width))

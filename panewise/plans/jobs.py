@@ -61,11 +61,12 @@ def stream_keyed_counter(
     strict: bool = False,
     column: str = "value",
     on_error: str = "fail",
+    order_by: str | None = None,
 ) -> DataFrame:
-    """`keyed_counter` on a stream, in arrival order."""
-    records = parse_key_payload(lines, column, (), on_error)
+    """`keyed_counter` on a stream: in arrival order, or each key's rows of a micro-batch by `order_by`."""
+    records = parse_key_payload(lines, column, (order_by,) if order_by else (), on_error)
     if key is not None:
         records = keep_key(records, "key", key, strict)
-    counted = stateful.running_counter(records, "key", "payload")
+    counted = stateful.running_counter(records, "key", "payload", order_by)
     shown = F.lit(0) if strict else F.col("key")
     return counted.select(tuple_text(shown, "n", "payload").alias("value"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panewise.functions.arith import div
 from panewise.functions.draws import md5_draw
 from panewise.functions.text import (
     parse_key_payload,
@@ -18,10 +20,10 @@ from panewise.functions.time import micros_since_1970
 from panewise.operators import count_window as windows
 from panewise.operators import counter, histogram, throughput, zipf
 from panewise.plans import jobs
-from panewise.session import working_dir
+from panewise.session import forget, working_dir
 from panewise.sources import generate, io
 from panewise.streaming import microbatch, stateful
-from panewise.streaming.run import run_to_end
+from panewise.streaming.run import run_to_end, timed_write
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -63,11 +65,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return io.read_table(spark, f"{sf_dir}/documents.parquet", *columns, spread=True)
+    return io.read_table(spark, f"{sf_dir}/documents.parquet", *columns)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.read_table(spark, f"{sf_dir}/orders.parquet", "o_orderkey", spread=True)
+    return io.read_table(spark, f"{sf_dir}/orders.parquet", "o_orderkey")
 
 
 def cents(rows: DataFrame) -> DataFrame:
@@ -75,10 +77,39 @@ def cents(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = events(spark, sf_dir).schema
+# Files, and so micro-batches, of the event streams.
+PARTS = 3
+
+# The event type of a row after all others, which moves the watermark past them.
+LAST = "end of input"
+
+
+@functools.cache
+def event_parts(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the events as PARTS files in their order, and then one with a last row a week later."""
+    path = working_dir(spark, "event-parts")
+    rows = events(spark, sf_dir)
+    ends = rows.agg(F.min("event_id"), F.max("event_id"), F.max("ts")).first()
+    share = (ends[1] - ends[0]) // PARTS + 1
+    for i in range(PARTS):
+        part = rows.where(div(F.col("event_id") - ends[0], share) == i)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/events")
+    last = rows.where(F.col("event_id") == ends[1]).limit(1)
+    last = last.withColumns({"event_type": F.lit(LAST), "ts": F.col("ts") + F.expr("interval 7 days")})
+    last.coalesce(1).write.parquet(f"{path}/last")
+    return path
+
+
+def event_stream(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
+    """The events, a part in each micro-batch."""
+    path = event_parts(spark, sf_dir)
+    reader = spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{path}/{{events{',last' if last else ''}}}")
+
+
+def streamed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # A glob matches the table whether it is one file or a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet")
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 def key_payload_lines(rows: DataFrame) -> DataFrame:
@@ -208,8 +239,20 @@ for _name, _size, _slide in (("sliding", 10, 3), ("tumbling", 5, 5), ("sampling"
     )(_window_aggregates(_size, _slide))
 
 register("count_window_aggregates_split_keys", sliding_sql("cnt, total, mean, oldest", 10, 3))(
-    _window_aggregates(10, 3, hot_rows=SMALL_HOT_ROWS)
+    _window_aggregates(10, 3, hot_rows=SMALL_HOT_ROWS, bits=SMALL_BITS)
+)
+
+
+@register(
+    "count_window_mean_long",
+    "select event_type, n, mean, lowest from (select event_type, row_number() over (partition by event_type "
+    "order by event_id) as n, avg(cents) over w as mean, min(cents) over w as lowest from (select *, "
+    "round(value * 100)::bigint as cents from events) window w as (partition by event_type order by event_id "
+    "rows between 999 preceding and current row))",
 )
+def count_window_mean_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aggs = [F.avg("cents").alias("mean"), F.min("cents").alias("lowest")]
+    return windows.count_window(cents(events(spark, sf_dir)), ["event_type"], "event_id", 1000, 1, aggs)
 
 
 def _window_reduce(how: str, into: str, size: int, slide: int) -> Run:
@@ -228,6 +271,29 @@ register("count_window_min_long", sliding_sql("lowest", 40, 1))(_window_reduce("
 register("count_window_max_long", sliding_sql("highest", 35, 2))(_window_reduce("max", "highest", 35, 2))
 
 
+def _money(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("money", (F.round(F.col("value") * 100).cast("decimal(12,0)") / 100).cast("decimal(10,2)"))
+
+
+def decimal_sql(size: int, slide: int) -> str:
+    return (
+        f"select {size}::bigint as size, user_id, n, (total / 100.0)::decimal(20,2) as total from "
+        f"({sliding_sql('total', size, slide)})"
+    )
+
+
+@register("count_window_sum_decimal", f"{decimal_sql(10, 3)} union all {decimal_sql(48, 2)}")
+def count_window_sum_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few and many panes per row: one type of result."""
+    rows = _money(events(spark, sf_dir))
+
+    def summed(size: int, slide: int) -> DataFrame:
+        panes = windows.count_window_reduce(rows, ["user_id"], "event_id", "money", "sum", size, slide, "total")
+        return panes.select(F.lit(size).cast("bigint").alias("size"), "user_id", "n", "total")
+
+    return summed(10, 3).union(summed(48, 2))
+
+
 # Histograms of whole-stream panes -------------------------------------------------------------
 
 
@@ -351,14 +417,35 @@ def counter_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counter.final_state(events(spark, sf_dir), "user_id", "event_id", "event_type")
 
 
-@register("text_file_counter", f"select user_id::int as key, n from ({NUMBERED})")
+def broken_lines(rows: DataFrame) -> DataFrame:
+    """Every fifth line has no payload, every seventh no integer key."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    line = (
+        F.when(F.col("event_id") % 5 == 0, user)
+        .when(F.col("event_id") % 7 == 0, F.concat(F.lit("x"), user, F.lit(" "), kind))
+        .otherwise(F.concat_ws(" ", user, kind))
+    )
+    return rows.select("event_id", line.alias("value"))
+
+
+@register(
+    "key_payload_drop",
+    "select event_id, user_id::int as key, event_type as payload from events "
+    "where event_id % 5 <> 0 and event_id % 7 <> 0",
+)
+def key_payload_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_key_payload(broken_lines(events(spark, sf_dir)), keep=("event_id",), on_error="drop")
+
+
+@register("text_file_counter", f"select user_id::int as key, n, event_type as payload from ({NUMBERED})")
 def text_file_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written to text files and read back, numbered in the order they are read."""
+    """Lines written to several text files and read back, numbered by file and place."""
     path = working_dir(spark, "lines")
-    io.write_lines(key_payload_lines(events(spark, sf_dir)), path)
-    lines = io.read_lines(spark, path, order="line")
-    records = io.written(parse_key_payload(lines, keep=("line",)), "records")
-    return counter.running_counter(records, "key", "line", "payload").select("key", "n")
+    rows = events(spark, sf_dir).repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    io.write_lines(key_payload_lines(rows), path)
+    records = io.written(parse_key_payload(io.read_lines(spark, path, order="line"), keep=("line",)), "records")
+    forget(spark, path)
+    return counter.running_counter(records, "key", "line", "payload")
 
 
 # Generators, one draw per order ---------------------------------------------------------------
@@ -446,8 +533,10 @@ def throughput_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "throughput_warm_mean",
-    f"select sum(n)::double / (5 * 86400.0::double) as thp from ({DAYS}) where start > "
-    f"(select min(start) from ({DAYS})) and start < (select min(start) from ({DAYS})) + interval 6 day",
+    # Days 2 to 6, or to the last there is; a day without rows has rate 0.
+    f"with d as ({DAYS}), b as (select min(start) as first, max(start) as last from d), r as (select "
+    "first + to_days(i::int) as start from b, range(1, 6) t(i) where first + to_days(i::int) <= last) "
+    "select avg(coalesce(n, 0) / 86400.0::double) as thp from r left join d using (start)",
 )
 def throughput_warm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.warm_mean(throughput_tumbling(spark, sf_dir), DAY_MS)
@@ -473,6 +562,29 @@ def throughput_after_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.after_fill(events(spark, sf_dir), "ts", "event_id", 100, 500)
 
 
+AFTER_FILL = "select 500.0::double / (date_diff('microsecond', start, \"end\") / 1e6) as thp from " + (
+    '(select max(ts) filter (i = 100) as start, max(ts) filter (i = 600) as "end" from '
+    "(select ts, row_number() over (order by event_id) as i from events))"
+)
+
+
+@register("metric_file", AFTER_FILL)
+def metric_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A measure written to its file and read back."""
+    path = working_dir(spark, "metric")
+    io.write_metric(throughput_after_fill(spark, sf_dir), path)
+    return io.read_metric(spark, path)
+
+
+@register("timed_write_rows", "select count(*) as \"rows\" from events")
+def timed_write_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows a timed batch write reports; its rate depends on the machine and is left out."""
+    path, rows = working_dir(spark, "sent"), events(spark, sf_dir)
+    measured = timed_write(spark, rows.count(), lambda: io.write_lines(key_payload_lines(rows), path))
+    forget(spark, path)
+    return measured.select("rows")
+
+
 # Streams --------------------------------------------------------------------------------------
 
 
@@ -480,31 +592,38 @@ def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Run a stream of new rows to its end and read what it wrote."""
     path = working_dir(spark, "stream")
     run_to_end(spark, io.sink(rows, "parquet", f"{path}/checkpoint", path=f"{path}/rows"))
+    forget(spark, f"{path}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
-def _replaced(spark: SparkSession, result: DataFrame) -> DataFrame:
-    """Run a streaming aggregation to its end and read its last result."""
+def _latest(spark: SparkSession, result: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a streaming aggregation to its end and read the last row of each key."""
     path = working_dir(spark, "stream")
-    run_to_end(spark, microbatch.replace_table(result, f"{path}/rows", f"{path}/checkpoint"))
-    return spark.read.schema(result.schema).parquet(f"{path}/rows")
+    run_to_end(spark, microbatch.changed_rows(result, f"{path}/rows", f"{path}/checkpoint"))
+    forget(spark, f"{path}/checkpoint")
+    return microbatch.read_latest(spark, f"{path}/rows", keys)
+
+
+def _batches(spark: SparkSession, write: Callable) -> DataFrame:
+    """Run a micro-batch form, given where to write and its checkpoint, to its end and read its output."""
+    path = working_dir(spark, "stream")
+    run_to_end(spark, write(f"{path}/rows", f"{path}/checkpoint"))
+    forget(spark, f"{path}/checkpoint")
+    return microbatch.read_output(spark, f"{path}/rows")
 
 
 @register("stream_running_counter", COUNTED)
 def stream_running_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = working_dir(spark, "stream")
-    writer = microbatch.running_counter(
-        event_stream(spark, sf_dir), "user_id", "event_id", "event_type",
-        f"{path}/rows", f"{path}/checkpoint",
+    rows = event_stream(spark, sf_dir)
+    return _batches(
+        spark, lambda out, state: microbatch.running_counter(rows, "user_id", "event_id", "event_type", out, state)
     )
-    run_to_end(spark, writer)
-    return microbatch.read_output(spark, f"{path}/rows")
 
 
-@register("stream_running_counter_state", f"select user_id, n from ({NUMBERED})")
+@register("stream_running_counter_state", COUNTED)
 def stream_running_counter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stateful.running_counter(event_stream(spark, sf_dir), "user_id", "event_type", "event_id")
-    return _streamed(spark, counted).select("user_id", "n")
+    return _streamed(spark, counted)
 
 
 @register("stream_count_window", pane_counts_sql("select user_id from events", "user_id", 10, 3))
@@ -515,49 +634,66 @@ def stream_count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_count_window_batches", pane_counts_sql("select user_id from events", "user_id", 10, 3))
 def stream_count_window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = working_dir(spark, "stream")
-    writer = microbatch.count_window_counts(
-        event_stream(spark, sf_dir), "user_id", 10, 3, f"{path}/rows", f"{path}/checkpoint"
-    )
-    run_to_end(spark, writer)
-    return microbatch.read_output(spark, f"{path}/rows")
+    rows = event_stream(spark, sf_dir)
+    return _batches(spark, lambda out, state: microbatch.count_window_counts(rows, "user_id", 10, 3, out, state))
 
 
 @register("stream_count_window_sum", sliding_sql("total", 10, 3))
 def stream_count_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = working_dir(spark, "stream")
-    writer = microbatch.count_window_reduce(
-        cents(event_stream(spark, sf_dir)), "user_id", "event_id", "cents", "sum", 10, 3,
-        f"{path}/rows", f"{path}/checkpoint", into="total",
+    rows = cents(event_stream(spark, sf_dir))
+    return _batches(
+        spark,
+        lambda out, state: microbatch.count_window_reduce(
+            rows, "user_id", "event_id", "cents", "sum", 10, 3, out, state, into="total"
+        ),
+    )
+
+
+@register(
+    "stream_count_window_sum_state",
+    "select user_id, n, total from (select user_id, n, (sum(odd_cents) over (partition by user_id order by "
+    "event_id rows between 9 preceding and current row))::bigint as total from (select *, case when "
+    f"event_id % 3 <> 0 then cents end as odd_cents from ({NUMBERED}))) where n % 3 = 0",
+)
+def stream_count_window_sum_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a column of which every third value is null."""
+    rows = cents(event_stream(spark, sf_dir)).withColumn("cents", F.when(F.col("event_id") % 3 != 0, F.col("cents")))
+    return _streamed(
+        spark, stateful.count_window_reduce(rows, "user_id", "cents", "sum", 10, 3, "event_id", into="total")
     )
-    run_to_end(spark, writer)
-    return microbatch.read_output(spark, f"{path}/rows")
 
 
 @register("stream_final_state", FINAL)
 def stream_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = stateful.final_state(event_stream(spark, sf_dir), "user_id", "event_id", "event_type")
-    return _replaced(spark, state)
+    return _latest(spark, state, ["user_id"])
 
 
-def _timed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _timed_stream(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
     """Zoneless times read as UTC, as watermarks need a time with a zone."""
-    utc = F.timestamp_micros(micros_since_1970(events(spark, sf_dir), "ts"))
-    return event_stream(spark, sf_dir).withColumn("ts", utc).withWatermark("ts", "1 hour")
+    rows = event_stream(spark, sf_dir, last)
+    return rows.withColumn("ts", F.timestamp_micros(micros_since_1970(rows, "ts"))).withWatermark("ts", "1 hour")
 
 
-@register("stream_throughput", "select n, thp from (" + DAYS + ")")
+def _zoneless(rows: DataFrame, *columns: str) -> DataFrame:
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return rows.withColumns(
+        {c: epoch + F.make_dt_interval(secs=F.unix_micros(c).cast("decimal(24,6)") / 1_000_000) for c in columns}
+    )
+
+
+@register("stream_throughput", DAYS)
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = throughput.fixed_time(_timed_stream(spark, sf_dir), "ts", DAY_MS)
-    return _replaced(spark, rates).select("n", "thp")
+    return _zoneless(_latest(spark, rates, ["start"]), "start")
 
 
-@register(
-    "stream_until_idle", f"select event_type, n, thp from ({sessions_sql('event_type')})"
-)
+@register("stream_until_idle", sessions_sql("event_type"))
 def stream_until_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = throughput.until_idle_stream(_timed_stream(spark, sf_dir), "ts", "event_type", PAUSE_MS)
-    return _replaced(spark, sessions).select("event_type", "n", "thp")
+    """Sessions leave the state once the watermark has passed them; a last row moves it past all."""
+    rows = _timed_stream(spark, sf_dir, last=True)
+    sessions = throughput.until_idle_stream(rows, "ts", "event_type", PAUSE_MS)
+    return _zoneless(_streamed(spark, sessions).where(F.col("event_type") != LAST), "start", "end")
 
 
 @register("stream_job_rows", "select count(*) as \"rows\" from events")
@@ -565,5 +701,36 @@ def stream_job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows a whole-job measure reports; its rate depends on the machine and is left out."""
     path = working_dir(spark, "stream")
     counted = stateful.final_state(event_stream(spark, sf_dir), "user_id", "event_id", "event_type")
-    writer = microbatch.replace_table(counted, f"{path}/rows", f"{path}/checkpoint")
-    return run_to_end(spark, writer).select("rows")
+    measured = run_to_end(spark, microbatch.replace_table(counted, f"{path}/rows", f"{path}/checkpoint"))
+    forget(spark, path)
+    return measured.select("rows")
+
+
+@register("stream_zipf_words", f"{DRAWN} select o_orderkey, rank, word from d")
+def stream_zipf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word for every order of a stream; the table of words is made once."""
+    words = _parts(spark, sf_dir)
+    rows = streamed_table(spark, sf_dir, "orders").select("o_orderkey")
+    known = zipf.word_table(spark, words, 1.0)
+    drawn = zipf.draw_words(rows, "o_orderkey", words, 1.0, draw=md5_draw, table=known)
+    return _streamed(spark, drawn.select("o_orderkey", "rank", "word"))
+
+
+@register(
+    "keyed_counter_stream_job",
+    f"select '(' || user_id || ',' || n || ',' || event_type || ')' as value from ({NUMBERED}) "
+    "where user_id = 1",
+)
+def keyed_counter_stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = key_payload_lines(event_stream(spark, sf_dir))
+    return _streamed(spark, jobs.stream_keyed_counter(lines, order_by="event_id"))
+
+
+@register(
+    "window_word_count_stream_job",
+    "select '(' || word || ',' || cnt || ')' as value from "
+    f"({pane_counts_sql(WORDS, 'word', 10, 3)}) where word = 'the'",
+)
+def window_word_count_stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = streamed_table(spark, sf_dir, "documents").select("text")
+    return _streamed(spark, jobs.stream_window_word_count(lines, 10, 3, word="the", column="text"))

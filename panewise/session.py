@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -26,14 +29,28 @@ def local_session(cores: int | str = "*", app: str = "panewise", memory: str = "
     return spark
 
 
+@functools.cache
+def _local_base() -> str:
+    """One temporary folder per driver, which goes when the driver ends."""
+    base = tempfile.mkdtemp(prefix="panewise-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a working folder, wherever it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def working_dir(spark: SparkSession, purpose: str) -> str:
     """A new path for `purpose` under the shared folder the session names in `spark.checkpoint.dir`.
 
-    Only a local master may go without that setting; it then gets a temporary folder.
+    Only a local master may go without that setting; it then gets a temporary folder that goes with the driver.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="panewise-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

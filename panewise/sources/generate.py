@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panewise.functions.checks import positive
 from panewise.functions.draws import Draw, below, hash_draw, letters
-from panewise.operators.zipf import MAX_WORDS, draw_words
+from panewise.operators.zipf import draw_words, word_table
 
 # Fixed value: payloads are drawn from a pool of this many strings.
 POOL = 1000
 
-# A pool up to this many bytes is sent to every executor.
+# A pool up to this many bytes is sent to every executor; longer payloads are made in each row.
 BROADCAST_POOL_BYTES = 32 << 20
 
+# Keys are read back as 32-bit integers, by this library's parser too.
+MAX_KEYS = (1 << 31) - 1
+
 
 def zipf_words(spark: SparkSession, rows: int, words: int, skew: float, seed: int = 0) -> DataFrame:
     """`value STRING`: `rows` Zipf-distributed words out of "1".."words"."""
@@ -27,20 +30,21 @@ def key_payloads(
 ) -> DataFrame:
     """`id_, value`: a `key payload` line per row, the key uniform in [0, keys)."""
     positive(keys=keys)
-    if length < 0 or keys > MAX_WORDS:
-        raise ValueError(f"length must be at least 0 and keys at most {MAX_WORDS}")
-    pool = rows.sparkSession.range(POOL).select(
-        F.col("id").alias("__pool"), letters(F.col("id"), length, seed + 2, draw).alias("__payload")
-    )
-    if POOL * length <= BROADCAST_POOL_BYTES:
-        pool = F.broadcast(pool)
+    if length < 0 or keys > MAX_KEYS:
+        raise ValueError(f"length must be at least 0 and keys at most {MAX_KEYS}")
     drawn = rows.select(
         id_,
         below(draw(F.col(id_), seed), keys).alias("__key"),
         below(draw(F.col(id_), seed + 1), POOL).alias("__pool"),
     )
     line = F.concat_ws(" ", F.col("__key").cast("string"), "__payload")
-    return drawn.join(pool, "__pool").select(id_, line.alias("value"))
+    if POOL * length > BROADCAST_POOL_BYTES:
+        payload = letters(F.col("__pool"), length, seed + 2, draw)
+        return drawn.withColumn("__payload", payload).select(id_, line.alias("value"))
+    pool = rows.sparkSession.range(POOL).select(
+        F.col("id").alias("__pool"), letters(F.col("id"), length, seed + 2, draw).alias("__payload")
+    )
+    return drawn.join(F.broadcast(pool), "__pool").select(id_, line.alias("value"))
 
 
 def key_payload_lines(spark: SparkSession, rows: int, keys: int, length: int, seed: int = 0) -> DataFrame:
@@ -66,5 +70,5 @@ def word_stream(
         .option("advanceMillisPerBatch", 1000)
         .load()
     )
-    drawn = draw_words(ticks, "value", words, skew, seed)
+    drawn = draw_words(ticks, "value", words, skew, seed, table=word_table(spark, words, skew, seed))
     return drawn.select("timestamp", F.col("word").alias("value"))

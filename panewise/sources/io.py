@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from panewise.session import working_dir
@@ -20,19 +20,10 @@ PRODUCER = {
 }
 
 
-def read_table(spark: SparkSession, path: str, *columns: str, spread: bool = False) -> DataFrame:
-    """The named columns (default all) of a Parquet table.
-
-    With `spread`, a scan with fewer splits than there are cores is shuffled once, so that all cores
-    share the work on its rows. So few splits are little data (a split has 128 MB unless set
-    otherwise); a large table has more splits than cores and is left as it is.
-    """
+def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The named columns (default all) of a Parquet table."""
     rows = spark.read.parquet(path)
-    rows = rows.select(*columns) if columns else rows
-    cores = spark.sparkContext.defaultParallelism
-    if spread and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+    return rows.select(*columns) if columns else rows
 
 
 def written(rows: DataFrame, purpose: str = "rows") -> DataFrame:
@@ -51,12 +42,21 @@ def _line(lines: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
     """`value STRING`, one row per line, without a carriage return at its end.
 
-    With `order`, a unique BIGINT of that name follows the lines of each file split; Spark decides
-    the order of splits. How files are split may change with the size of the cluster, so give the
-    lines to `written` before operators that read them more than once.
+    With `order`, a BIGINT of that name numbers the lines 0, 1, 2, ... by file path and place in the file,
+    however the files are split and the splits dealt out: the lines of each split are counted, and each
+    split starts where the ones before it end.
     """
     lines = _line(spark.read.text(path, lineSep="\n"))
-    return lines if order is None else lines.withColumn(order, F.monotonically_increasing_id())
+    if order is None:
+        return lines
+    here = lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__id"))
+    here = here.toDF("value", "__file", "__start", "__id")
+    splits = here.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy().orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split: the only thing that is ordered in one place.
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.col("__before") + F.col("__id") - F.col("__first")
+    return here.join(splits, ["__file", "__start"]).select("value", place.cast("bigint").alias(order))
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -118,6 +118,10 @@ def write_metric(metric: DataFrame, path: str, column: str = "thp") -> None:
     write_lines(metric.select(column).coalesce(1), path, column)
 
 
+def read_metric(spark: SparkSession, path: str, column: str = "thp") -> DataFrame:
+    return spark.read.text(path).select(F.col("value").cast("double").alias(column))
+
+
 def append_metric(metric: DataFrame, path: str) -> None:
     """Keep a history: add the metric as a row of a Parquet table."""
     metric.write.mode("append").parquet(path)

@@ -1,49 +1,97 @@
 """Keyed state over micro-batches with the batch operators: exact order, hot keys split, no Python rows.
 
-Each micro-batch is answered by the batch operator, which starts from the state the batch before left.
-State is a Parquet table in the checkpoint folder, written anew by each batch; two of them take turns,
-so a batch that is run again after a failure still finds the state it started from. Output goes to
-one folder per batch, replaced when the batch is run again: every row is there once.
-
-Writing all state per batch pays off for large batches (a backlog, hourly runs); for small frequent
-ones use `stateful`.
+Each micro-batch is answered by the batch operator, which starts from the state the batches before left.
+State is cut into buckets by a hash of the key; a batch reads and writes only the buckets its keys are in,
+each version in a folder of its own, and a manifest says which version of each bucket holds. A batch that
+is run again after a failure finds the manifest it started from; versions that no manifest names any more
+are deleted. Output goes to one folder per batch, replaced when the batch is run again: every row is there
+once. The columns of a batch that are needed are fetched from its source once, into a table beside the
+state that goes when the batch is done: nothing is kept on executors. Limit the input per batch at the source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 from panewise.functions.checks import one_of, positive
 from panewise.operators import counter
 from panewise.operators.count_window import MERGERS, REDUCERS, panes_between, to_panes
 from panewise.operators.running import HOT_ROWS, number_rows
+from panewise.session import forget
 
 BATCH = "batch_id"
 
+#: Buckets that a state is cut into.
+BUCKETS = 64
+
+_BUCKET = "__bucket"
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def touched_buckets(batch: DataFrame, key: str) -> list[int]:
+    """At most BUCKETS numbers, combined before the shuffle."""
+    return sorted(r[0] for r in batch.select(bucket_of(key)).distinct().collect())
+
 
-def _state_path(checkpoint: str, name: str, batch_id: int) -> str:
-    return f"{checkpoint}/tables/{name}/{'even' if batch_id % 2 == 0 else 'odd'}"
+class BucketState:
+    """A table of keyed rows in buckets under a checkpoint folder, with a manifest per batch."""
 
+    def __init__(self, spark: SparkSession, checkpoint: str, name: str, key: str, schema: StructType):
+        self._spark, self._key, self._schema = spark, key, schema
+        self._base = f"{checkpoint}/tables/{name}"
 
-def _read_state(spark: SparkSession, checkpoint: str, name: str, batch_id: int, schema: StructType):
-    """State left by the batch before, or None for the first batch."""
-    if batch_id == 0:
-        return None
-    return spark.read.schema(schema).parquet(_state_path(checkpoint, name, batch_id - 1))
+    def _version(self, batch_id: int) -> str:
+        return f"{self._base}/batch={batch_id}"
 
+    def _manifest_path(self, batch_id: int) -> str:
+        return f"{self._base}/manifest/{batch_id}"
 
-def _write_state(state: DataFrame, checkpoint: str, name: str, batch_id: int) -> DataFrame:
-    path = _state_path(checkpoint, name, batch_id)
-    state.write.mode("overwrite").parquet(path)
-    return state.sparkSession.read.schema(state.schema).parquet(path)
+    def _exists(self, path: str) -> bool:
+        place = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
+    def manifest(self, batch_id: int) -> dict[int, int]:
+        """The batch whose version of each bucket holds after `batch_id`; buckets without rows are left out."""
+        if batch_id < 0 or not self._exists(f"{self._manifest_path(batch_id)}/_SUCCESS"):
+            return {}
+        return {r.bucket: r.batch for r in self._spark.read.parquet(self._manifest_path(batch_id)).collect()}
 
-def _write_out(rows: DataFrame, output: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
+    def read(self, batch_id: int, buckets: Sequence[int]) -> DataFrame | None:
+        """The state that the batches before left in some buckets; None if there is none."""
+        held = self.manifest(batch_id - 1)
+        return self._rows([f"{self._version(held[b])}/{_BUCKET}={b}" for b in buckets if b in held])
+
+    def _rows(self, paths: list[str]) -> DataFrame | None:
+        return self._spark.read.schema(self._schema).parquet(*paths) if paths else None
+
+    def write(self, rows: DataFrame, batch_id: int, buckets: Sequence[int]) -> DataFrame | None:
+        """Replace the rows of the buckets; they are returned as written."""
+        path = self._version(batch_id)
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema])
+        rows.withColumn(_BUCKET, bucket_of(self._key)).write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
+        there = [b for b in buckets if self._exists(f"{path}/{_BUCKET}={b}")]
+        old, before = self.manifest(batch_id - 2), self.manifest(batch_id - 1)
+        held = {b: v for b, v in before.items() if b not in set(buckets)} | {b: batch_id for b in there}
+        table = self._spark.createDataFrame(sorted(held.items()), "bucket int, batch long")
+        table.coalesce(1).write.mode("overwrite").parquet(self._manifest_path(batch_id))
+        # This batch may be run again from the manifest before it, never from the one before that.
+        for b, v in old.items():
+            if before.get(b) != v:
+                forget(self._spark, f"{self._version(v)}/{_BUCKET}={b}")
+        forget(self._spark, self._manifest_path(batch_id - 2))
+        return self._rows([f"{path}/{_BUCKET}={b}" for b in there])
+
+
+def _write_out(rows: DataFrame | None, output: str, batch_id: int) -> None:
+    if rows is not None:
+        rows.write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
 
 
 def read_output(spark: SparkSession, output: str) -> DataFrame:
@@ -52,32 +100,66 @@ def read_output(spark: SparkSession, output: str) -> DataFrame:
 
 
 def _each_batch(
-    stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]
+    stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> DataStreamWriter:
+    return stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def _fetched(checkpoint: str, step: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """The step on a written copy of each batch, as it reads a batch several times."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        # The operators read a batch several times; it is fetched from its source once.
-        batch.persist()
-        try:
-            step(batch, batch_id)
-        finally:
-            batch.unpersist()
+        path = f"{checkpoint}/tables/input"
+        batch.write.mode("overwrite").parquet(path)
+        step(batch.sparkSession.read.schema(batch.schema).parquet(path), batch_id)
+        forget(batch.sparkSession, path)
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return run
+
+
+def changed_rows(stream: DataFrame, output: str, checkpoint: str) -> DataStreamWriter:
+    """Write the rows of an aggregation that each batch changes; `read_latest` gives the last of each key.
+
+    State that a watermark has passed is freed.
+    """
+
+    def step(rows: DataFrame, batch_id: int) -> None:
+        _write_out(rows, output, batch_id)
+
+    return _each_batch(stream, checkpoint, step, "update")
+
+
+def read_latest(spark: SparkSession, output: str, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each key."""
+    rows = spark.read.parquet(output)
+    rest = [c for c in rows.columns if c not in (*keys, BATCH)]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("__row"))
+    return latest.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
 def replace_table(
     stream: DataFrame, output: str, checkpoint: str
 ) -> DataStreamWriter:
-    """Write the whole result of an aggregation anew after every batch."""
+    """Write the whole result of an aggregation anew after every batch; `read_result` gives the last.
+
+    Each batch has a folder of its own, so readers keep a whole result while the next is written; the last
+    but one goes when the next is there.
+    """
 
     def step(result: DataFrame, batch_id: int) -> None:
-        result.write.mode("overwrite").parquet(output)
+        _write_out(result, output, batch_id)
+        forget(result.sparkSession, f"{output}/{BATCH}={batch_id - 2}")
 
-    return (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-    )
+    return _each_batch(stream, checkpoint, step, "complete")
+
+
+def read_result(spark: SparkSession, output: str) -> DataFrame:
+    """The last whole result."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(output).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop.Path(output))]
+    done = [n for n in names if n.startswith(f"{BATCH}=") and fs.exists(hadoop.Path(f"{output}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{output}/{max(done, key=lambda n: int(n.split('=')[1]))}")
 
 
 def running_counter(
@@ -96,15 +178,16 @@ def running_counter(
     )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = _read_state(batch.sparkSession, checkpoint, "counter", batch_id, schema)
+        state = BucketState(batch.sparkSession, checkpoint, "counter", key, schema)
+        buckets = touched_buckets(batch, key)
+        before = state.read(batch_id, buckets)
         _write_out(
             counter.running_counter(batch, key, order_by, payload, before, hot_rows=hot_rows),
             output, batch_id,
         )
-        after = counter.final_state(batch, key, order_by, payload, before)
-        _write_state(after, checkpoint, "counter", batch_id)
+        state.write(counter.final_state(batch, key, order_by, payload, before), batch_id, buckets)
 
-    return _each_batch(rows, checkpoint, step)
+    return _each_batch(rows, checkpoint, _fetched(checkpoint, step))
 
 
 def count_window_counts(
@@ -113,23 +196,24 @@ def count_window_counts(
     """Write `key, n, cnt` per pane, as the batch form does. State is the rows seen per key."""
     positive(size=size, slide=slide)
     rows = stream.select(key)
-    schema = StructType().add(rows.schema[key]).add("n", LongType())
+    schema = StructType().add(rows.schema[key]).add("n", LongType()).add("before", LongType())
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = _read_state(batch.sparkSession, checkpoint, "seen", batch_id, schema)
+        state = BucketState(batch.sparkSession, checkpoint, "seen", key, schema)
+        buckets = touched_buckets(batch, key)
+        old = state.read(batch_id, buckets)
         counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        counts = counts.withColumn("__before", F.lit(0).cast("bigint"))
-        if before is not None:
-            old = before.withColumn("__before", F.col("n"))
-            counts = counts.unionByName(old).groupBy(key).agg(
-                F.sum("n").alias("n"), F.sum("__before").alias("__before")
+        counts = counts.withColumn("before", F.lit(0).cast("bigint"))
+        if old is not None:
+            counts = counts.unionByName(old.withColumn("before", F.col("n"))).groupBy(key).agg(
+                F.sum("n").alias("n"), F.sum("before").alias("before")
             )
-        # Written once and read back twice: for the panes of this batch and as the next state.
-        seen = _write_state(counts, checkpoint, "counts", batch_id)
-        _write_out(panes_between(seen, [key], "__before", "n", size, slide), output, batch_id)
-        _write_state(seen.select(key, "n"), checkpoint, "seen", batch_id)
+        # Written once, and read back for the panes of this batch.
+        seen = state.write(counts, batch_id, buckets)
+        if seen is not None:
+            _write_out(panes_between(seen, [key], "before", "n", size, slide), output, batch_id)
 
-    return _each_batch(rows, checkpoint, step)
+    return _each_batch(rows, checkpoint, _fetched(checkpoint, step))
 
 
 def count_window_reduce(
@@ -152,40 +236,43 @@ def count_window_reduce(
     positive(size=size, slide=slide)
     one_of("how", how, tuple(REDUCERS))
     into = into or how
-    rows = stream.select(key, order_by, value)
-    reduced = rows.groupBy(key).agg(REDUCERS[how](value).alias(into)).schema[into].dataType
+    # Columns get names of their own, as one may be asked for twice.
+    rows = stream.select(key, F.col(order_by).alias("__order"), F.col(value).alias("__value"))
+    reduced = rows.groupBy(key).agg(REDUCERS[how]("__value").alias(into)).schema[into].dataType
     seen_schema = StructType().add(rows.schema[key]).add("n", LongType())
     pane_schema = (
         StructType().add(rows.schema[key]).add("__pane", LongType()).add("__end", LongType())
-        .add(into, reduced)
+        .add(into, reduced).add("__ended", BooleanType())
     )
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _read_state(spark, checkpoint, "seen", batch_id, seen_schema)
-        open_panes = _read_state(spark, checkpoint, "panes", batch_id, pane_schema)
+        seen_state = BucketState(spark, checkpoint, "seen", key, seen_schema)
+        pane_state = BucketState(spark, checkpoint, "panes", key, pane_schema)
+        buckets = touched_buckets(batch, key)
+        seen, panes = seen_state.read(batch_id, buckets), pane_state.read(batch_id, buckets)
 
-        numbered = number_rows(batch, [key], order_by, "n", seen, hot_rows)
+        numbered = number_rows(batch, [key], "__order", "n", seen, hot_rows)
         parts = (
             to_panes(numbered, size, slide, into="__pane")
             .groupBy(key, "__pane")
-            .agg(F.max("n").alias("__end"), REDUCERS[how](value).alias(into))
+            .agg(F.max("n").alias("__end"), REDUCERS[how]("__value").alias(into))
         )
-        if open_panes is not None:
-            parts = (
-                parts.unionByName(open_panes)
-                .groupBy(key, "__pane")
-                .agg(F.max("__end").alias("__end"), MERGERS[how](into).alias(into))
+        if panes is not None:
+            begun = panes.where(~F.col("__ended")).drop("__ended")
+            merged = parts.unionByName(begun).groupBy(key, "__pane").agg(
+                F.max("__end").alias("__end"), MERGERS[how](into).alias(into)
             )
-        ended = F.col("__end") == F.col("__pane") * slide
-        # Written once and read back twice: ended panes leave, the others are the next state.
-        panes = _write_state(parts, checkpoint, "parts", batch_id)
-        _write_out(panes.where(ended).select(key, F.col("__end").alias("n"), into), output, batch_id)
-        _write_state(panes.where(~ended), checkpoint, "panes", batch_id)
+            parts = merged.withColumn(into, F.col(into).cast(reduced))
+        parts = parts.withColumn("__ended", F.col("__end") == F.col("__pane") * slide)
+        # Written once: ended panes are read back as output, the others are what the next batch reads.
+        held = pane_state.write(parts, batch_id, buckets)
+        if held is not None:
+            _write_out(held.where("__ended").select(key, F.col("__end").alias("n"), into), output, batch_id)
 
         counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         if seen is not None:
             counts = counts.unionByName(seen).groupBy(key).agg(F.sum("n").alias("n"))
-        _write_state(counts, checkpoint, "seen", batch_id)
+        seen_state.write(counts, batch_id, buckets)
 
-    return _each_batch(rows, checkpoint, step)
+    return _each_batch(rows, checkpoint, _fetched(checkpoint, step))

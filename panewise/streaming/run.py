@@ -2,16 +2,52 @@
 
 from __future__ import annotations
 
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from panewise.operators.throughput import rate
 from panewise.streaming.state import session_settings, state_profile
 
-# Progress reports Spark keeps for a query; more batches than this and rows would be undercounted.
-_PROGRESS = {"spark.sql.streaming.numRecentProgressUpdates": "100000"}
+
+class Totals(StreamingQueryListener):
+    """Running totals of every query's batches, by its run; no report is kept."""
+
+    def __init__(self):
+        self._runs: dict[str, dict] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def _of(self, run: str) -> tuple[dict, threading.Event]:
+        with self._lock:
+            empty = {"batches": 0, "rows": 0, "state_rows": 0, "state_bytes": 0}
+            return self._runs.setdefault(run, empty), self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._of(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        totals, _ = self._of(str(progress.runId))
+        totals["batches"] += 1
+        totals["rows"] += max(0, progress.numInputRows)
+        totals["state_rows"] = sum(s.numRowsTotal for s in progress.stateOperators)
+        totals["state_bytes"] = sum(s.memoryUsedBytes for s in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._of(str(event.runId))[1].set()
+
+    def take(self, run: str, seconds: float = 60) -> dict:
+        """The totals of a run that has ended, once its last report is in."""
+        totals, ended = self._of(run)
+        if not ended.wait(seconds):
+            raise TimeoutError(f"no end of the stream run {run} was reported")
+        return totals
 
 
 def run_to_end(
@@ -23,31 +59,22 @@ def run_to_end(
 ) -> DataFrame:
     """Process all input there is now, wait for the end, return one row of measures.
 
-    thp is `given` rows (else the rows read) over the time from start to end, start-up included.
+    thp is `given` rows (else the rows read) over the time from start to end, start-up included. Rows are
+    added up as batches end, however many there are.
     """
-    settings = {**state_profile(profile, **profile_options), **_PROGRESS}
-    begin = time.monotonic()
-    with session_settings(spark, settings):
-        query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return measures(spark, query, time.monotonic() - begin, given)
-
-
-def measures(
-    spark: SparkSession, query: StreamingQuery, seconds: float, given: int | None = None
-) -> DataFrame:
-    progress = query.recentProgress
-    rows = sum(p["numInputRows"] for p in progress)
-    state = progress[-1]["stateOperators"] if progress else []
-    return _measure(
-        spark,
-        len(progress),
-        rows,
-        seconds,
-        given if given is not None else rows,
-        sum(s["numRowsTotal"] for s in state),
-        sum(s["memoryUsedBytes"] for s in state),
-    )
+    totals = Totals()
+    spark.streams.addListener(totals)
+    try:
+        begin = time.monotonic()
+        with session_settings(spark, state_profile(profile, **profile_options)):
+            query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        seconds = time.monotonic() - begin
+        seen = totals.take(str(query.runId))
+    finally:
+        spark.streams.removeListener(totals)
+    counted = given if given is not None else seen["rows"]
+    return _measure(spark, seen["batches"], seen["rows"], seconds, counted, seen["state_rows"], seen["state_bytes"])
 
 
 def _measure(

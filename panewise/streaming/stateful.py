@@ -1,18 +1,22 @@
 """Keyed streaming state: running counter and count windows.
 
-These run in arrival order with one state per key and answer each micro-batch with small, steady
-state. Inside a micro-batch Spark does not promise an order of rows, so what depends on it (which
-payload meets which n, which values share a pane) is only as good as the arrival order. The forms in
-`microbatch` order rows exactly and split hot keys.
+These keep one state per key and answer each micro-batch with small, steady state. Without `order_by` rows
+of a micro-batch are taken in the order they arrive, which Spark does not promise; with it, all rows a key
+has in the micro-batch are sorted first, in runs of bounded size that are merged from the task's disk. The
+forms in `microbatch` also split hot keys.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,8 +29,67 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Panes per output batch, so that a hot key's panes never sit in memory together.
 _OUT_ROWS = 100_000
+# Rows that are sorted in memory; more make a run on disk.
+RUN_ROWS = 200_000
 
-_REDUCE = {"sum": np.sum, "min": np.min, "max": np.max, "count": len}
+REDUCE = ("sum", "min", "max", "count")
+
+
+def in_order(batches: Iterator[pd.DataFrame], order_by: str | None, most: int = RUN_ROWS) -> Iterator[pd.DataFrame]:
+    """The rows of all batches by `order_by`; nulls last, ties as they came."""
+    if order_by is None:
+        yield from batches
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        held, rows, runs = [], 0, []
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= most:
+                runs.append(os.path.join(folder, str(len(runs))))
+                _spill(_sorted(held, order_by), runs[-1])
+                held, rows = [], 0
+        last = _sorted(held, order_by) if held else None
+        if not runs:
+            if last is not None:
+                yield last
+            return
+        streams = [_rows(_read(run), order_by, i) for i, run in enumerate(runs)]
+        if last is not None:
+            streams.append(_rows(iter([last]), order_by, len(runs)))
+        block, columns = [], None
+        for _, _, _, row, columns in heapq.merge(*streams, key=lambda r: r[:3]):
+            block.append(row)
+            if len(block) == _OUT_ROWS:
+                yield pd.DataFrame(block, columns=columns).convert_dtypes(convert_string=False, convert_floating=False)
+                block = []
+        if block:
+            yield pd.DataFrame(block, columns=columns).convert_dtypes(convert_string=False, convert_floating=False)
+
+
+def _sorted(batches: list[pd.DataFrame], order_by: str) -> pd.DataFrame:
+    return pd.concat(batches, ignore_index=True).sort_values(order_by, kind="stable", ignore_index=True)
+
+
+def _spill(rows: pd.DataFrame, path: str) -> None:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.OSFile(path, "wb") as out, pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table, max_chunksize=8192)
+
+
+def _read(path: str) -> Iterator[pd.DataFrame]:
+    with pa.OSFile(path) as source, pa.ipc.open_stream(source) as reader:
+        for batch in reader:
+            yield batch.to_pandas()
+
+
+def _rows(blocks: Iterator[pd.DataFrame], order_by: str, run: int):
+    for block in blocks:
+        at = block.columns.get_loc(order_by)
+        for row in block.itertuples(index=False, name=None):
+            value = row[at]
+            missing = pd.isna(value)
+            yield missing, 0 if missing else value, run, row, block.columns
 
 
 class CounterState(StatefulProcessor):
@@ -40,19 +103,17 @@ class CounterState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, last = self._state.get() or (0, "")
-        for batch in rows:
-            if self._order_by is not None:
-                batch = batch.sort_values(self._order_by, kind="stable")
+        for batch in in_order(rows, self._order_by):
             payloads = batch[self._payload]
             yield pd.DataFrame(
                 {
                     self._key: [key[0]] * len(batch),
                     "n": np.arange(n + 1, n + len(batch) + 1),
-                    self._payload: payloads.to_numpy(),
+                    self._payload: payloads.array,
                 }
             )
             n, last = n + len(batch), payloads.iloc[-1]
-        self._state.update((n, None if last is None else str(last)))
+        self._state.update((n, None if pd.isna(last) else str(last)))
 
 
 def running_counter(
@@ -60,7 +121,7 @@ def running_counter(
 ) -> DataFrame:
     """One row `key, n, payload` per input row, the payload a STRING.
 
-    `order_by` sorts each batch of rows the state operator is handed.
+    `order_by` sorts all rows a key has in a micro-batch.
     """
     columns = [key, payload] + ([order_by] if order_by else [])
     fields = stream.schema
@@ -118,38 +179,51 @@ def count_window_counts(stream: DataFrame, key: str, size: int, slide: int) -> D
 
 
 class ReducePaneState(StatefulProcessor):
-    """Rows seen and the last `size` values per key; fires the reduced value of every pane."""
+    """Rows seen and the last `size` - 1 values per key; fires the reduced value of every pane.
+
+    Values come as BIGINT with a flag, null as 0 and false, so that no value goes through a DOUBLE. The tail
+    is kept as bytes: the values, then the flags.
+    """
 
-    def __init__(self, key, value, how, size, slide, order_by, into):
-        self._key, self._value, self._how, self._into = key, value, how, into
+    def __init__(self, key, how, size, slide, order_by, into):
+        self._key, self._how, self._into = key, how, into
         self._size, self._slide, self._order_by = size, slide, order_by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "n BIGINT")
-        self._last = handle.getValueState("last", "tail ARRAY<BIGINT>")
+        self._state = handle.getValueState("window", "n BIGINT, tail BINARY, known BINARY")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (n,) = self._seen.get() or (0,)
-        (tail,) = self._last.get() or ([],)
-        tail = np.asarray(tail, dtype=np.int64)
-        reduce = _REDUCE[self._how]
-        for batch in rows:
-            if self._order_by is not None:
-                batch = batch.sort_values(self._order_by, kind="stable")
-            values = np.concatenate([tail, batch[self._value].to_numpy(dtype=np.int64)])
+        n, tail, known = self._state.get() or (0, b"", b"")
+        tail, known = np.frombuffer(tail, np.int64), np.frombuffer(known, np.bool_)
+        for batch in in_order(rows, self._order_by):
+            values = np.concatenate([tail, batch["value"].to_numpy(dtype=np.int64)])
+            valid = np.concatenate([known, batch["known"].to_numpy(dtype=np.bool_)])
             start = n - len(tail)
-            n += len(batch)
-            ends = np.arange((n - len(batch)) // self._slide + 1, n // self._slide + 1) * self._slide
-            if len(ends):
-                reduced = [
-                    int(reduce(values[max(0, e - start - self._size) : e - start])) for e in ends
-                ]
+            first, n = n // self._slide + 1, n + len(batch)
+            for at in range(first, n // self._slide + 1, _OUT_ROWS):
+                ends = np.arange(at, min(n // self._slide + 1, at + _OUT_ROWS)) * self._slide
+                reduced, there = pane_values(values, valid, ends - start, self._size, self._how)
                 yield pd.DataFrame(
-                    {self._key: [key[0]] * len(ends), "n": ends, self._into: reduced}
+                    {self._key: [key[0]] * len(ends), "n": ends, self._into: pd.arrays.IntegerArray(reduced, ~there)}
                 )
-            tail = values[-(self._size - 1) :] if self._size > 1 else values[:0]
-        self._seen.update((n,))
-        self._last.update((tail.tolist(),))
+            keep = self._size - 1
+            tail, known = (values[-keep:], valid[-keep:]) if keep else (values[:0], valid[:0])
+        self._state.update((n, tail.tobytes(), known.tobytes()))
+
+
+def pane_values(values: np.ndarray, valid: np.ndarray, ends: np.ndarray, size: int, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """(reduced value, whether there is one) of the last `size` values before each end, nulls left out."""
+    begins = np.maximum(0, ends - size)
+    counted = np.concatenate([[0], np.cumsum(valid)])
+    count = counted[ends] - counted[begins]
+    if how == "count":
+        return count, np.ones(len(ends), bool)
+    if how == "sum":
+        summed = np.concatenate([[0], np.cumsum(np.where(valid, values, 0))])
+        return summed[ends] - summed[begins], count > 0
+    least, none = (np.minimum, np.iinfo(np.int64).max) if how == "min" else (np.maximum, np.iinfo(np.int64).min)
+    filled = np.append(np.where(valid, values, none), none)
+    return least.reduceat(filled, np.column_stack([begins, ends]).ravel())[::2], count > 0
 
 
 def count_window_reduce(
@@ -162,17 +236,21 @@ def count_window_reduce(
     order_by: str | None = None,
     into: str | None = None,
 ) -> DataFrame:
-    """`key, n, into` per pane: sum, min, max or count of a BIGINT column."""
+    """`key, n, into` per pane: sum, min, max or count of a BIGINT column, without its nulls.
+
+    A pane of nulls only has a null, or a count of 0. `order_by` sorts all rows a key has in a micro-batch.
+    """
     positive(size=size, slide=slide)
-    one_of("how", how, tuple(_REDUCE))
+    one_of("how", how, REDUCE)
     into = into or how
-    columns = [key, F.col(value).cast("bigint").alias(value)] + ([order_by] if order_by else [])
+    whole = F.col(value).cast("bigint")
+    columns = [F.coalesce(whole, F.lit(0)).cast("bigint").alias("value"), whole.isNotNull().alias("known")]
+    order = [] if order_by is None else [F.col(order_by).alias("place")]
     field = stream.schema[key]
     out = StructType([field, StructField("n", LongType()), StructField(into, LongType())])
-    processor = ReducePaneState(key, value, how, size, slide, order_by, into)
-    return stream.select(*columns).groupBy(key).transformWithStateInPandas(
-        processor, out, "append", "none"
-    )
+    processor = ReducePaneState(key, how, size, slide, "place" if order else None, into)
+    rows = stream.select(F.col(key).alias("key"), *columns, *order)
+    return rows.groupBy("key").transformWithStateInPandas(processor, out, "append", "none")
 
 
 def final_state(stream: DataFrame, key: str, order_by: str, payload: str) -> DataFrame:

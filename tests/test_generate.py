@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from panewise.functions.draws import below, hash_draw, letters, md5_draw
 from panewise.operators import zipf
 from panewise.operators.zipf import draw_words, weight_scale, zipf_cdf, zipf_ranks
+from panewise.sources import generate
 from panewise.sources.generate import key_payload_lines, key_payloads, word_stream, zipf_words
 
 
@@ -83,11 +84,35 @@ def test_bad_skew(spark, skew):
 
 
 def test_bad_words(spark):
-    for words in (0, 1 << 31):
+    for words in (0, (1 << 50) + 1):
         with pytest.raises(ValueError):
             zipf_ranks(spark, words, 1.0)
 
 
+def test_rare_ranks_have_a_weight(spark):
+    ranks = spark.createDataFrame([(1,), (24_000_000,), (99_999_999,)], "rank bigint")
+    got = zipf.zipf_weights(ranks, "rank", 2.0, weight_scale(10**8, 2.0)).collect()
+    assert [r.weight >= 1 for r in got] == [True] * 3 and got[0].weight > 1 << 48
+
+
+@pytest.mark.parametrize("words", [7, (1 << 31) - 1, (1 << 40) + 3])
+def test_words_of_many_ranks(spark, words):
+    some = sorted({1, 2, 3, words // 2, words - 1, words})
+    ranks = spark.createDataFrame([(r,) for r in some], "rank bigint")
+    got = [int(r.word) for r in ranks.select(zipf.word_of_rank("rank", words, 5)).collect()]
+    assert len(set(got)) == len(some) and all(1 <= w <= words for w in got)
+    prime = (1 << 31) - 1 if words < (1 << 31) - 1 else (1 << 61) - 1
+    assert got == [(r * pow(prime, 6, words) + 5 % words) % words + 1 for r in some]
+
+
+def test_long_payloads_are_made_in_place(spark, monkeypatch):
+    short = key_payloads(spark.range(500), "id", 10, 5)
+    monkeypatch.setattr(generate, "BROADCAST_POOL_BYTES", 0)
+    long = key_payloads(spark.range(500), "id", 10, 5)
+    assert "Join" not in long._jdf.queryExecution().optimizedPlan().toString()
+    assert short.exceptAll(long).count() == 0
+
+
 def test_key_payload_lines(spark):
     lines = key_payload_lines(spark, 20_000, 50, 8, seed=3)
     assert lines.where(F.col("value").rlike(r"^\d+ [a-z]{8}$")).count() == 20_000

@@ -33,22 +33,28 @@ def test_written_rows_keep_their_order_column(spark, tmp_path):
     assert [int(r.value) for r in rows.orderBy("seq").collect()] == list(range(100))
 
 
-def test_small_tables_are_spread(spark, tmp_path):
-    cores = spark.sparkContext.defaultParallelism
-    path = str(tmp_path / "table")
-    spark.range(1000).withColumn("x", F.lit(1)).coalesce(1).write.parquet(path)
-    spread = io.read_table(spark, path, "id", spread=True)
-    assert spread.columns == ["id"] and spread.rdd.getNumPartitions() == max(cores, 1)
-    assert io.read_table(spark, path).rdd.getNumPartitions() == 1
-    many = str(tmp_path / "many")
-    spark.range(10_000).repartition(4 * cores).write.parquet(many)
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+def test_order_follows_files_of_any_size(spark, tmp_path):
+    sizes = {"a.txt": 2, "b.txt": 4000, "c.txt": 1, "d.txt": 300}
+    want = []
+    for name, n in sizes.items():
+        lines = [f"{name} {i}" for i in range(n)]
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
     try:
-        kept = io.read_table(spark, many, spread=True)
-        assert "RoundRobin" not in kept._jdf.queryExecution().executedPlan().toString()
-        assert kept.rdd.getNumPartitions() == 4 * cores
+        got = io.read_lines(spark, str(tmp_path), order="seq").orderBy("seq").collect()
     finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.value for r in got] == want and [r.seq for r in got] == list(range(len(want)))
+
+
+def test_table_columns(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(10).withColumn("x", F.lit(1)).write.parquet(path)
+    assert io.read_table(spark, path, "id").columns == ["id"]
+    assert io.read_table(spark, path).columns == ["id", "x"]
 
 
 def test_messages_are_text(spark):
@@ -77,4 +83,5 @@ def test_metric(spark, tmp_path):
         io.write_metric(metric, path)
         io.append_metric(metric, str(tmp_path / "history"))
     assert [r.value for r in spark.read.text(path).collect()] == ["1234.5"]
+    assert io.read_metric(spark, path).first().thp == 1234.5
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from models import numbered
+from panewise.operators import running
 from panewise.operators.ranges import explode_range
 from panewise.operators.running import (
     hot_keys,
@@ -110,7 +111,8 @@ def test_a_row_without_an_order_is_not_lost_silently(spark, hot_rows):
 def test_hot_keys_are_the_largest(spark):
     rows = some_rows(ORDERS["dense"])
     df = keyed(spark, rows)
-    assert [r.key for r in hot_keys(df, ["key"], "o", 50, limit=1).collect()] == ["hot"]
+    assert {r.key for r in hot_keys(df, ["key"], "o", 50).collect()} == {"hot", None}
+    assert mark_hot(df, ["key"], "o", "is_hot", 10**6) is None
     marked = mark_hot(df, ["key"], "o", "is_hot", 50)
     assert {r.key for r in marked.where("is_hot").collect()} == {"hot", None}
     assert marked.count() == len(rows)
@@ -125,6 +127,13 @@ def test_hot_keys_from_some_rows(spark):
     assert numbered.exceptAll(number_rows(df, ["key"], "o", hot_rows=None)).count() == 0
 
 
+def test_hot_keys_that_are_not_broadcast(spark, monkeypatch):
+    rows = some_rows(ORDERS["dense"])
+    monkeypatch.setattr(running, "BROADCAST_KEYS", 0)
+    got = number_rows(keyed(spark, rows), ["key"], "o", hot_rows=50, bits=(4, 3))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(numbered(rows), key=repr)
+
+
 @pytest.mark.parametrize("block", [1, 3, 100])
 def test_explode_range(spark, block):
     df = spark.createDataFrame([("a", 1, 10), ("b", 5, 5), ("c", 3, 2)], "k string, f bigint, t bigint")

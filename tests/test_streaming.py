@@ -96,7 +96,7 @@ def test_final_state(spark, events, folder, tmp_path):
         state = stateful.final_state(stream(spark, events, folder), "user_id", "event_id", "event_type")
         out = str(tmp_path / profile)
         run_to_end(spark, microbatch.replace_table(state, out, out + "-checkpoint"), profile)
-        same(spark.read.parquet(out), counter.final_state(events, "user_id", "event_id", "event_type"))
+        same(microbatch.read_result(spark, out), counter.final_state(events, "user_id", "event_id", "event_type"))
 
 
 def counter_writer(spark, events, folder, tmp_path):
@@ -132,15 +132,15 @@ def test_restart_goes_on_from_the_checkpoint(spark, events, tmp_path):
 
 def test_failed_batch_is_run_again_from_the_same_state(spark, events, folder, tmp_path, monkeypatch):
     """Fail after the output of the third batch is written but before its state is."""
-    real, calls = microbatch._write_state, []
+    real, calls = microbatch.BucketState.write, []
 
-    def failing(state, checkpoint, name, batch_id):
+    def failing(self, rows, batch_id, buckets):
         calls.append(batch_id)
         if calls.count(2) == 1 and batch_id == 2:
             raise RuntimeError("lost")
-        return real(state, checkpoint, name, batch_id)
+        return real(self, rows, batch_id, buckets)
 
-    monkeypatch.setattr(microbatch, "_write_state", failing)
+    monkeypatch.setattr(microbatch.BucketState, "write", failing)
     with pytest.raises(Exception, match="lost"):
         run_to_end(spark, counter_writer(spark, events, folder, tmp_path))
     run_to_end(spark, counter_writer(spark, events, folder, tmp_path))
@@ -150,6 +150,74 @@ def test_failed_batch_is_run_again_from_the_same_state(spark, events, folder, tm
     )
 
 
+def test_untouched_buckets_are_not_written_again(spark, tmp_path):
+    schema = "k bigint, n bigint"
+    rows = spark.createDataFrame([(i, 1) for i in range(200)], schema)
+    state = microbatch.BucketState(spark, str(tmp_path), "s", "k", rows.schema)
+    every = microbatch.touched_buckets(rows, "k")
+    state.write(rows, 0, every)
+    few = spark.createDataFrame([(5, 2)], schema)
+    touched = microbatch.touched_buckets(few, "k")
+    old = state.read(1, touched)
+    assert len(touched) == 1 and 0 < old.count() < 200
+    state.write(old.where("k <> 5").unionByName(few), 1, touched)
+    held = state.manifest(1)
+    assert {b for b, v in held.items() if v == 1} == set(touched) and set(held) == set(every)
+    assert os.listdir(tmp_path / "tables" / "s" / "batch=1") != [] and state.read(2, every).count() == 200
+    assert state.read(2, every).where("k = 5").first().n == 2
+    # Versions go once no batch can start from them, and buckets may lose all rows.
+    state.write(few, 2, touched)
+    state.write(few.limit(0), 3, touched)
+    assert set(state.manifest(3)) == set(every) - set(touched)
+    assert not (tmp_path / "tables" / "s" / "batch=0" / f"__bucket={touched[0]}").exists()
+    assert not (tmp_path / "tables" / "s" / "manifest" / "1").exists()
+
+
+def test_microbatch_decimals(spark, events, folder, tmp_path):
+    """Sums of decimals keep one type over many batches."""
+    money = F.col("cents").cast("decimal(10,2)")
+    out = str(tmp_path / "out")
+    writer = microbatch.count_window_reduce(
+        stream(spark, events, folder).withColumn("cents", money), "user_id", "event_id", "cents", "sum", 40, 3,
+        out, str(tmp_path / "checkpoint"),
+    )
+    run_to_end(spark, writer)
+    want = windows.count_window_reduce(events.withColumn("cents", money), ["user_id"], "event_id", "cents", "sum", 40, 3)
+    got = microbatch.read_output(spark, out)
+    assert got.schema["sum"].dataType == want.schema["sum"].dataType
+    same(got, want)
+
+
+@pytest.mark.parametrize("how", ["sum", "min", "max", "count"])
+def test_state_reduce_with_nulls(spark, events, folder, tmp_path, how):
+    """Nulls are left out; large values stay exact."""
+    value = F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("cents") + (1 << 53))
+    value = F.when(F.col("user_id") == 1, None).otherwise(value)
+    rows = stateful.count_window_reduce(
+        stream(spark, events, folder).withColumn("cents", value), "user_id", "cents", how, 3, 2, "event_id"
+    )
+    got, _ = written(spark, rows, tmp_path)
+    batch = events.withColumn("cents", value)
+    same(got, windows.count_window_reduce(batch, ["user_id"], "event_id", "cents", how, 3, 2))
+
+
+def test_state_order_over_arrow_batches(spark, tmp_path, monkeypatch):
+    """One key with more rows in one micro-batch than an Arrow batch or a sorted run has, in falling order."""
+    monkeypatch.setattr(stateful, "RUN_ROWS", 12_000)
+    n = 25_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("k"), (n - F.col("id")).alias("o"),
+        F.when(F.col("id") % 11 != 0, (n - F.col("id")).cast("string")).alias("p"), (F.col("id") % 97).alias("v"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    (tmp_path / "counter").mkdir()
+    got, _ = written(spark, stateful.running_counter(source, "k", "p", "o"), tmp_path / "counter")
+    same(got, counter.running_counter(rows, "k", "o", "p"))
+    panes, _ = written(spark, stateful.count_window_reduce(source, "k", "v", "sum", 10, 3, "o"), tmp_path)
+    same(panes, windows.count_window_reduce(rows, ["k"], "o", "v", "sum", 10, 3))
+
+
 @pytest.mark.parametrize("how,size,slide", [("sum", 10, 3), ("count", 3, 10), ("max", 25, 25)])
 def test_microbatch_reduce(spark, events, folder, tmp_path, how, size, slide):
     out = str(tmp_path / "out")
@@ -183,15 +251,15 @@ def test_stream_throughput(spark, events, folder, tmp_path):
     out = str(tmp_path / "out")
     run_to_end(spark, microbatch.replace_table(rates, out, str(tmp_path / "checkpoint")))
     plain = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    same(spark.read.parquet(out), throughput.fixed_time(plain, "ts", 3_600_000))
+    same(microbatch.read_result(spark, out), throughput.fixed_time(plain, "ts", 3_600_000))
 
 
 def test_stream_until_idle(spark, events, folder, tmp_path):
     sessions = throughput.until_idle_stream(timed(spark, events, folder), "ts", "event_type", 3_600_000)
-    out = str(tmp_path / "out")
+    out = str(tmp_path / "out")  # in complete mode, so that open sessions are there too
     run_to_end(spark, microbatch.replace_table(sessions, out, str(tmp_path / "checkpoint")))
     plain = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    same(spark.read.parquet(out), throughput.until_idle(plain, "ts", 3_600_000, by=["event_type"]))
+    same(microbatch.read_result(spark, out), throughput.until_idle(plain, "ts", 3_600_000, by=["event_type"]))
 
 
 def test_jobs_on_text(spark, events, tmp_path):

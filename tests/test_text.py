@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panewise.plans import jobs
 from panewise.functions.text import (
     parse_key_payload,
     split_words,
@@ -60,6 +61,17 @@ def test_parse_fails(spark, line):
         parse_key_payload(lines(spark, [line])).collect()
 
 
+@pytest.mark.parametrize("bad", ["2", None])
+def test_a_bad_line_fails_whatever_is_read_of_it(spark, bad):
+    df = spark.createDataFrame([(0, "1 a"), (1, bad), (2, "1 b")], "i bigint, value string")
+    records = parse_key_payload(df, keep=("i",))
+    for read in (records.select("key"), records.select("payload"), records.select("i"), records.where("key = 1")):
+        with pytest.raises(Exception, match="not a `key payload` line"):
+            read.collect()
+    with pytest.raises(Exception, match="not a `key payload` line"):
+        jobs.keyed_counter(df, "i", key=1).collect()
+
+
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_parse_does_not_hang_on_ansi_mode(spark, ansi):
     spark.conf.set("spark.sql.ansi.enabled", ansi)

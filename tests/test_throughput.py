@@ -84,6 +84,11 @@ def test_fixed_time_and_warm_mean(spark):
     ]
     assert warm_mean(measured, 10_000).first().thp == (1 + 0 + 2 + 3 + 4) / 50
     assert warm_mean(measured, 10_000, runs=2).first().thp == 0.1
+    assert warm_mean(measured, 10_000, runs=60).first().thp == (1 + 0 + 2 + 3 + 4 + 9) / 60
+    few = fixed_time(at(spark, [0, 1, 2, 20, 21]), "ts", 10_000)
+    assert warm_mean(few, 10_000).first().thp == 2 / 20
+    assert warm_mean(few.limit(0), 10_000).first().thp is None
+    assert warm_mean(few.where("n = 3"), 10_000).first().thp is None
 
 
 def test_after_fill(spark):
