@@ -1,0 +1,119 @@
+"""Secrets and personal data against the plain patterns."""
+
+import hashlib
+import random
+import re
+import time
+
+import numpy as np
+import pytest
+
+from llm_fixtures import documents, table
+from panewise.llm import boosting, pii, secrets
+
+SECRET = {
+    "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+PRIVATE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_secrets(text):
+    good = {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}
+    spans = [(k, *m.span()) for k, p in SECRET.items() for m in re.finditer(p, text or "") if good[k](m)]
+    return sorted(spans, key=lambda s: (s[1], list(SECRET).index(s[0])))
+
+
+def plain_private(text):
+    d = lambda m: re.sub("[^0-9]", "", m[0])
+    good = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m[0].split(".")),
+        "card": lambda m: 13 <= len(d(m)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d(m)))) % 10 == 0,
+        "phone": lambda m: 9 <= len(d(m)) <= 15,
+    }
+    return [(k, *m.span()) for k, p in PRIVATE.items() for m in re.finditer(p, text or "") if good[k](m)]
+
+
+@pytest.mark.parametrize("plain,ours,parts", [
+    (plain_secrets, secrets.base_spans, ["password", "toKen", "api_key", "secreT", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJ0123456", "deadbeef01234567", "x", "ſ", "\n", "=/+", "Ā"]),
+    (plain_private, pii.base_spans, ["a@b.c", "@", "a", ".", "-", "+", "1", "22", "255", " ", "(", ")", "4111111111111111", "1.2.3.4", "é", "_%", "\n"]),
+])
+def test_base_spans_are_those_of_the_patterns(plain, ours, parts):
+    rng = random.Random(5)
+    for _ in range(15_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 18)))
+        assert ours(text) == plain(text), text
+
+
+def test_names_and_literals():
+    text = (
+        'db_password = "hunter2-Zx91qq"\nKEY = "sk_live_9f8Q2m1Zr7"\nclient = Client(api_key=KEY, region="eu-west-1")\n'
+        '{"client_secret": "Zm9vYmFyMTIz", "id": "x"}\nexport SECRET_KEY=aB3dE5gH7jK9\npart = "AbC1" + "dEf2GhI3"\nmy_secret = part\n'
+        'password_field = "user-password-1"\npassword = "changeme-example"\n# token = "commented-Out-77x"\ntoken_id: "not-A-secret-12"\n'
+    )
+    found = [text[s:e] for k, s, e in secrets.find(text)[1] if k == secrets.LITERAL]
+    assert found == ["hunter2-Zx91qq", "sk_live_9f8Q2m1Zr7", "Zm9vYmFyMTIz", "aB3dE5gH7jK9", "AbC1", "dEf2GhI3"]
+    assert secrets.find("The secret: it was a token of passion. Key = all of it.") == ([], [])
+    clean = secrets.redacted(text, secrets.find(text)[1])
+    assert not any(f in clean for f in found) and 'token_id: "not-A-secret-12"' in clean
+
+
+def test_long_texts_take_time_in_proportion():
+    model = pii.train(np.zeros((0, 0)), np.zeros(0))
+    started = time.monotonic()
+    for part in ("1", "a", "a@b.", "1-", "+1 ", "1.1.1.1.", "token ", '"', "x=", "token='", "password : \n", "a.b-"):
+        text = (part * 100_000)[:100_000]
+        pii.find(text, model)
+        secrets.find(text)
+    assert time.monotonic() - started < 120
+
+
+def test_selected_candidates():
+    model = pii.train(np.zeros((0, 0)), np.zeros(0))
+    text = "call tel: 030 123 4567 or (415) 555-2671, SSN 123-45-6789, bob (at) example (dot) com, 2024-01-02, order 12-34-56, host 999.1.1.1"
+    base, every = pii.find(text, model)
+    assert base == [] and {text[s:e] for _, s, e in every} >= {"bob (at) example (dot) com", "123-45-6789"}
+    assert not {"2024-01-02", "999.1.1.1"} & {text[s:e] for _, s, e in every}
+    for r in documents()[:60]:
+        assert pii.find(r[1], model) == ([], [])
+
+
+def test_boosted_trees_learn_and_are_calibrated():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 5))
+    chance = boosting.sigmoid(3 * np.where(x[:, 0] > 0, x[:, 1], -x[:, 2]))
+    y = (rng.random(4000) < chance).astype(float)
+    model = boosting.calibrated(boosting.fit(x[:2000], y[:2000]), x[2000:3000], y[2000:3000])
+    p, truth = model.chance(x[3000:]), y[3000:]
+    assert ((p > 0.5) == (truth > 0.5)).mean() > 0.75
+    for low in (0.0, 0.25, 0.5, 0.75):
+        here = (p >= low) & (p < low + 0.25)
+        assert abs(p[here].mean() - truth[here].mean()) < 0.12
+    assert truth[p >= boosting.threshold(p, truth, 0.9)].mean() >= 0.9
+    assert boosting.threshold(p, np.zeros(1000), 0.9) > 1
+
+
+@pytest.mark.parametrize("kinds,plain,scan", [
+    (secrets.KINDS, plain_secrets, secrets.find_secrets),
+    (pii.KINDS, plain_private, lambda docs: pii.find_personal(docs, sample=50)),
+])
+def test_tables(spark, kinds, plain, scan):
+    got = secrets.digest_columns(scan(table(spark)), kinds).collect()
+    want = []
+    for r in documents():
+        base = plain(r[1])
+        shown = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        want.append((r[0], *(sum(b[0] == k for b in base) for k in kinds), hashlib.sha256(shown.encode()).hexdigest()))
+    assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted(want, key=repr)
+    for r in got:
+        if r.doc_id in (95, 96):
+            text = dict((x[0], x[1]) for x in documents())[r.doc_id]
+            assert {f"{k}:{s}:{e}" for k, s, e in plain(text)} <= set(filter(None, r.spans.split(",")))
+    assert secrets.digest_columns(scan(table(spark).limit(0)), kinds).count() == 0
