@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panewise.session import working_dir  # noqa: F401
+from panewise.session import forget, working_dir
 from panewise.sources.io import written  # noqa: F401
 
 # The white space of the contracts' words, as a Java or Python character class.
@@ -57,3 +57,27 @@ def fresh(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+class Scratch:
+    """Tables that an operator writes on its way, in the shared working folder, and deletes when it is done
+    with them: once what is made of them is written too, a lost executor needs them no more."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self._spark, self._base, self._number = spark, working_dir(spark, purpose), 0
+        self._paths: dict[int, str] = {}
+        self._held: dict[int, DataFrame] = {}
+
+    def write(self, rows: DataFrame) -> DataFrame:
+        self._number += 1
+        path = f"{self._base}/{self._number}"
+        rows.write.parquet(path)
+        table = self._spark.read.schema(rows.schema).parquet(path)
+        self._paths[id(table)] = path
+        self._held[id(table)] = table  # so that its id isn't given to another
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            del self._held[id(table)]
+            forget(self._spark, self._paths.pop(id(table)))

@@ -7,16 +7,16 @@ are looked up by hash; those whose hash is found again are grouped by their full
 first place, by id and then place in the text, are removed. Built-in functions only.
 
 A null text stays null; a text without a removed chunk stays as it is, byte for byte; one all of whose lines
-go becomes empty. Ids are whole numbers; rows with the same id, or without one, count as one document, so
-the same chunk at the same place in them stays in each. Other columns are handed through, whatever their
-names. An empty table gives no rows.
+go becomes empty. Ids are whole numbers; rows with the same id, or without one, count as one document
+(those without come last), so the same chunk at the same place in them stays in each. Other columns are
+handed through, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panewise.llm.common import let, numbers, same, written
+from panewise.llm.common import Scratch, let, numbers, same
 
 #: Lines in the rolling hash. Its factor, and the hex digits of a line's hash, keep it inside 63 bits.
 WINDOW, FACTOR, HEX = 2, 31, 7
@@ -97,7 +97,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     rows = rows.filter(F.col("t").contains("\n"))
     found = rows.select("id", "h", F.explode(_contents(F.col("t"))).alias("c"))
     placed = found.select("id", "h", "c.no", F.xxhash64("c.content").alias("hash"), "c.content")
-    number = F.coalesce(F.col("id").cast(_PLACE), F.lit(str(-(2**63) - 1)).cast(_PLACE))
+    number = F.coalesce(F.col("id").cast(_PLACE), F.lit(str(2**63)).cast(_PLACE))
     placed = placed.withColumn("place", (number * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)"))
     again = (
         placed.groupBy("hash")
@@ -105,10 +105,13 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
         .filter(F.col("first") < F.col("last"))
         .select("hash")
     )
-    alike = written(placed.join(again, "hash", "left_semi"), "chunks")
+    scratch = Scratch(docs.sparkSession, "chunks")
+    alike = scratch.write(placed.join(again, "hash", "left_semi"))
     first = alike.groupBy("hash", "content").agg(F.min("place").alias("first"))
     gone = alike.join(first, ["hash", "content"]).filter(F.col("place") > F.col("first"))
-    return gone.groupBy("id", "h").agg(F.collect_set("no").alias("removed"))
+    numbers_of = scratch.write(gone.groupBy("id", "h").agg(F.collect_set("no").alias("removed")))
+    scratch.drop(alike)
+    return numbers_of
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", told: str = "line_dedup") -> DataFrame:

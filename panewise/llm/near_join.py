@@ -2,10 +2,9 @@
 
 Texts with the same set of shingles are one class. Shingles are put in one order, rare ones first, by a
 sketch of how many texts have them; two sets that are similar enough share one of their first few shingles.
-Classes that share such a shingle with the shingle's least class are compared with it, and what links
-forms the groups. The token-group matrix says which groups have a shingle among their members' first
-ones; a class is held against the other groups it meets there only if sizes and places allow enough
-overlap. A group's token union then bounds the overlap with all its members at once, and only groups that
+Classes that share such a shingle are compared with its most central class, and what links forms the
+groups. The token-group matrix says which groups have a shingle among their members' first ones; a class is
+held against the other groups it meets there only if sizes and places allow enough overlap. A group's token union then bounds the overlap with all its members at once, and only groups that
 qualify are opened. So no pair inside a group is ever looked at twice, and no link is lost.
 
 The sketch has a fixed size and only decides an order: collisions cost time, never links. Shingles are
@@ -25,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panewise.llm.common import by_size, same, written
+from panewise.llm.common import Scratch, by_size
 from panewise.llm.components import components
 from panewise.llm.shingles import shingle_sets
 
 #: Counters of the sketch, in blocks; one byte each reaches the executors.
-SLOTS, BLOCK = 1 << 22, 1 << 14
+SLOTS, BLOCK = 1 << 25, 1 << 14
+#: Bits of the filter that texts pass before their shingles are sent anywhere; a power of two.
+FILTER_BITS = 1 << 23
 #: Shingles of a group's members, and of queries, that meet in one task.
 MEMBER_TOKENS, QUERY_TOKENS = 1 << 19, 1 << 20
 
@@ -136,25 +137,58 @@ def _class(tokens: np.ndarray) -> bytes | None:
     return hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None
 
 
-def _tokens(size: int):
-    """`c, n, tokens` of the texts whose set is the wanted class."""
+def _marked(keys: DataFrame) -> np.ndarray:
+    """Words of a bit set of FILTER_BITS with the bit of every `k`; other keys may share a bit.
+
+    Bits are combined before the shuffle, and the driver gets FILTER_BITS / 64 rows at most.
+    """
+    bit = F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k").bitwiseAND(F.lit(63)).cast("int"))
+    rows = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in rows:
+        words[row["word"]] = row["bits"]
+    return words
+
+
+def _tokens(size: int, marked):
+    """`k, class, n, tokens` of the texts whose key has a bit in the filter."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = marked.value
         for batch in by_size(batches, "text", most=2 << 20):
+            k = batch.column("k").to_numpy()
+            bit = k & (FILTER_BITS - 1)
+            keep = pa.array(((words[bit >> 6] >> (bit & 63)) & 1) == 1)
+            batch = batch.filter(keep)
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), size)
-            keep = [i for i, (s, w) in enumerate(zip(sets, batch.column("class").to_pylist())) if _class(s) == w]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("c").take(pa.array(keep, pa.int64())),
-                    pa.array([len(sets[i]) for i in keep], pa.int64()),
-                    pa.array([sets[i].tobytes() for i in keep], pa.binary()),
+                    batch.column("k"),
+                    pa.array([_class(s) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["c", "n", "tokens"],
+                names=["k", "class", "n", "tokens"],
             )
 
     return tokens
 
 
+def _fetched(texts: DataFrame, first: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """`c, n, tokens` of the wanted classes, worked out again from each class's first text.
+
+    A filter of fixed size keeps nearly all other texts where they are; the join after it is exact.
+    """
+    first = scratch.write(first.join(wanted, "c", "left_semi"))
+    marked = texts.sparkSession.sparkContext.broadcast(_marked(first))
+    found = texts.select("k", "text").mapInArrow(_tokens(size, marked), "k long, class binary, n long, tokens binary")
+    found = found.join(first, ["k", "class"], "left_semi").select(F.xxhash64("class").alias("c"), "n", "tokens")
+    tokens = scratch.write(found.dropDuplicates(["c", "tokens"]))
+    scratch.drop(first)
+    return tokens
+
+
 # Opening groups --------------------------------------------------------------------------------------
 
 
@@ -188,26 +222,35 @@ def _open(threshold: Threshold):
     return links
 
 
-def _opened(pairs: DataFrame, members: DataFrame, tokens: DataFrame, threshold: Threshold) -> DataFrame:
+def _opened(
+    pairs: DataFrame, members: DataFrame, tokens: DataFrame, threshold: Threshold, scratch: Scratch
+) -> DataFrame:
     """Links `a, b` between the queries of `pairs` (c, g) and the members (g, c) of the groups.
 
     Members of a group are cut into parts, its queries into blocks, by hash and so that each has a bounded
     number of shingles; every block meets every part. A group of any size is so many small tasks.
     """
-    asked = written(pairs.join(tokens, "c"), "queries")
-    wanted = asked.select("g").distinct()
-    held = written(members.join(wanted, "g", "left_semi").join(tokens, "c"), "members")
+    size = tokens.select("c", "n")
+    asked, held = pairs.join(size, "c"), members.join(size, "c")
     cut = lambda most: F.ceil(F.sum("n") / most).cast("int")
     sizes = asked.groupBy("g").agg(cut(QUERY_TOKENS).alias("blocks")).join(
         held.groupBy("g").agg(cut(MEMBER_TOKENS).alias("parts")), "g"
     )
-    sizes = written(sizes, "sizes")
+    sizes = scratch.write(sizes)
     part = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(sizes, "g").select("g", every("parts").alias("part"), part("blocks").alias("block"), "c", "tokens")
-    right = held.join(sizes, "g").select("g", part("parts").alias("part"), every("blocks").alias("block"), "c", "tokens")
+    left = pairs.join(sizes, "g").select("g", every("parts").alias("part"), part("blocks").alias("block"), "c")
+    right = members.join(sizes, "g").select("g", part("parts").alias("part"), every("blocks").alias("block"), "c")
     key = ["g", "part", "block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_open(threshold), "a long, b long")
+
+    def with_tokens(side: DataFrame) -> DataFrame:
+        # New names for the columns, as both sides may come from the same tables.
+        return side.join(tokens.select("c", "tokens"), "c").select(*[F.col(c).alias(c) for c in (*key, "c", "tokens")])
+
+    met = with_tokens(left).groupBy(*key).cogroup(with_tokens(right).groupBy(*key))
+    links = scratch.write(met.applyInArrow(_open(threshold), "a long, b long"))
+    scratch.drop(sizes)
+    return links
 
 
 def join(
@@ -227,7 +270,8 @@ def first_of_each(
     Rows without shingles or without an id stay; rows that repeat an id and its text stay or go together.
     """
     found = _joined(docs, words, num, den, id, text)
-    gone = written(found.filter(F.col("id") != F.col("component_id")).select("id", "h").distinct(), "gone")
+    gone = found.filter(F.col("id") != F.col("component_id")).select("id", "h").distinct()
+    gone = Scratch(docs.sparkSession, "gone").write(gone)
     gone = gone.select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"))
     names = [f"c{i}" for i in range(len(docs.columns))]  # no name of the table meets one of ours
     d = docs.toDF(*names)
@@ -239,67 +283,96 @@ def first_of_each(
 def _joined(docs: DataFrame, words: int, num: int, den: int, id: str, text: str) -> DataFrame:
     """`id, h, n, component_id` per row, h the hash of the text."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "near-join")
     threshold = Threshold(num, den)
     texts = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(texts, words))
-    texts = texts.withColumn("h", F.xxhash64("text"))
-    sets = texts.mapInArrow(
+    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "h"))
+    sets = texts.drop("k").mapInArrow(
         _describe(words, threshold, levels), "id long, h long, n long, class binary, prefix array<long>"
     )
-    sets = written(sets.withColumn("c", F.xxhash64("class")), "sets")
-    classes = sets.filter(F.col("n") > 0)
-
-    rows = classes.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = rows.groupBy("token").agg(F.min("c").alias("pivot"), F.max("c").alias("last"))
-    shared = shared.filter(F.col("pivot") < F.col("last")).select("token", "pivot")
-    postings = written(rows.join(shared, "token").select("token", "c", "n", "pos", "pivot").distinct(), "postings")
-
-    alike = postings.select("c").distinct()
-    first = classes.groupBy("class", "c").agg(F.min(F.struct("id", "h")).alias("r")).join(alike, "c", "left_semi")
-    first = first.select("class", "c", F.col("r.id").alias("first_id"), F.col("r.h").alias("first_h"))
-    chosen = texts.join(first, (F.col("h") == F.col("first_h")) & same(F.col("id"), F.col("first_id")))
-    tokens = chosen.select("text", "class", "c").mapInArrow(_tokens(words), "c long, n long, tokens binary")
-    tokens = written(tokens.dropDuplicates(["c", "tokens"]), "tokens")
-
-    # Each class against the least class of the shingles it shares: what links there forms groups.
-    p, q = postings.alias("p"), postings.select("token", F.col("c").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("at")).alias("q")
-    met = p.join(q, ["token", "pivot"]).filter(F.col("p.c") != F.col("pivot"))
-    met = _possible(met, "c", "pivot", threshold).withColumnRenamed("pivot", "g")
-    star = written(_opened(met, met.select("g", F.col("g").alias("c")).distinct(), tokens, threshold), "links")
-    groups = written(components(star), "groups").select(F.col("node").alias("c"), F.col("label").alias("g"))
+    sets = scratch.write(sets.withColumn("c", F.xxhash64("class")))
+
+    # Shingles that two classes have among their first ones; n and place share a number to save room.
+    rows = sets.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "c", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
+    shared = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    shared = shared.filter(F.col("low") < F.col("high")).select("token")
+    size_of, place_of = F.shiftright("at", 31).alias("n"), (F.col("at") % (1 << 31)).alias("pos")
+    postings = rows.join(shared, "token").distinct().select("token", "c", size_of, place_of)
+    postings = scratch.write(postings)
+    plain = scratch.write(sets.drop("prefix"))
+    scratch.drop(sets)
+    sets, classes = plain, plain.filter(F.col("n") > 0)
+    first = _first(classes)
+
+    # Each class against the most central class of the shingles it shares: what links there forms groups.
+    q = postings.select("token", F.col("c").alias("g"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    met = postings.join(_central(postings), "token").join(q, ["token", "g"]).filter(F.col("c") != F.col("g"))
+    met = scratch.write(met.filter(_possible(threshold)).select("c", "g").distinct())
+    pivots = met.select("g", F.col("g").alias("c")).distinct()
+    tokens = _fetched(texts, first, met.select("c").union(pivots.select("c")).distinct(), words, scratch)
+    star = _opened(met, pivots, tokens, threshold, scratch)
+    scratch.drop(met, tokens)
+    groups = components(star).select(F.col("node").alias("c"), F.col("label").alias("g"))
 
     # The token-group matrix: groups with a shingle among their members' first ones, and what sizes and places allow.
     grouped = postings.join(groups, "c", "left").withColumn("g", F.coalesce("g", "c")).select("token", "c", "n", "pos", "g")
-    grouped = written(grouped, "grouped")
+    grouped = scratch.write(grouped)
+    scratch.drop(postings)
     matrix = grouped.groupBy("token", F.col("g").alias("other")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest")
     )
     between = matrix.groupBy("token").agg(F.min("other").alias("low"), F.max("other").alias("high"))
-    between = written(between.filter(F.col("low") < F.col("high")).select("token"), "between")
-    matrix = written(matrix.join(between, "token", "left_semi"), "matrix")
+    between = scratch.write(between.filter(F.col("low") < F.col("high")).select("token"))
+    matrix = scratch.write(matrix.join(between, "token", "left_semi"))
     asks = grouped.join(between, "token", "left_semi").join(matrix, "token").filter(F.col("other") < F.col("g"))
     allowed = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
-    bound = F.least(F.col("n") - F.col("pos"), F.col("rest"))
-    pairs = asks.filter(allowed).groupBy("c", "other").agg(F.max(bound).alias("bound"), F.max("n").alias("n"), F.min("least").alias("least"))
     needed = F.greatest(F.ceil(F.col("n") * num / den), F.ceil((F.col("n") + F.col("least")) * num / (num + den)))
-    pairs = pairs.filter(F.col("bound") >= needed).select("c", F.col("other").alias("g"))
-    more = _opened(pairs, grouped.select("g", "c").distinct(), tokens, threshold)
-    linked = written(components(star.unionByName(more)), "components").select(F.col("node").alias("c"), "label")
+    roomy = F.least(F.col("n") - F.col("pos"), F.col("rest")) >= needed
+    pairs = scratch.write(asks.filter(allowed & roomy).select("c", F.col("other").alias("g")).distinct())
+    members = grouped.select("g", "c").distinct().join(pairs.select("g").distinct(), "g", "left_semi")
+    members = scratch.write(members)
+    scratch.drop(grouped, between, matrix)
+    tokens = _fetched(texts, first, pairs.select("c").union(members.select("c")).distinct(), words, scratch)
+    more = _opened(pairs, members, tokens, threshold, scratch)
+    scratch.drop(pairs, members, tokens)
+    linked = components(star.unionByName(more)).select(F.col("node").alias("c"), "label")
 
     # Ids of whole components, then back to the rows.
     least = classes.groupBy("class", "c").agg(F.min("id").alias("least")).join(linked, "c", "left")
-    least = written(least.withColumn("label", F.coalesce("label", "c")), "classes")
+    least = scratch.write(least.withColumn("label", F.coalesce("label", "c")))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    smallest = written(least.join(smallest, "label").select(F.col("class").alias("of"), "component_id"), "smallest")
+    smallest = scratch.write(least.join(smallest, "label").select(F.col("class").alias("of"), "component_id"))
+    scratch.drop(least, star, more)
     out = sets.join(smallest, F.col("class") == F.col("of"), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "h", "n", own.alias("component_id"))
 
 
-def _possible(met: DataFrame, left: str, right: str, threshold: Threshold) -> DataFrame:
-    """Pairs whose sizes n, m and places pos, at of their first shared shingle leave room for a link."""
+def _first(classes: DataFrame) -> DataFrame:
+    """`class, c, k`: the key of the first text of each class."""
+    first = classes.groupBy("class", "c").agg(F.min(F.struct("id", "h")).alias("r"))
+    return first.select("class", "c", F.xxhash64("r.id", "r.h").alias("k"))
+
+
+def _central(postings: DataFrame) -> DataFrame:
+    """`token, g`: of the classes with a shingle the one that has the fewest rarer ones, then the least.
+
+    Near copies of one text have few shingles of their own before those they share: the first of them is
+    the likeliest to be linked with the others. Place and class share one number, so that they are compared
+    before the shuffle.
+    """
+    wide, low = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = F.col("pos").cast("decimal(18,0)") * wide + (F.col("c").cast("decimal(20,0)") + low)
+    least = postings.groupBy("token").agg(F.min(place.cast("decimal(38,0)")).alias("place"))
+    return least.select("token", ((F.col("place") % wide) - low).cast("bigint").alias("g"))
+
+
+def _possible(threshold: Threshold):
+    """Whether sizes n, m and places pos, at of a shared shingle leave room for a link. For a linked pair that
+    holds at the first shingle they share, where the most is still to come."""
     num, den = threshold.num, threshold.den
     sizes = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
     bound = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    pairs = met.filter(sizes).groupBy(left, right).agg(F.max(bound).alias("bound"), F.max("n").alias("n"), F.max("m").alias("m"))
-    return pairs.filter(F.col("bound") * (num + den) >= (F.col("n") + F.col("m")) * num).select(left, right)
+    return sizes & (bound * (num + den) >= (F.col("n") + F.col("m")) * num)

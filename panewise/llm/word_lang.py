@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from panewise.llm.common import by_size
 
@@ -320,7 +320,8 @@ def stretches(
     return [(r["t"], r["g"]) for r in few.orderBy("g", "no").select("t", "g").collect()]
 
 
-# Codes that are scored at once; a longer text is cut between words, its chain is not.
+# Codes that are scored at once; a longer text is cut between words (or in a word longer than that), its
+# chain is not.
 _AT_ONCE = 1 << 21
 
 
@@ -377,9 +378,11 @@ def _label(model: Model, runs: bool):
     return label
 
 
-_FOUND = StructType.fromDDL(
-    "lang_pred string, score double, n_words long, n_runs long, runs array<struct<first:int,n:int,lang:string>>"
-)
+_RUN = StructType().add("first", IntegerType()).add("n", IntegerType()).add("lang", StringType())
+_FOUND = (
+    StructType().add("lang_pred", StringType()).add("score", DoubleType())
+    .add("n_words", LongType()).add("n_runs", LongType()).add("runs", ArrayType(_RUN))
+)
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("lang", pa.string())]))
 
 
