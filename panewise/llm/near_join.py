@@ -28,8 +28,9 @@ from panewise.llm.common import Scratch, by_size
 from panewise.llm.components import components
 from panewise.llm.shingles import shingle_sets
 
-#: Counters of the sketch, in blocks; one byte each reaches the executors.
-SLOTS, BLOCK = 1 << 25, 1 << 14
+#: Counters of the sketch, in blocks; one byte each reaches the executors. It counts the shingles whose hash
+#: has no bit of SKIP: counts are less crowded, and the others come after the rare ones of these.
+SLOTS, BLOCK, SKIP = 1 << 25, 1 << 14, 1
 #: Bits of the filter that texts pass before their shingles are sent anywhere; a power of two.
 FILTER_BITS = 1 << 23
 #: Shingles of a group's members, and of queries, that meet in one task.
@@ -55,6 +56,10 @@ class Threshold:
 # How many texts have a shingle, about ----------------------------------------------------------------
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens >> np.uint64(1)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def _count(size: int, lanes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -62,7 +67,7 @@ def _count(size: int, lanes: int):
         counts = np.zeros(SLOTS, np.uint32)
         for batch in by_size(batches, "text", most=2 << 20):
             for tokens in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), size):
-                counts[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
+                counts[_slots(tokens[tokens & np.uint64(SKIP) == 0])] += 1
         blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BLOCK)
         full = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -85,8 +90,9 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table([table.column("block")[:1], table.column("lane")[:1], pa.array([packed], pa.binary())], names=["block", "lane", "counts"])
 
 
-def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
-    """For each slot the number of binary digits of the count of the texts with a shingle there.
+def frequency_levels(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """For each slot a level that rises with the count of the texts with a shingle there, and the highest
+    level of what is rare: counts of about four times the mean.
 
     Each task counts all its texts; counts are added in two steps of about the square root of the number of
     tasks, block by block. The driver gets one byte for each slot, whatever the size of the table.
@@ -95,11 +101,17 @@ def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
     lanes = int(np.ceil(np.sqrt(texts.rdd.getNumPartitions())))
     counted = texts.select("text").mapInArrow(_count(size, lanes), schema)
     summed = counted.groupBy("block", "lane").applyInArrow(_add, schema)
-    levels = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
+    levels, total = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8), 0
     for row in summed.groupBy("block").applyInArrow(_add, schema).collect():
         counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
-        levels[row["block"]] = np.ceil(np.log2(counts.astype(np.float64) + 1))
-    return levels.ravel()
+        total += int(counts.sum())
+        levels[row["block"]] = _level(counts)
+    return levels.ravel(), int(_level(np.array([2 + 4 * total / SLOTS]))[0])
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Small counts as they are, beyond them eight levels to a doubling."""
+    return np.where(counts < 16, counts, 8 * np.log2(np.maximum(counts, 1)) - 16).astype(np.uint8)
 
 
 # Sets and what they share ----------------------------------------------------------------------------
@@ -109,14 +121,14 @@ def _describe(size: int, threshold: Threshold, levels):
     """`id, h, n, class, c, prefix` of each text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        level, rare = levels.value
         for batch in by_size(batches, "text", most=2 << 20):
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), size)
             prefixes = []
             for s in sets:
-                p = threshold.prefix(len(s))
-                rare = np.lexsort((s, level[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))[:p]
-                prefixes.append(s[rare].view(np.int64))
+                own = level[_slots(s)].astype(np.int64)
+                place = np.where(s & np.uint64(SKIP) == 0, own + (own > rare), rare + 1)
+                prefixes.append(s[np.lexsort((s, place))[: threshold.prefix(len(s))]].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -183,8 +195,9 @@ def _fetched(texts: DataFrame, first: DataFrame, wanted: DataFrame, size: int, s
     first = scratch.write(first.join(wanted, "c", "left_semi"))
     marked = texts.sparkSession.sparkContext.broadcast(_marked(first))
     found = texts.select("k", "text").mapInArrow(_tokens(size, marked), "k long, class binary, n long, tokens binary")
-    found = found.join(first, ["k", "class"], "left_semi").select(F.xxhash64("class").alias("c"), "n", "tokens")
-    tokens = scratch.write(found.dropDuplicates(["c", "tokens"]))
+    # Rows that repeat are dropped where the join has put them, without another shuffle.
+    found = found.join(first, ["k", "class"], "left_semi").dropDuplicates(["k", "class"])
+    tokens = scratch.write(found.select(F.xxhash64("class").alias("c"), "n", "tokens"))
     scratch.drop(first)
     return tokens
 
