@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panewise.functions.arith import div
 from panewise.functions.checks import one_of, positive
@@ -119,11 +119,20 @@ def _framed(numbered: DataFrame, keys: list[str], size: int, slide: int, aggs: S
     frame = Window.partitionBy(*keys, "__block").orderBy("n").rowsBetween(1 - size, Window.currentRow)
     names = [f"__agg{i}" for i in range(len(aggs))]
     shown = numbered.limit(0).groupBy(*keys).agg(*aggs).columns[len(keys) :]
-    framed = blocks.select("*", *[a.over(frame).alias(x) for a, x in zip(aggs, names)])
+    framed = blocks.select("*", *[_unnamed(a).over(frame).alias(x) for a, x in zip(aggs, names)])
     fired = framed.where((F.col("__block") == F.col("__own")) & (F.col("n") % slide == 0))
     return fired.select(*keys, "n", *[F.col(x).alias(c) for x, c in zip(names, shown)])
 
 
+def _unnamed(column: Column) -> Column:
+    """The column without its alias, which can't stand inside a window expression."""
+    node = column._jc.node()
+    if node.getClass().getSimpleName() != "Alias":
+        return column
+    jvm = SparkSession.getActiveSession()._jvm
+    return type(column)(jvm.org.apache.spark.sql.Column(node.child()))
+
+
 def count_window_reduce(
     rows: DataFrame,
     keys: Sequence[str],
