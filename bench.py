@@ -32,7 +32,7 @@ def main() -> None:
     for name, query in QUERIES.items():
         if only and name not in only:
             continue
-        if name.startswith("stream_"):
+        if "stream" in name:
             seconds[name] = timed(spark, query.run, sf_dir)
         else:
             timed(spark, query.run, sf_dir)
