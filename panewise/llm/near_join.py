@@ -64,11 +64,12 @@ def _count(size: int, lanes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint16)
         for batch in by_size(batches, "text", most=2 << 20):
             for tokens in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), size):
-                counts[_slots(tokens[tokens & np.uint64(SKIP) == 0])] += 1
-        blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BLOCK)
+                slots = _slots(tokens[tokens & np.uint64(SKIP) == 0])
+                counts[slots] = np.minimum(counts[slots], 65534) + 1
+        blocks = counts.reshape(-1, BLOCK)
         full = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
             [

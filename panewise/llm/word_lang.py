@@ -340,7 +340,7 @@ def _parts(text: str) -> Iterator[str]:
 def _label(model: Model, runs: bool):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, languages = letters(), model.languages
-        for batch in by_size(batches, "text", most=2 << 20):
+        for batch in by_size(batches, "text", most=1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if max(map(len, texts)) <= _AT_ONCE:
                 words = Words.of(texts, letter)
