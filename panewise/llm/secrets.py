@@ -56,12 +56,13 @@ def base_spans(text: str) -> list[Span]:
 _LEXEMES = re.compile(
     r"""
     (?P<comment>(?:(?<![^\s;])\#|(?<!\S)//)[^\n]*+)
-  | (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`)
+  | (?P<string>(?:(?<![A-Za-z0-9_$])(?:[bB]?[rR]\#{1,3}|u8|[bBrRfFuUtT]{1,2}|[LcsN]|raw|[$@]{1,2}))?
+      (?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`))
   | (?P<name>[A-Za-z_$](?:[A-Za-z0-9_$]|[.-](?=[A-Za-z0-9_$]))*+)
   | (?P<becomes>:=|=>|=(?!=)|:(?![:/]))
   | (?P<join>\+)
   | (?P<line>\n)
-  | (?P<other>[^\s"'`A-Za-z_$\n:=+]++|[=:"'`])
+  | (?P<other>[^\s"'`A-Za-z_$@\n:=+]++|[=:"'`@])
     """,
     re.X,
 )
@@ -69,14 +70,62 @@ _LEXEMES = re.compile(
 _BARE_LINE = re.compile(r"^[ \t]*+(?:export[ \t]++)?([A-Za-z_][A-Za-z0-9_.-]*+)[ \t]*+[:=][ \t]*+([^\s\"'`#;,]++)[ \t]*+\r?$", re.M)
 
 
+_FILLED_IN = re.compile(r"\{[^{}]*+\}")
+
+
+def _inside(m: re.Match) -> tuple[int, int]:
+    """The span of a string without its prefix and quotes."""
+    return m.start() + m[0].index(m[0][-1]) + 1, m.end() - 1
+
+
+def _fixed(m: re.Match) -> list[tuple[int, int]]:
+    """Spans of a string's own characters; what a format string fills in is none of them."""
+    start, end = _inside(m)
+    if not re.search("[fF$s]", m.string[m.start() : start - 1]):
+        return [(start, end)]
+    spans = []
+    for hole in _FILLED_IN.finditer(m.string, start, end):
+        spans.append((start, hole.start()))
+        start = hole.end()
+    return [*spans, (start, end)]
+
+
+class _Type:
+    """Follows what stands between `name:` and `=`: a type, if it is names and marks of types on one line."""
+
+    def __init__(self) -> None:
+        self.name: str | None = None
+        self._depth = 0
+
+    def open(self, name: str | None) -> None:
+        self.name, self._depth = name, 0
+
+    def read(self, kind: str, lexeme: str) -> None:
+        if kind in ("line", "becomes", "join") or kind == "string" and not self._depth:
+            self.name = None
+        if kind == "other" and self.name:
+            for c in lexeme:
+                self._depth += (c in "[<(") - (c in "]>)")
+                if self._depth < 0 or not self._depth and c not in "]>)|&*?!'":
+                    self.name = None
+                    break
+
+    def target(self) -> str | None:
+        return None if self._depth else self.name
+
+
 def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of its literal's parts), in order of place; constants are handed on by name."""
+    """(name, spans of its literal's parts), in order of place; constants are handed on by name.
+
+    The target of `name: type = ...` is the name, that of `x["name"] = ...` the last string in the brackets.
+    """
     constants: dict[str, list[tuple[int, int]]] = {}
     lexemes = ((m.lastgroup, m) for m in _LEXEMES.finditer(text) if m.lastgroup != "comment")
     name = None  # what the next literal would be assigned to
     before: tuple[str, re.Match] | None = None
     parts: list[tuple[int, int]] = []
     waiting = False  # a value may follow
+    typed = _Type()
 
     def close() -> Iterator[tuple[str, list[tuple[int, int]]]]:
         nonlocal name, parts, waiting
@@ -87,14 +136,21 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]
 
     for kind, m in lexemes:
         if kind == "becomes":
-            target = before
+            target, declared = before, typed.target() if m[0] == "=" else None
+            if declared:
+                parts = []  # a type that is called like a constant is no value
             yield from close()
+            called = None
             if target and target[0] == "name":
-                name, waiting = target[1][0], True
-            elif target and target[0] == "string":
-                name, waiting = target[1][0][1:-1], True
+                called = target[1][0]
+            elif target and target[0] in ("string", "subscript"):
+                a, b = _inside(target[1])
+                called = text[a:b]
+            typed.open(called if m[0] == ":" and target and target[0] != "string" else None)
+            if declared or called:
+                name, waiting = declared or called, True
         elif kind == "string" and name and waiting:
-            parts = parts + [(m.start() + 1, m.end() - 1)]
+            parts = parts + _fixed(m)
             waiting = False
         elif kind == "name" and name and waiting:
             if m[0] in constants:
@@ -108,10 +164,16 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]
             if not waiting:
                 yield from close()
         elif kind == "string" and name and parts and before and before[0] == "string":
-            parts = parts + [(m.start() + 1, m.end() - 1)]
+            parts = parts + _fixed(m)
         else:
             yield from close()
-        if kind != "line":
+        if kind != "becomes":
+            typed.read(kind, m[0])
+        if kind == "other" and m[0] == "]" and before and before[0] == "string":
+            before = ("subscript", before[1])
+        elif kind == "other" and m[0] in "?!" and before and before[0] == "name" and text[m.end() : m.end() + 1] == ":":
+            pass  # `name?: type`
+        elif kind != "line":
             before = (kind, m)
     yield from close()
     for m in _BARE_LINE.finditer(text):

@@ -65,6 +65,27 @@ def test_names_and_literals():
     assert not any(f in clean for f in found) and 'token_id: "not-A-secret-12"' in clean
 
 
+@pytest.mark.parametrize("line", [
+    'api_key: str = "%"', 'password: String = "%"', "val dbPassword: String? = '%'", 'secret: Final[str] = "%"', 'token: str | None = "%"',
+    'password?: string = "%"', 'const SECRET: &\'static str = "%"', 'def f(user: str, api_key: Dict[str, str] = "%")', 'f(a: b, password = "%")',
+    'SECRET_KEY = b"%"', 'SECRET_KEY = f"%"', "SECRET_KEY = r'%'", 'SECRET_KEY = Rb"%"', 'let secret = r#"%"#;', 'password = @"%"', 'password = $"%"',
+    'os.environ["API_TOKEN"] = "%"', "cfg['password'] = '%'", "cfg['db']['password']='%'", 'cfg[b"password"] = "%"', 'cfg["password"]: str = "%"',
+])
+def test_typed_prefixed_and_subscript_targets(line):
+    value = "hU7xQ2pZ-w9Lm"
+    text = f"x = 1\n{line.replace('%', value)}\ny = 2\n"
+    assert [text[s:e] for k, s, e in secrets.find(text)[1] if k == secrets.LITERAL] == [value]
+    assert value not in secrets.redacted(text, secrets.find(text)[1])
+
+
+def test_targets_that_are_not_sensitive():
+    for text in (
+        'size: str = "hU7xQ2pZ-w9Lm" # token', 'cfg["region"] = "hU7xQ2pZ-w9Lm" # token', 'password = f"{stored_Value_17}"',
+        'secret: it was said. Note = "hU7xQ2pZ-w9Lm"', 'f(token: a, region = "hU7xQ2pZ-w9Lm")', 'if password != "hU7xQ2pZ-w9Lm"',
+    ):
+        assert [s for s in secrets.find(text)[1] if s[0] == secrets.LITERAL] == [], text
+
+
 def test_long_texts_take_time_in_proportion():
     model = pii.train(np.zeros((0, 0)), np.zeros(0))
     started = time.monotonic()
