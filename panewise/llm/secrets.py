@@ -34,8 +34,6 @@ LITERAL = "literal"
 
 _HEX_MARKS = bytes(ord("x") if c in b"0123456789abcdef" else ord(" ") for c in range(256))
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-# Without one of these parts in the text, no name in it is sensitive.
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -187,6 +185,8 @@ _SENSITIVE = {
     "credentials": 3, "pass": 2, "bearer": 2, "auth": 1, "key": 1, "api": 1, "access": 1, "private": 1, "signing": 1,
     "encryption": 1, "client": 1, "master": 1, "session": 1,
 }
+# Without one part of 2 or more, or two of 1, in the text, no name in it is sensitive.
+_STEMS = tuple(p for p, n in _SENSITIVE.items() if n >= 2), tuple(p for p, n in _SENSITIVE.items() if n == 1)
 # Parts that say a name holds something about a secret instead of one.
 _HARMLESS = {"id", "name", "url", "uri", "path", "file", "length", "len", "size", "type", "count", "field", "prompt", "hint", "header", "public", "expiry", "ttl", "timeout", "policy", "label", "regex", "pattern"}
 _PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|your[_-]|dummy|sample|redacted|\*{3}|x{4}|\.{3}|<[^>]*+>|\$\{|\{\{|%\(", re.I)
@@ -199,26 +199,62 @@ def name_score(name: str) -> int:
     return sum(_SENSITIVE.get(p, 0) for p in set(parts))
 
 
-def literal_score(value: str) -> int:
-    """0 to 4 by length and mix of characters; below 0 for what can't be a secret."""
-    if len(value) < 8 or len(value) > 4096 or re.search(r"\s", value) or _PLACEHOLDER.search(value):
+# What a sentence shown to a reader has, and a pass phrase hasn't.
+_MESSAGE = re.compile(r"[.!?:]\s*+\Z|\b(?:please|enter|your|must|invalid|incorrect|required|forgot|cannot|should|password|token|secret|credentials?)\b", re.I)
+_KEY_BEGINS = re.compile(r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----")
+_KEY_ENDS = "-----END "
+
+
+def literal_score(value: str, sensitive: int = 0) -> int:
+    """0 to 4 by length and mix of characters; below 0 for what can't be a secret.
+
+    A private key scores 4. Other values with white space may be pass phrases if their name scores 3 or more;
+    they lose 1, and 3 more if they read like a message.
+    """
+    if _KEY_BEGINS.search(value):
+        return 4
+    blank = re.search(r"\s", value) is not None
+    if len(value) < 8 or blank and sensitive < 3 or _PLACEHOLDER.search(value):
         return -9
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     distinct = len(set(value))
-    return (distinct >= 6) + (kinds >= 2) + (kinds >= 3 or len(value) >= 20) + (distinct >= 12)
+    form = (distinct >= 6) + (kinds >= 2) + (kinds >= 3 or len(value) >= 20) + (distinct >= 12)
+    return form - blank - 3 * (blank and _MESSAGE.search(value) is not None)
+
+
+def key_blocks(text: str) -> list[Span]:
+    """Private keys from their first to their last mark, whatever stands around them."""
+    spans, at = [], 0
+    while m := _KEY_BEGINS.search(text, at):
+        end = text.find(_KEY_ENDS, m.end())
+        if end < 0:
+            break
+        close = text.find("-----", end + len(_KEY_ENDS), end + 80)
+        at = close + 5 if close >= 0 else end + len(_KEY_ENDS)
+        spans.append((LITERAL, m.start(), at))
+    return spans
 
 
 def literal_spans(text: str, least: int = 5) -> list[Span]:
-    """Parts of literals whose name and form together reach `least`; names alone must reach 2."""
+    """Parts of literals whose name and form together reach `least`; names alone must reach 2. Besides, all
+    private keys with both marks, but for those inside such a literal."""
+    blocks = key_blocks(text) if "PRIVATE KEY" in text else []
     lower = text.lower()
-    if not any(s in lower for s in _STEMS) or not any(c in text for c in "=:"):
-        return []
+    strong, weak = _STEMS
+    named = any(s in lower for s in strong) or sum(s in lower for s in weak) >= 2
+    if not named or not any(c in text for c in "=:"):
+        return blocks
     found = set()
     for name, parts in name_literal_pairs(text):
         sensitive = name_score(name)
-        if sensitive >= 2 and sensitive + literal_score("".join(text[a:b] for a, b in parts)) >= least:
+        if sensitive >= 2 and sensitive + literal_score("".join(text[a:b] for a, b in parts), sensitive) >= least:
             found.update((LITERAL, a, b) for a, b in parts if b > a)
-    return sorted(found, key=lambda s: s[1:])
+    spans, reach = [], 0
+    for s in sorted({*found, *blocks}, key=lambda s: (s[1], -s[2])):
+        if s in found or s[2] > reach:
+            spans.append(s)
+        reach = max(reach, s[2])
+    return spans
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
