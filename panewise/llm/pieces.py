@@ -6,8 +6,9 @@ for blanks, a unigram model from the scores or byte-pair merges in the order of
 characters that no piece covers.
 
 No piece reaches over a marker from a letter on its left (else texts are encoded whole), so each distinct
-stretch of markers and letters is encoded once per task, in batches on several threads. Each distinct
-stretch is also encoded by sentencepiece; where the two differ, its ids are taken and the row says so.
+stretch of markers and letters is encoded once per task, in batches on several threads. Ids and decoded
+texts are those of the tokenizers library in every case. sentencepiece encodes each whole text besides, and
+the row says whether it gave the same ids.
 
 A null text is an empty one: no ids, decoded as empty. Repeated rows and rows without an id keep a row each.
 Other columns are not read. An empty table gives no rows.
@@ -143,7 +144,8 @@ class PieceModel:
         made.normalizer = self.normalizer()
         made.add_tokens([AddedToken(p, normalized=False) for p, _, kind in self.pieces if kind == USER])
         strip = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
-        made.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+        unknown = decoders.Replace(self.pieces[self.unknown][0], " ⁇ ")
+        made.decoder = decoders.Sequence([unknown, decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
         return made
 
 
@@ -153,7 +155,7 @@ _STRETCH = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
 
 
 class Codec:
-    """Ids of texts and texts of ids; `differs` tells texts whose ids had to be taken from sentencepiece."""
+    """Ids of texts and texts of ids by the tokenizers library, held against sentencepiece."""
 
     def __init__(self, model: PieceModel, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -167,25 +169,16 @@ class Codec:
         self._judge = SentencePieceProcessor(model_proto=model.content)
         self._split = model.splits_at_markers()
         self._kept: dict[str, bytes] = {}
-        self._odd: set[str] = set()
-        self._bytes = [self._piece(p, kind) for p, _, kind in model.pieces]
+        self._control = {i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL}
 
     @staticmethod
-    def _piece(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:-1], 16)])
-        if kind == CONTROL:
-            return b""
-        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARKER, " ").encode()
-
-    def _held(self, tokenizer, texts: list[str], judged: list[str]) -> Iterator[tuple[bytes, bool]]:
-        """Ids of each text and whether sentencepiece gave others for what it stands for."""
-        ours = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        marker = [self._judge.piece_to_id(MARKER)]
-        for text, encoding, theirs in zip(texts, ours, self._judge.encode(judged, num_threads=1)):
-            ids = encoding.ids
-            theirs = marker if text == MARKER else theirs  # no text stands for a marker alone
-            yield array("I", theirs).tobytes(), ids != theirs
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", encoding.ids).tobytes() for encoding in found]
+
+    def _agrees(self, text: str, ids: bytes) -> bool:
+        """Whether sentencepiece gives these ids for the whole text."""
+        return array("I", self._judge.encode(text)).tobytes() == ids
 
     def _stretches(self, text: str) -> list[str]:
         model = self._model
@@ -198,27 +191,26 @@ class Codec:
         """(little-endian unsigned 32-bit ids, whether both libraries agree) of each text."""
         texts = [t or "" for t in texts]
         if not self._split or not self._model.dummy_prefix:
-            found = list(self._held(self._whole, texts, texts))
-            return [ids for ids, _ in found], [not odd for _, odd in found]
+            ids = self._ids(self._whole, texts)
+            return ids, list(map(self._agrees, texts, ids))
         cut = [self._stretches(t) for t in texts]
         met = set().union(*cut)
         new = list(met - self._kept.keys())
         if len(self._kept) + len(new) > MOST_KEPT:
             self._kept.clear()
-            self._odd.clear()
             new = list(met)
-        # sentencepiece puts the first marker itself; a judge that squeezes blanks gets only single ones.
-        plain = [w[1:].replace(MARKER, " ") for w in new]
-        for w, (ids, odd) in zip(new, self._held(self._bare, new, plain)):
-            self._kept[w] = ids
-            if odd:
-                self._odd.add(w)
+        self._kept.update(zip(new, self._ids(self._bare, new)))
         ids = [b"".join(map(self._kept.__getitem__, c)) for c in cut]
-        return ids, [self._odd.isdisjoint(c) if self._odd else True for c in cut]
+        return ids, list(map(self._agrees, texts, ids))
+
+    def decode_batch(self, ids: list[bytes]) -> list[str]:
+        """Texts of ids by the rebuilt tokenizer's decoder; control pieces stand for nothing."""
+        lists = [memoryview(i).cast("I").tolist() for i in ids]
+        lists = [x if self._control.isdisjoint(x) else [i for i in x if i not in self._control] for x in lists]
+        return self._whole.decode_batch(lists, skip_special_tokens=False)
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self._bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
-        return text[1:] if self._model.dummy_prefix and text.startswith(" ") else text
+        return self.decode_batch([ids])[0]
 
 
 def _run(model: PieceModel, threads: int, keep: bool):
@@ -227,7 +219,7 @@ def _run(model: PieceModel, threads: int, keep: bool):
         for batch in by_size(batches, "text"):
             texts = batch.column("text").to_pylist()
             found, agree = codec.encode(texts)
-            decoded = [codec.decode(ids) for ids in found]
+            decoded = codec.decode_batch(found)
             arrays = [
                 batch.column("id"),
                 pa.array([len(ids) // 4 for ids in found], pa.int64()),
@@ -249,7 +241,7 @@ def encode(
 ) -> DataFrame:
     """`id, n_tokens, ids_crc32, round_trip, parity` per row; with `keep`, also the `ids` and the `decoded` text.
 
-    `round_trip`: the ids decode to the text. `parity`: both libraries gave the same ids. `model` is a path on
+    `round_trip`: the ids decode to the text. `parity`: sentencepiece gives the same ids for the whole text. `model` is a path on
     the driver. Rows are read and answered in place, without a shuffle.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))

@@ -8,7 +8,7 @@ from collections import defaultdict
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, decoders
 
 from llm_fixtures import documents, table
 from panewise.llm import packing, pieces, token_counts
@@ -124,6 +124,32 @@ def test_sentencepiece_parity():
     assert all(whole.encode(t or "", add_special_tokens=False).ids == judge.encode(t or "") for t in texts[-100:])
 
 
+def test_ids_and_texts_are_those_of_the_rebuilt_tokenizer():
+    judge, codec = SentencePieceProcessor(model_file=PIECES), pieces.Codec(pieces.PieceModel.read(PIECES))
+    texts = ["Hello there", "", "ab  cd 日本"]
+    want = [judge.encode(t) for t in texts]
+
+    class Other:
+        def encode(self, text, **_):
+            return [[5] for _ in text] if isinstance(text, list) else [5]
+
+        def piece_to_id(self, piece):
+            return judge.piece_to_id(piece)
+
+    codec._judge = Other()
+    ids, agree = codec.encode(texts)
+    assert [memoryview(i).cast("I").tolist() for i in ids] == want and agree == [False] * 3
+    codec._judge = judge
+    assert codec.encode(texts) == (ids, [True] * 3) and codec.decode_batch(ids) == texts
+    start, unknown = judge.piece_to_id("<s>"), judge.unk_id()
+    assert codec.decode(array("I", [start, *want[0], unknown]).tobytes()) == judge.decode([start, *want[0], unknown])
+    codec._kept["▁Hello"] = array("I", [7]).tobytes()  # a wrong rebuild shows in the ids and in parity
+    ids, agree = codec.encode(texts)
+    assert memoryview(ids[0]).cast("I").tolist()[0] == 7 and agree == [False, True, True]
+    codec._whole.decoder = decoders.Fuse()
+    assert codec.decode(ids[2]).startswith("▁ab")
+
+
 def test_a_unigram_model_from_its_message():
     def field(n, kind, data):
         return bytes([n << 3 | kind]) + (bytes([len(data)]) if kind == 2 else b"") + data
