@@ -7,7 +7,12 @@ are looked up by hash; those whose hash is found again are grouped by their full
 first place, by id and then place in the text, are removed. Built-in functions only.
 
 A null text stays null; a text without a removed chunk stays as it is, byte for byte; one all of whose lines
-go becomes empty. Ids are whole numbers; rows with the same id, or without one, count as one document
+go becomes empty. With `whole`, lines are looked up instead of chunks, so that no cut decides what is found:
+each line that isn't blank together with the next such line and all between them, and each line of more than
+ALONE words for itself. What is found before goes, the first place of every line stays; equal means equal
+SHA-256 digests. A shared passage of two such lines or more thus goes to its last line, wherever it stands.
+
+Ids are whole numbers; rows with the same id, or without one, count as one document
 (those without come last), so the same chunk at the same place in them stays in each. Other columns are
 handed through, whatever their names. An empty table gives no rows.
 """
@@ -16,11 +21,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panewise.llm.common import Scratch, let, numbers, same
+from panewise.llm.common import ASCII_SPACE, Scratch, let, numbers, same
 
 #: Lines in the rolling hash. Its factor, and the hex digits of a line's hash, keep it inside 63 bits.
 WINDOW, FACTOR, HEX = 2, 31, 7
 
+#: Words of a line beyond which it is a passage of its own.
+ALONE = 50
+
 _PLACE = "decimal(38,0)"
 
 
@@ -87,6 +95,76 @@ def _without(text: Column, removed: Column) -> Column:
     return let(F.split(text, "\n", -1), of)
 
 
+def _stretches(lines: Column) -> Column:
+    """Array of (first, n) of the stretches of lines that may be removed: pairs, then long lines."""
+
+    def of(full: Column) -> Column:
+        def pair(i: Column) -> Column:
+            return F.struct(F.get(full, i).alias("first"), (F.get(full, i + 1) - F.get(full, i) + 1).alias("n"))
+
+        def is_long(i: Column) -> Column:
+            return F.size(F.filter(F.split(F.get(lines, i), f"{ASCII_SPACE}+"), lambda w: w != "")) > ALONE
+
+        alone = F.transform(F.filter(full, is_long), lambda i: F.struct(i.alias("first"), F.lit(1).alias("n")))
+        return F.concat(F.transform(numbers(F.lit(0), F.size(full) - 2), pair), alone)
+
+    return let(F.filter(numbers(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S")), of)
+
+
+def _digests(text: Column) -> Column:
+    """Array of (first, n, key) of the stretches of a text."""
+
+    def of(lines: Column) -> Column:
+        def one(c: Column) -> Column:
+            key = F.unhex(F.sha2(F.array_join(F.slice(lines, c["first"] + 1, c["n"]), "\n"), 256))
+            return F.struct(c["first"].alias("first"), c["n"].alias("n"), key.alias("key"))
+
+        return F.transform(_stretches(lines), one)
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def _without_lines(text: Column, removed: Column) -> Column:
+    """(text, n_lines, n_removed) without the lines of the stretches (first, n) in `removed`."""
+
+    def of(lines: Column) -> Column:
+        gone = F.flatten(F.transform(removed, lambda c: numbers(c["first"], c["first"] + c["n"] - 1)))
+        stay = F.array_except(numbers(F.lit(0), F.size(lines) - 1), gone)
+
+        def shown(rest: Column) -> Column:
+            return F.struct(
+                F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n").alias("text"),
+                F.size(lines).alias("n_lines"),
+                (F.size(lines) - F.size(rest)).alias("n_removed"),
+            )
+
+        return let(stay, shown)
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def _number(id: str) -> Column:
+    """Documents in order; those without an id come last."""
+    return F.coalesce(F.col(id).cast(_PLACE), F.lit(str(2**63)).cast(_PLACE)) * F.lit(1 << 31).cast("decimal(10,0)")
+
+
+def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`id, h, removed`: the stretches (first, n) that go, for each text that loses some.
+
+    Only digests are shuffled, no text. Places are combined before the shuffle.
+    """
+    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    scratch = Scratch(docs.sparkSession, "lines")
+    found = scratch.write(rows.select("id", "h", F.explode(_digests(F.col("t"))).alias("c")).select("id", "h", "c.*"))
+    placed = found.withColumn("place", (_number("id") + F.col("first")).cast(_PLACE))
+    firsts = placed.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("last"))
+    firsts = firsts.filter(F.col("least") < F.col("last")).select("key", "least")
+    gone = placed.join(firsts, "key").filter(F.col("place") > F.col("least"))
+    removed = scratch.write(gone.groupBy("id", "h").agg(F.collect_set(F.struct("first", "n")).alias("removed")))
+    scratch.drop(found)
+    return removed
+
+
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`id, h, removed`: the numbers of the chunks that go, for each text that loses some.
 
@@ -97,8 +175,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     rows = rows.filter(F.col("t").contains("\n"))
     found = rows.select("id", "h", F.explode(_contents(F.col("t"))).alias("c"))
     placed = found.select("id", "h", "c.no", F.xxhash64("c.content").alias("hash"), "c.content")
-    number = F.coalesce(F.col("id").cast(_PLACE), F.lit(str(2**63)).cast(_PLACE))
-    placed = placed.withColumn("place", (number * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)"))
+    placed = placed.withColumn("place", (_number("id") + F.col("no")).cast(_PLACE))
     again = (
         placed.groupBy("hash")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"))
@@ -114,16 +191,19 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return numbers_of
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", told: str = "line_dedup") -> DataFrame:
-    """The documents, all columns, with the repeated chunks out of `text`, and a last column `told` of
-    (n_lines, n_removed), null for a null text."""
-    gone = repeated(docs, id, text).select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "removed")
+def dedup(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", told: str = "line_dedup", whole: bool = False
+) -> DataFrame:
+    """The documents, all columns, with the repeated chunks out of `text`, or with `whole` all repeated passages,
+    and a last column `told` of (n_lines, n_removed), null for a null text."""
+    find, without = (repeated_lines, _without_lines) if whole else (repeated, _without)
+    gone = find(docs, id, text).select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "removed")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the table meets one of ours
     d = docs.toDF(*names.values()).withColumn("h", F.xxhash64(names[text]))
     old = F.col(names[text])
     joined = d.join(gone, same(F.col(names[id]).cast("bigint"), F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
     # Kept as one column, so that it is worked out once.
-    joined = joined.withColumn("new", F.when(F.col("removed").isNotNull(), _without(old, F.col("removed"))))
+    joined = joined.withColumn("new", F.when(F.col("removed").isNotNull(), without(old, F.col("removed"))))
     n_lines = F.coalesce(F.col("new.n_lines"), F.size(F.split(old, "\n", -1))).cast("bigint").alias("n_lines")
     n_removed = F.coalesce(F.col("new.n_removed"), F.lit(0)).cast("bigint").alias("n_removed")
     columns = [(F.coalesce("new.text", old) if c == text else F.col(n)).alias(c) for c, n in names.items()]

@@ -135,6 +135,45 @@ def test_a_shared_passage_goes_wherever_it_stands(spark):
     assert line_chunks.dedup(docs.limit(0)).count() == 0
 
 
+def plain_whole(rows):
+    """Texts without the lines of repeated pairs and long lines, by place in the order of ids, then lines."""
+    at, lines = {}, {}
+    for k, (i, text) in enumerate(rows):
+        lines[k] = (text or "").split("\n")
+        full = [j for j, line in enumerate(lines[k]) if re.search(r"[^ \t\n\x0b\f\r]", line)]
+        stretches = list(zip(full, full[1:])) + [(j, j) for j in full if len(words_of(lines[k][j])) > 50]
+        for a, b in stretches if text else []:
+            at.setdefault("\n".join(lines[k][a : b + 1]), []).append(((2**63 if i is None else i, a), k, b))
+    gone = {k: set() for k in lines}
+    for places in at.values():
+        for place, k, b in places:
+            if place > min(places)[0]:
+                gone[k].update(range(place[1], b + 1))
+    return [(i, None if t is None else "\n".join(x for j, x in enumerate(lines[k]) if j not in gone[k])) for k, (i, t) in enumerate(rows)]
+
+
+def test_whole_passages_go_to_their_last_line(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(900)]
+    new = lambda n=12: prose(rng, vocabulary, n)
+    long, rows = new(70), [r[:2] for r in documents()]
+    for n in (1, 2, 3, 4, 5, 8, 30):
+        passage = "\n".join(new(60) if n == 1 else new() for _ in range(n))
+        for _ in range(3):
+            rows.append((len(rows) + 1000, f"{new()}\n{new()}\n{passage}\n{new()}\n{new()}"))
+    rows += [(2000, long), (2001, long), (2002, f"{new()}\n{long}"), (2003, "a b\n\n \nc d\nx"), (2004, "y\na b\n\n \nc d\n"), (2005, "a b\n\nc d\nz")]
+    docs = table(spark, [(i, t, None, None, None) for i, t in rows])
+    got = line_chunks.dedup(docs, told="told", whole=True)
+    assert got.columns == [*docs.columns, "told"]
+    found = got.select("doc_id", "text", "told").collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(plain_whole(rows), key=repr)
+    texts = {r.doc_id: r for r in found}
+    assert all(texts[i].text.count("\n") == 3 for i, t in rows if 1000 <= (i or 0) < 2000 and texts[i].text != t)
+    assert sum(texts[i].text != t for i, t in rows if 1000 <= (i or 0) < 2000) == 14
+    assert texts[2001].text == "" and texts[2002].told.n_removed == 1 and texts[2004].text == "y\n" and texts[2005].told.n_removed == 0
+    assert line_chunks.dedup(docs.limit(0), whole=True).count() == 0
+
+
 # Host rules -----------------------------------------------------------------------------------------
 
 
