@@ -9,7 +9,10 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panewise.llm import host_rules, line_chunks, near_join, packing, pieces, pii, secrets, sql, token_counts, topk, word_lang
+from panewise.llm import (
+    host_rules, line_chunks, merkle, near_join, packing, pieces, pii, positions, secrets, sql, token_counts, topk,
+    whitening, word_lang,
+)
 from panewise.llm.common import table, working_dir
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -108,4 +111,22 @@ def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+@register("op11_positional_index", sql.CONTAMINATION)
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = positions.contamination(docs, items, size=10)
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+@register("op13_merkle_manifest", sql.MANIFEST)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
