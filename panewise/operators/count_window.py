@@ -7,20 +7,21 @@ panes are short, and rows after the last multiple never fire. `slide == size` is
 Three forms, by what is asked of a pane:
 
 * `count_window_counts`: only how many rows it has. Needs no order, only a count per key.
-* `count_window`: any Spark aggregate. Each row is sent to its size/slide panes, or with many panes
-  per row seen through a frame over the last rows.
-* `count_window_reduce`: sum, min, max or count, at a cost per row that does not grow with size/slide.
+* `count_window`: any Spark aggregate. With few panes per row each row is sent to them. With many, aggregates
+  that are monoids (see `monoids`) are joined from two partial states per pane, at a cost per row that does
+  not grow with the size; others are seen through a frame over the last rows, or sent to their panes.
+* `count_window_reduce`: sum, min, max or count of one column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panewise.functions.arith import div
 from panewise.functions.checks import one_of, positive
+from panewise.operators import monoids
 from panewise.operators.ranges import explode_range
 from panewise.operators.running import BITS, HOT_ROWS, number_rows
 
@@ -88,17 +89,20 @@ def count_window(
 ) -> DataFrame:
     """`keys..., n` and the given aggregates of every pane.
 
-    Aggregates may use the column `n`, the row's number within its key, e.g. `max_by(x, "n")`. With more
-    than FEW_PANES panes per row, aggregates that are one function each, as `avg("x")`, are seen through a
-    frame; calculations on aggregates are better put after the window, as they make copies of rows.
+    Aggregates may use the column `n`, the row's number within its key, e.g. `max_by(x, "n")`. What decides how
+    more than FEW_PANES panes per row are made is the kind of aggregate: if all are monoids, a row costs the
+    same for any size. Else, if all are single functions, a frame works out each pane from its rows, `size` of
+    them for each; calculations on aggregates, and distinct ones, get a copy of each row for each pane.
     """
     positive(size=size, slide=slide)
     numbered = number_rows(rows, keys, order_by, "n", hot_rows=hot_rows, bits=bits)
     if size > FEW_PANES * slide:
-        try:
-            return _framed(numbered, list(keys), size, slide, aggs)
-        except AnalysisException:
-            pass  # not a plain function, or wrong in any form, which the copies then tell
+        calls = [monoids.read(a) for a in aggs]
+        known = [monoids.of(c) for c in calls]
+        if all(known):
+            return _joined(numbered, list(keys), size, slide, aggs, known)
+        if all(c.name is not None and not c.distinct for c in calls):
+            return _framed(numbered, list(keys), size, slide, aggs, calls)
     panes = to_panes(numbered, size, slide, into="__pane")
     grouped = panes.groupBy(*keys, "__pane").agg(F.max("n").alias("__end"), *aggs)
     # A pane is complete once the row it ends at is there.
@@ -106,11 +110,62 @@ def count_window(
     return complete.withColumnRenamed("__end", "n").drop("__pane")
 
 
-def _framed(numbered: DataFrame, keys: list[str], size: int, slide: int, aggs: Sequence[Column]) -> DataFrame:
+def _shown(numbered: DataFrame, keys: list[str], aggs: Sequence[Column]) -> list:
+    """Names and types of the aggregates."""
+    return numbered.limit(0).groupBy(*keys).agg(*aggs).schema.fields[len(keys) :]
+
+
+def _joined(
+    numbered: DataFrame, keys: list[str], size: int, slide: int, aggs: Sequence[Column], known: Sequence[monoids.Monoid]
+) -> DataFrame:
+    """Panes from partial states.
+
+    A key's rows are cut into blocks of `size`. A pane is the end of one block and the start of the next, and
+    both are states that grow row by row within a block, from its start and from its end: two states per pane
+    instead of `size` rows. Blocks also split a hot key.
+    """
+    shown = _shown(numbered, keys, aggs)
+    blocked = numbered.withColumn("__block", div(F.col("n") - 1, size))
+    block = Window.partitionBy(*keys, "__block")
+    upto = block.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = block.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def states(window) -> Column:
+        return F.struct(
+            *[F.struct(*[p.over(window).alias(x) for x, p in m.parts.items()]).alias(f"a{i}") for i, m in enumerate(known)]
+        )
+
+    running = blocked.select(*keys, "n", states(upto).alias("__upto"), states(onward).alias("__onward"))
+    n = F.col("n")
+    end = n + (size - 1)
+    ends_here = n % slide == 0
+    # A pane that starts a block is that whole block: its end already holds all of it.
+    starts_here = (end % slide == 0) & ((n - 1) % size != 0)
+    none = F.lit(None).cast(running.schema["__upto"].dataType)
+    late = F.struct(n.alias("end"), F.col("__upto").alias("late"), none.alias("early"))
+    early = F.struct(end.alias("end"), none.alias("late"), F.col("__onward").alias("early"))
+    parts = running.where(ends_here | starts_here).select(
+        *keys, F.explode(F.array_compact(F.array(F.when(ends_here, late), F.when(starts_here, early)))).alias("p")
+    )
+    met = parts.groupBy(*keys, F.col("p.end").alias("n")).agg(
+        F.any_value("p.late", True).alias("late"), F.any_value("p.early", True).alias("early")
+    )
+
+    def result(m: monoids.Monoid, i: int) -> Column:
+        state = F.struct(*[c.alias(x) for x, c in m.join(F.col(f"early.a{i}"), F.col(f"late.a{i}")).items()])
+        return m.finish(state).cast(shown[i].dataType).alias(shown[i].name)
+
+    return met.where(F.col("late").isNotNull()).select(*keys, "n", *[result(m, i) for i, m in enumerate(known)])
+
+
+def _framed(
+    numbered: DataFrame, keys: list[str], size: int, slide: int, aggs: Sequence[Column], calls: Sequence[monoids.Call]
+) -> DataFrame:
     """The aggregates over a frame of the last `size` rows.
 
     A key's rows are cut into blocks of at least `size`, and a block is handed the last `size` - 1 rows
-    before it: a row is there twice at most, and no key makes a group of more than two blocks.
+    before it: a row is there twice at most, and no key makes a group of more than two blocks. Spark works each
+    frame out from its rows.
     """
     length = max(size, FRAME_BLOCK)
     own = div(F.col("n") - 1, length)
@@ -118,19 +173,10 @@ def _framed(numbered: DataFrame, keys: list[str], size: int, slide: int, aggs: S
     blocks = numbered.withColumn("__own", own).withColumn("__block", F.explode(F.array_compact(F.array(F.col("__own"), led))))
     frame = Window.partitionBy(*keys, "__block").orderBy("n").rowsBetween(1 - size, Window.currentRow)
     names = [f"__agg{i}" for i in range(len(aggs))]
-    shown = numbered.limit(0).groupBy(*keys).agg(*aggs).columns[len(keys) :]
-    framed = blocks.select("*", *[_unnamed(a).over(frame).alias(x) for a, x in zip(aggs, names)])
+    framed = blocks.select("*", *[c.bare.over(frame).alias(x) for c, x in zip(calls, names)])
     fired = framed.where((F.col("__block") == F.col("__own")) & (F.col("n") % slide == 0))
-    return fired.select(*keys, "n", *[F.col(x).alias(c) for x, c in zip(names, shown)])
-
-
-def _unnamed(column: Column) -> Column:
-    """The column without its alias, which can't stand inside a window expression."""
-    node = column._jc.node()
-    if node.getClass().getSimpleName() != "Alias":
-        return column
-    jvm = SparkSession.getActiveSession()._jvm
-    return type(column)(jvm.org.apache.spark.sql.Column(node.child()))
+    shown = _shown(numbered, keys, aggs)
+    return fired.select(*keys, "n", *[F.col(x).alias(f.name) for x, f in zip(names, shown)])
 
 
 def count_window_reduce(
@@ -144,47 +190,9 @@ def count_window_reduce(
     into: str | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """`keys..., n, into`: sum, min, max or count of `value` in every pane.
-
-    With many panes per row the key's rows are cut into blocks of `size`. A pane is then the end of
-    one block and the start of the next, and both parts are running aggregates within a block: two
-    values per pane instead of `size`. Blocks also split a hot key.
-    """
+    """`keys..., n, into`: sum, min, max or count of `value` in every pane."""
     positive(size=size, slide=slide)
     one_of("how", how, tuple(REDUCERS))
-    into = into or how
-    keys = list(keys)
     # The value gets a name of its own, as it may be the order column or a key too.
     needed = rows.select(*keys, order_by, F.col(value).alias("__value"))
-    value = "__value"
-    reduced = needed.groupBy(*keys).agg(REDUCERS[how](value).alias(into)).schema[into].dataType
-    if size <= FEW_PANES * slide:
-        return count_window(
-            needed, keys, order_by, size, slide, [REDUCERS[how](value).alias(into)], hot_rows
-        )
-    numbered = number_rows(needed, keys, order_by, "n", hot_rows=hot_rows).select(*keys, "n", value)
-    blocked = numbered.withColumn("__block", div(F.col("n") - 1, size))
-    block = Window.partitionBy(*keys, "__block")
-    upto = block.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = block.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = blocked.select(
-        *keys,
-        "n",
-        REDUCERS[how](value).over(upto).alias("__upto"),
-        REDUCERS[how](value).over(onward).alias("__onward"),
-    )
-    n = F.col("n")
-    ends_here = n % slide == 0
-    end = n + (size - 1)
-    # A pane that starts a block is that whole block: its end already holds all of it.
-    starts_here = (end % slide == 0) & ((n - 1) % size != 0)
-    late = F.struct(n.alias("end"), F.col("__upto").alias("part"), F.lit(True).alias("last"))
-    early = F.struct(end.alias("end"), F.col("__onward").alias("part"), F.lit(False).alias("last"))
-    parts = running.where(ends_here | starts_here).select(
-        *keys,
-        F.explode(F.array_compact(F.array(F.when(ends_here, late), F.when(starts_here, early)))).alias("p"),
-    )
-    merged = parts.groupBy(*keys, F.col("p.end").alias("n")).agg(
-        MERGERS[how]("p.part").alias(into), F.max("p.last").alias("__fired")
-    )
-    return merged.where("__fired").select(*keys, "n", F.col(into).cast(reduced).alias(into))
+    return count_window(needed, keys, order_by, size, slide, [REDUCERS[how]("__value").alias(into or how)], hot_rows)
