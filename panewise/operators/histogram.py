@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panewise.functions.arith import div
 from panewise.functions.checks import positive
 from panewise.functions.text import split_words
+from panewise.operators.ranges import explode_range
 from panewise.operators.running import number_all_rows, running_sum, total_weight
 
 
@@ -18,6 +19,9 @@ LINE_BITS = (8, 18, 19)
 # With no more panes per row than this, counting in slices first costs more than it saves.
 FEW_PANES = 8
 
+# Panes of a stretch in which changes of counts are summed: 2^20.
+CHANGE_BITS = 20
+
 
 def histogram(rows: DataFrame, word: str, into: str = "cnt") -> DataFrame:
     return rows.groupBy(word).agg(F.count(F.lit(1)).alias(into))
@@ -46,31 +50,86 @@ def total_words(lines: DataFrame, column: str, order_by: str) -> Column:
     return total_weight(words, order_by, F.size("__words"), LINE_BITS)
 
 
+def slice_rows(size: int, slide: int) -> int:
+    """The rows of a slice, the longest run of rows that always share their panes; 1 where counting in slices
+    first saves nothing."""
+    return gcd(size, slide) if size > FEW_PANES * slide else 1
+
+
+def slices_of(numbered: DataFrame, word: str, run: int, seq: str = "seq") -> DataFrame:
+    """`__slice, word, __cnt`: word counts of slices of `run` rows; rows are numbered from 1."""
+    if run == 1:
+        return numbered.select((F.col(seq) - 1).alias("__slice"), word, F.lit(1).cast("bigint").alias("__cnt"))
+    return numbered.groupBy(div(F.col(seq) - 1, run).alias("__slice"), word).agg(F.count(F.lit(1)).alias("__cnt"))
+
+
+def panes_of_slices(
+    slices: DataFrame, word: str, run: int, size: int, slide: int, first: Column, last: Column
+) -> DataFrame:
+    """`pane, word, cnt`: the panes from `first` to `last`, each slice sent to those that hold it."""
+    start = F.col("__slice") * run
+    begin = F.greatest(div(start + (run + slide - 1), slide), first.cast("bigint"))
+    end = F.least(div(start + size, slide), last.cast("bigint"))
+    panes = slices.withColumn("pane", F.explode(F.when(begin <= end, F.sequence(begin, end))))
+    return panes.groupBy("pane", word).agg(F.sum("__cnt").alias("cnt"))
+
+
 def pane_histogram(
     numbered: DataFrame, word: str, size: int, slide: int, total: Column, seq: str = "seq"
 ) -> DataFrame:
     """`pane, word, cnt`: word counts of the panes of a stream numbered 1..total by `seq`.
 
-    Pane j holds the last `size` rows up to row j * slide. If a row has many panes, rows are first
-    counted per slice, the longest run of rows that always share their panes, and slices are then
-    sent to their panes.
+    Pane j holds the last `size` rows up to row j * slide. With many panes per row, rows are first counted per
+    slice, and slices then sent to their panes; where slices would be single rows, panes follow from what
+    enters and leaves them (`changes`).
     """
     positive(size=size, slide=slide)
-    run = gcd(size, slide)
-    if run == 1 or size <= FEW_PANES * slide:
-        run = 1
-        slices = numbered.select(
-            (F.col(seq) - 1).alias("__slice"), word, F.lit(1).cast("bigint").alias("__cnt")
-        )
-    else:
-        slices = numbered.groupBy(div(F.col(seq) - 1, run).alias("__slice"), word).agg(
-            F.count(F.lit(1)).alias("__cnt")
-        )
-    start = F.col("__slice") * run
-    first = div(start + (run + slide - 1), slide)
-    last = F.least(div(start + size, slide), div(total, slide))
-    panes = slices.withColumn("pane", F.explode(F.when(first <= last, F.sequence(first, last))))
-    return panes.groupBy("pane", word).agg(F.sum("__cnt").alias("cnt"))
+    run = slice_rows(size, slide)
+    if run == 1 and size > FEW_PANES * slide:
+        return histogram_by_changes(numbered, word, size, slide, total, seq)
+    return panes_of_slices(slices_of(numbered, word, run, seq), word, run, size, slide, F.lit(1), div(total, slide))
+
+
+def histogram_by_changes(
+    numbered: DataFrame, word: str, size: int, slide: int, total: Column, seq: str = "seq", bits: int = CHANGE_BITS
+) -> DataFrame:
+    """`pane_histogram` from what changes between panes: a row enters one pane and leaves after another one.
+
+    A word's count in a pane is the sum of its changes so far, so a row is two changes however many panes it is
+    in, and changes are combined before the shuffle. Panes are cut into stretches of 2^bits; each gets the
+    count its word begins it with, so no word is summed in one task, and counts that stay the same are expanded
+    to their panes last.
+    """
+    at = F.col(seq)
+    enters, leaves = div(at + (slide - 1), slide), div(at + (size - 1), slide) + 1
+    one = lambda pane, by: F.struct(pane.alias("pane"), F.lit(by).cast("bigint").alias("by"))
+    changes = numbered.select(F.col(word).alias("__word"), F.explode(F.array(one(enters, 1), one(leaves, -1))).alias("c"))
+    # The last row of all ends no pane, so some rows enter and leave between two panes.
+    changes = changes.groupBy("__word", F.col("c.pane").alias("pane")).agg(F.sum("c.by").alias("by")).where("by <> 0")
+    changes = changes.withColumn("__part", F.shiftright("pane", bits))
+    last = div(total, slide)
+    sums = changes.groupBy("__word", "__part").agg(F.sum("by").alias("by"))
+    by_part = Window.partitionBy("__word").orderBy("__part")
+    # A word's count at the end of a stretch is that at the start of the next ones, up to its next change.
+    kept = sums.select(
+        "__word",
+        (F.col("__part") + 1).alias("__from"),
+        F.coalesce(F.lead("__part").over(by_part), F.shiftright(last.cast("bigint"), bits)).alias("__to"),
+        F.sum("by").over(by_part).alias("by"),
+    )
+    kept = explode_range(kept.where("by <> 0"), F.col("__from"), F.col("__to"), "__part").drop("__from", "__to")
+    begins = kept.withColumn("pane", F.shiftleft("__part", bits))
+    rows = changes.unionByName(begins).groupBy("__word", "__part", "pane").agg(F.sum("by").alias("by"))
+    within = Window.partitionBy("__word", "__part").orderBy("pane")
+    stretches = rows.select(
+        "__word", "pane",
+        F.sum("by").over(within).alias("cnt"),
+        F.coalesce(F.lead("pane").over(within) - 1, F.shiftleft(F.col("__part") + 1, bits) - 1).alias("__until"),
+    )
+    until = F.least(F.col("__until"), last.cast("bigint"))
+    stretches = stretches.where("cnt > 0").withColumnRenamed("pane", "__since").withColumn("__until", until)
+    panes = explode_range(stretches, F.col("__since"), F.col("__until"), "pane")
+    return panes.select("pane", F.col("__word").alias(word), "cnt")
 
 
 def stream_histogram(rows: DataFrame, word: str, order_by: str, size: int, slide: int) -> DataFrame:

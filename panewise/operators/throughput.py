@@ -130,8 +130,13 @@ def after_fill(rows: DataFrame, ts: str, order_by: str, fill: int, count: int) -
     """`start, end, thp`: the first `fill` rows warm the state, the `count` after them are timed."""
     positive(fill=fill, count=count)
     ends = rows_at(rows.select(order_by, ts), order_by, [fill, fill + count], "__at")
+    return between_rows(ends, ts, "__at", fill, count)
+
+
+def between_rows(ends: DataFrame, ts: str, at: str, fill: int, count: int) -> DataFrame:
+    """`start, end, thp` from the rows at the positions `fill` and `fill + count`."""
     timed = ends.agg(
-        F.max(F.when(F.col("__at") == fill, F.col(ts))).alias("start"),
-        F.max(F.when(F.col("__at") == fill + count, F.col(ts))).alias("end"),
+        F.max(F.when(F.col(at) == fill, F.col(ts))).alias("start"),
+        F.max(F.when(F.col(at) == fill + count, F.col(ts))).alias("end"),
     )
     return timed.withColumn("thp", rate(F.lit(count), seconds_between("start", "end")))

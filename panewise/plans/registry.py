@@ -22,7 +22,7 @@ from panewise.operators import counter, histogram, throughput, zipf
 from panewise.plans import jobs
 from panewise.session import forget, working_dir
 from panewise.sources import generate, io
-from panewise.streaming import microbatch, stateful
+from panewise.streaming import microbatch, state, stateful
 from panewise.streaming.run import run_to_end, timed_write
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,33 +77,42 @@ def cents(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
 
 
-# Files, and so micro-batches, of the event streams.
+# Micro-batches of the event streams, and rows of a file in them.
 PARTS = 3
+FILE_ROWS = 1 << 20
 
 # The event type of a row after all others, which moves the watermark past them.
 LAST = "end of input"
 
 
 @functools.cache
-def event_parts(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the events as PARTS files in their order, and then one with a last row a week later."""
+def event_parts(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """A folder with the events as PARTS parts in their order, and then one with a last row a week later; and the
+    number of files of each part.
+
+    Rows without an id are in the last part. A part is as many files as its rows need, all parts the same
+    number, so that a micro-batch of that many files is one part.
+    """
     path = working_dir(spark, "event-parts")
     rows = events(spark, sf_dir)
-    ends = rows.agg(F.min("event_id"), F.max("event_id"), F.max("ts")).first()
-    share = (ends[1] - ends[0]) // PARTS + 1
+    ends = rows.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    share = ((ends[1] or 0) - (ends[0] or 0)) // PARTS + 1
+    part = F.coalesce(div(F.col("event_id") - F.lit(ends[0] or 0), share), F.lit(PARTS - 1))
+    files = -(-ends[2] // (PARTS * FILE_ROWS)) or 1
     for i in range(PARTS):
-        part = rows.where(div(F.col("event_id") - ends[0], share) == i)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/events")
+        some = rows.where(part == i)
+        dealt = some.coalesce(1) if files == 1 else some.repartition(files)
+        dealt.write.mode("append").parquet(f"{path}/events")
     last = rows.where(F.col("event_id") == ends[1]).limit(1)
     last = last.withColumns({"event_type": F.lit(LAST), "ts": F.col("ts") + F.expr("interval 7 days")})
     last.coalesce(1).write.parquet(f"{path}/last")
-    return path
+    return path, files
 
 
 def event_stream(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
     """The events, a part in each micro-batch."""
-    path = event_parts(spark, sf_dir)
-    reader = spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1)
+    path, files = event_parts(spark, sf_dir)
+    reader = spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", files)
     return reader.parquet(f"{path}/{{events{',last' if last else ''}}}")
 
 
@@ -317,6 +326,19 @@ def pane_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.stream_histogram(events(spark, sf_dir), "event_type", "event_id", 100, 30)
 
 
+@register("pane_histogram_coprime", pane_sql(EVENT_SEQUENCE, "event_type", 1000, 7) + "select * from h")
+def pane_histogram_coprime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No two rows always share their panes: panes follow from what changes between them."""
+    return histogram.stream_histogram(events(spark, sf_dir), "event_type", "event_id", 1000, 7)
+
+
+TOP_TWO = (
+    pane_sql(EVENT_SEQUENCE, "event_type", 100, 50)
+    + "select * from (select *, row_number() over (partition by pane order by cnt desc, event_type) "
+    "as r from h) where r <= 2"
+)
+
+
 @register(
     "pane_topk",
     pane_sql(EVENT_SEQUENCE, "event_type", 100, 50)
@@ -531,13 +553,15 @@ def throughput_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.fixed_time(events(spark, sf_dir), "ts", DAY_MS)
 
 
-@register(
-    "throughput_warm_mean",
+WARM_MEAN = (
     # Days 2 to 6, or to the last there is; a day without rows has rate 0.
     f"with d as ({DAYS}), b as (select min(start) as first, max(start) as last from d), r as (select "
     "first + to_days(i::int) as start from b, range(1, 6) t(i) where first + to_days(i::int) <= last) "
-    "select avg(coalesce(n, 0) / 86400.0::double) as thp from r left join d using (start)",
+    "select sum(coalesce(n, 0))::double / (count(*) * 86400.0::double) as thp from r left join d using (start)"
 )
+
+
+@register("throughput_warm_mean", WARM_MEAN)
 def throughput_warm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.warm_mean(throughput_tumbling(spark, sf_dir), DAY_MS)
 
@@ -552,12 +576,14 @@ def throughput_until_idle_by_type(spark: SparkSession, sf_dir: str) -> DataFrame
     return throughput.until_idle(events(spark, sf_dir), "ts", PAUSE_MS, by=["event_type"])
 
 
-@register(
-    "throughput_after_fill",
+FILLED = (
     'select start, "end", 500.0::double / (date_diff(\'microsecond\', start, "end") / 1e6) as thp from '
     '(select max(ts) filter (i = 100) as start, max(ts) filter (i = 600) as "end" from '
-    "(select ts, row_number() over (order by event_id) as i from events))",
+    "(select ts, row_number() over (order by event_id) as i from events))"
 )
+
+
+@register("throughput_after_fill", FILLED)
 def throughput_after_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.after_fill(events(spark, sf_dir), "ts", "event_id", 100, 500)
 
@@ -638,6 +664,24 @@ def stream_count_window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, lambda out, state: microbatch.count_window_counts(rows, "user_id", 10, 3, out, state))
 
 
+def _stream_panes(spark: SparkSession, sf_dir: str, size: int, slide: int) -> DataFrame:
+    rows = event_stream(spark, sf_dir)
+    return _batches(
+        spark, lambda out, state: microbatch.pane_histogram(rows, "event_type", "event_id", size, slide, out, state)
+    )
+
+
+@register("stream_pane_histogram", pane_sql(EVENT_SEQUENCE, "event_type", 1000, 30) + "select * from h")
+def stream_pane_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panes of all rows, numbered through all micro-batches."""
+    return _stream_panes(spark, sf_dir, 1000, 30)
+
+
+@register("stream_pane_topk", TOP_TWO)
+def stream_pane_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.top_words(_stream_panes(spark, sf_dir, 100, 50), "event_type", 2)
+
+
 @register("stream_count_window_sum", sliding_sql("total", 10, 3))
 def stream_count_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cents(event_stream(spark, sf_dir))
@@ -663,6 +707,16 @@ def stream_count_window_sum_state(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@register("stream_state_table", FINAL)
+def stream_state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the counter's store holds when the stream has ended, read from the checkpoint as a table."""
+    counted = stateful.running_counter(event_stream(spark, sf_dir), "user_id", "event_type", "event_id")
+    path = working_dir(spark, "stream")
+    run_to_end(spark, io.sink(counted, "parquet", f"{path}/checkpoint", path=f"{path}/rows"))
+    forget(spark, f"{path}/rows")
+    return state.counter_table(spark, f"{path}/checkpoint", "user_id", "event_type")
+
+
 @register("stream_final_state", FINAL)
 def stream_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = stateful.final_state(event_stream(spark, sf_dir), "user_id", "event_id", "event_type")
@@ -688,6 +742,22 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zoneless(_latest(spark, rates, ["start"]), "start")
 
 
+@register("stream_warm_mean", WARM_MEAN)
+def stream_warm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the rates of a stream's days 2 to 6; days leave the state once the watermark has passed them."""
+    rates = throughput.fixed_time(_timed_stream(spark, sf_dir), "ts", DAY_MS)
+    return throughput.warm_mean(_latest(spark, rates, ["start"]), DAY_MS)
+
+
+@register("stream_after_fill", FILLED)
+def stream_after_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of two rows of the whole order, whichever micro-batches they come in."""
+    rows = event_stream(spark, sf_dir)
+    return _batches(
+        spark, lambda out, state: microbatch.after_fill(rows, "ts", "event_id", 100, 500, out, state)
+    )
+
+
 @register("stream_until_idle", sessions_sql("event_type"))
 def stream_until_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions leave the state once the watermark has passed them; a last row moves it past all."""

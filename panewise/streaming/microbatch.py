@@ -1,10 +1,7 @@
 """Keyed state over micro-batches with the batch operators: exact order, hot keys split, no Python rows.
 
-Each micro-batch is answered by the batch operator, which starts from the state the batches before left.
-State is cut into buckets by a hash of the key; a batch reads and writes only the buckets its keys are in,
-each version in a folder of its own, and a manifest says which version of each bucket holds. A batch that
-is run again after a failure finds the manifest it started from; versions that no manifest names any more
-are deleted. Output goes to one folder per batch, replaced when the batch is run again: every row is there
+Each micro-batch is answered by the batch operator, which starts from the state the batches before left. State is
+a log (see `log_state`): a batch reads the rows of its keys and adds those it changed. Output goes to one folder per batch, replaced when the batch is run again: every row is there
 once. The columns of a batch that are needed are fetched from its source once, into a table beside the
 state that goes when the batch is done: nothing is kept on executors. Limit the input per batch at the source.
 """
@@ -13,82 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import BooleanType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 
 from panewise.functions.checks import one_of, positive
-from panewise.operators import counter
+from panewise.operators import counter, histogram, throughput
 from panewise.operators.count_window import MERGERS, REDUCERS, panes_between, to_panes
-from panewise.operators.running import HOT_ROWS, number_rows
+from panewise.operators.running import HOT_ROWS, number_all_rows, number_rows, rows_at
 from panewise.session import forget
+from panewise.streaming.log_state import GONE, LogState
 
 BATCH = "batch_id"
 
-#: Buckets that a state is cut into.
-BUCKETS = 64
-
-_BUCKET = "__bucket"
-
-
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def touched_buckets(batch: DataFrame, key: str) -> list[int]:
-    """At most BUCKETS numbers, combined before the shuffle."""
-    return sorted(r[0] for r in batch.select(bucket_of(key)).distinct().collect())
-
-
-class BucketState:
-    """A table of keyed rows in buckets under a checkpoint folder, with a manifest per batch."""
-
-    def __init__(self, spark: SparkSession, checkpoint: str, name: str, key: str, schema: StructType):
-        self._spark, self._key, self._schema = spark, key, schema
-        self._base = f"{checkpoint}/tables/{name}"
-
-    def _version(self, batch_id: int) -> str:
-        return f"{self._base}/batch={batch_id}"
-
-    def _manifest_path(self, batch_id: int) -> str:
-        return f"{self._base}/manifest/{batch_id}"
-
-    def _exists(self, path: str) -> bool:
-        place = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-    def manifest(self, batch_id: int) -> dict[int, int]:
-        """The batch whose version of each bucket holds after `batch_id`; buckets without rows are left out."""
-        if batch_id < 0 or not self._exists(f"{self._manifest_path(batch_id)}/_SUCCESS"):
-            return {}
-        return {r.bucket: r.batch for r in self._spark.read.parquet(self._manifest_path(batch_id)).collect()}
-
-    def read(self, batch_id: int, buckets: Sequence[int]) -> DataFrame | None:
-        """The state that the batches before left in some buckets; None if there is none."""
-        held = self.manifest(batch_id - 1)
-        return self._rows([f"{self._version(held[b])}/{_BUCKET}={b}" for b in buckets if b in held])
-
-    def _rows(self, paths: list[str]) -> DataFrame | None:
-        return self._spark.read.schema(self._schema).parquet(*paths) if paths else None
-
-    def write(self, rows: DataFrame, batch_id: int, buckets: Sequence[int]) -> DataFrame | None:
-        """Replace the rows of the buckets; they are returned as written."""
-        path = self._version(batch_id)
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema])
-        rows.withColumn(_BUCKET, bucket_of(self._key)).write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
-        there = [b for b in buckets if self._exists(f"{path}/{_BUCKET}={b}")]
-        old, before = self.manifest(batch_id - 2), self.manifest(batch_id - 1)
-        held = {b: v for b, v in before.items() if b not in set(buckets)} | {b: batch_id for b in there}
-        table = self._spark.createDataFrame(sorted(held.items()), "bucket int, batch long")
-        table.coalesce(1).write.mode("overwrite").parquet(self._manifest_path(batch_id))
-        # This batch may be run again from the manifest before it, never from the one before that.
-        for b, v in old.items():
-            if before.get(b) != v:
-                forget(self._spark, f"{self._version(v)}/{_BUCKET}={b}")
-        forget(self._spark, self._manifest_path(batch_id - 2))
-        return self._rows([f"{path}/{_BUCKET}={b}" for b in there])
-
-
 def _write_out(rows: DataFrame | None, output: str, batch_id: int) -> None:
     if rows is not None:
         rows.write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
@@ -178,14 +112,13 @@ def running_counter(
     )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = BucketState(batch.sparkSession, checkpoint, "counter", key, schema)
-        buckets = touched_buckets(batch, key)
-        before = state.read(batch_id, buckets)
+        state = LogState(batch.sparkSession, checkpoint, "counter", schema, key)
+        before = state.read(batch_id, batch)
         _write_out(
             counter.running_counter(batch, key, order_by, payload, before, hot_rows=hot_rows),
             output, batch_id,
         )
-        state.write(counter.final_state(batch, key, order_by, payload, before), batch_id, buckets)
+        state.write(counter.final_state(batch, key, order_by, payload, before), batch_id)
 
     return _each_batch(rows, checkpoint, _fetched(checkpoint, step))
 
@@ -199,9 +132,8 @@ def count_window_counts(
     schema = StructType().add(rows.schema[key]).add("n", LongType()).add("before", LongType())
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = BucketState(batch.sparkSession, checkpoint, "seen", key, schema)
-        buckets = touched_buckets(batch, key)
-        old = state.read(batch_id, buckets)
+        state = LogState(batch.sparkSession, checkpoint, "seen", schema, key)
+        old = state.read(batch_id, batch)
         counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         counts = counts.withColumn("before", F.lit(0).cast("bigint"))
         if old is not None:
@@ -209,9 +141,8 @@ def count_window_counts(
                 F.sum("n").alias("n"), F.sum("before").alias("before")
             )
         # Written once, and read back for the panes of this batch.
-        seen = state.write(counts, batch_id, buckets)
-        if seen is not None:
-            _write_out(panes_between(seen, [key], "before", "n", size, slide), output, batch_id)
+        seen = state.write(counts, batch_id)
+        _write_out(panes_between(seen, [key], "before", "n", size, slide), output, batch_id)
 
     return _each_batch(rows, checkpoint, _fetched(checkpoint, step))
 
@@ -241,16 +172,14 @@ def count_window_reduce(
     reduced = rows.groupBy(key).agg(REDUCERS[how]("__value").alias(into)).schema[into].dataType
     seen_schema = StructType().add(rows.schema[key]).add("n", LongType())
     pane_schema = (
-        StructType().add(rows.schema[key]).add("__pane", LongType()).add("__end", LongType())
-        .add(into, reduced).add("__ended", BooleanType())
+        StructType().add(rows.schema[key]).add("__pane", LongType()).add("__end", LongType()).add(into, reduced)
     )
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen_state = BucketState(spark, checkpoint, "seen", key, seen_schema)
-        pane_state = BucketState(spark, checkpoint, "panes", key, pane_schema)
-        buckets = touched_buckets(batch, key)
-        seen, panes = seen_state.read(batch_id, buckets), pane_state.read(batch_id, buckets)
+        seen_state = LogState(spark, checkpoint, "seen", seen_schema, key)
+        pane_state = LogState(spark, checkpoint, "panes", pane_schema, key, [key, "__pane"])
+        seen, begun = seen_state.read(batch_id, batch), pane_state.read(batch_id, batch)
 
         numbered = number_rows(batch, [key], "__order", "n", seen, hot_rows)
         parts = (
@@ -258,21 +187,91 @@ def count_window_reduce(
             .groupBy(key, "__pane")
             .agg(F.max("n").alias("__end"), REDUCERS[how]("__value").alias(into))
         )
-        if panes is not None:
-            begun = panes.where(~F.col("__ended")).drop("__ended")
+        if begun is not None:
             merged = parts.unionByName(begun).groupBy(key, "__pane").agg(
                 F.max("__end").alias("__end"), MERGERS[how](into).alias(into)
             )
             parts = merged.withColumn(into, F.col(into).cast(reduced))
-        parts = parts.withColumn("__ended", F.col("__end") == F.col("__pane") * slide)
-        # Written once: ended panes are read back as output, the others are what the next batch reads.
-        held = pane_state.write(parts, batch_id, buckets)
-        if held is not None:
-            _write_out(held.where("__ended").select(key, F.col("__end").alias("n"), into), output, batch_id)
+        # Written once: panes that have ended leave the state, and are read back as output.
+        held = pane_state.write(parts.withColumn(GONE, F.col("__end") == F.col("__pane") * slide), batch_id)
+        _write_out(held.where(GONE).select(key, F.col("__end").alias("n"), into), output, batch_id)
 
         counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         if seen is not None:
             counts = counts.unionByName(seen).groupBy(key).agg(F.sum("n").alias("n"))
-        seen_state.write(counts, batch_id, buckets)
+        seen_state.write(counts, batch_id)
+
+    return _each_batch(rows, checkpoint, _fetched(checkpoint, step))
+
+
+# The stream as a whole -------------------------------------------------------------------------------
+
+
+def _seen(state: LogState, batch_id: int) -> int:
+    return state.note(batch_id - 1).get("seen", 0)
+
+
+def pane_histogram(
+    stream: DataFrame, word: str, order_by: str, size: int, slide: int, output: str, checkpoint: str
+) -> DataStreamWriter:
+    """Write `pane, word, cnt`, as `histogram.stream_histogram` does on a table; a pane comes with the batch it
+    ends in.
+
+    Rows are numbered through all batches. State is the number of rows so far, and the word counts of the slices
+    that a pane to come still looks back on: each batch adds its own, and slices that all panes have passed
+    go when runs are merged.
+    """
+    positive(size=size, slide=slide)
+    run = histogram.slice_rows(size, slide)
+    rows = stream.select(F.col(order_by).alias("__order"), F.col(word).alias("__word"))
+    schema = StructType().add("__slice", LongType()).add(rows.schema["__word"]).add("__cnt", LongType())
+
+    def added(slices: DataFrame) -> DataFrame:
+        return slices.groupBy("__slice", "__word").agg(F.sum("__cnt").alias("__cnt"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state = LogState(batch.sparkSession, checkpoint, "slices", schema, "__slice", ["__slice", "__word"], added)
+        seen = _seen(state, batch_id)
+        now = seen + batch.count()
+        numbered = number_all_rows(batch, "__order", "__seq")
+        numbered = numbered.select((F.col("__seq") + seen).alias("__seq"), "__word")
+        first, last = seen // slide + 1, now // slide
+        # No pane after the last one looks back beyond this row.
+        passed = (F.col("__slice") + 1) * run <= (last + 1) * slide - size
+        new = state.write(histogram.slices_of(numbered, "__word", run, "__seq"), batch_id, {"seen": now}, ~passed)
+        if first <= last:
+            held, old = new.drop(GONE), state.read(batch_id)
+            held = held if old is None else held.unionByName(old)
+            panes = histogram.panes_of_slices(held, "__word", run, size, slide, F.lit(first), F.lit(last))
+            _write_out(panes.withColumnRenamed("__word", word), output, batch_id)
+
+    return _each_batch(rows, checkpoint, _fetched(checkpoint, step))
+
+
+def after_fill(
+    stream: DataFrame, ts: str, order_by: str, fill: int, count: int, output: str, checkpoint: str
+) -> DataStreamWriter:
+    """Write `start, end, thp` once both rows are there, as `throughput.after_fill` gives them.
+
+    State is the number of rows so far and the one time that was met; a batch sorts rows only if it holds the
+    row at `fill` or at `fill + count`.
+    """
+    positive(fill=fill, count=count)
+    rows = stream.select(F.col(order_by).alias("__order"), F.col(ts).alias("__ts"))
+    schema = StructType().add("__at", LongType()).add(rows.schema["__ts"])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state = LogState(batch.sparkSession, checkpoint, "times", schema, "__at")
+        seen = _seen(state, batch_id)
+        now = seen + batch.count()
+        wanted = [p - seen for p in (fill, fill + count) if seen < p <= now]
+        if wanted:
+            found = rows_at(batch, "__order", wanted, "__at").select((F.col("__at") + seen).alias("__at"), "__ts")
+        else:
+            found = batch.sparkSession.createDataFrame([], schema)
+        new, old = state.write(found, batch_id, {"seen": now}).drop(GONE), state.read(batch_id)
+        if seen < fill + count <= now:
+            held = new if old is None else new.unionByName(old)
+            _write_out(throughput.between_rows(held, "__ts", "__at", fill, count), output, batch_id)
 
     return _each_batch(rows, checkpoint, _fetched(checkpoint, step))

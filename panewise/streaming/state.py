@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _PREFIX = "spark.sql.streaming.stateStore."
 _PROVIDERS = "org.apache.spark.sql.execution.streaming.state."
@@ -56,3 +56,21 @@ def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+
+
+def state_table(spark: SparkSession, checkpoint: str, variable: str, operator: int = 0, batch_id: int | None = None) -> DataFrame:
+    """`key, value, partition_id` of a named variable of a stateful operator, from a stream's checkpoint: after its
+    last batch, or after `batch_id`. Spark reads the store's files in parallel; no stream has to run.
+
+    The settings of the store that the stream ran with have to hold while it is read.
+    """
+    reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable)
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    return reader.load(checkpoint)
+
+
+def counter_table(spark: SparkSession, checkpoint: str, key: str, payload: str, batch_id: int | None = None) -> DataFrame:
+    """`key, n, payload`: the state of `stateful.running_counter`."""
+    rows = state_table(spark, checkpoint, "counter", batch_id=batch_id)
+    return rows.select(F.col(f"key.{key}").alias(key), F.col("value.n").alias("n"), F.col("value.last").alias(payload))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from panewise.operators.histogram import (
     bottom_counts,
     histogram,
+    histogram_by_changes,
     number_words,
     pane_histogram,
     stream_histogram,
@@ -60,3 +62,21 @@ def test_bad_arguments(words):
         stream_histogram(words, "w", "o", 0, 1)
     with pytest.raises(ValueError):
         top_words(words.withColumn("pane", F.lit(1)).withColumn("cnt", F.lit(1)), "w", 0)
+
+
+@pytest.mark.parametrize("bits", [1, 3, 20])
+@pytest.mark.parametrize("size,slide", [(5, 1), (3, 2), (40, 3), (2, 5), (500, 7)])
+def test_panes_from_changes_are_those_of_copies(spark, size, slide, bits):
+    """Stretches of two and eight panes carry counts from one to the next, also past stretches without a change."""
+    words = [random.Random(3).choice("aaab") for _ in range(150)] + ["c"] + ["a"] * 150
+    rows = spark.createDataFrame([(i + 1, w if w != "b" else None) for i, w in enumerate(words)], "seq bigint, w string")
+    got = histogram_by_changes(rows, "w", size, slide, F.lit(len(words)), "seq", bits)
+    want = {
+        j: Counter(w if w != "b" else None for w in words[max(0, j * slide - size) : j * slide])
+        for j in range(1, len(words) // slide + 1)
+    }
+    found = {}
+    for r in got.collect():
+        assert r.w not in found.setdefault(r.pane, {})
+        found[r.pane][r.w] = r.cnt
+    assert found == want

@@ -1,4 +1,5 @@
 import os
+import random
 import subprocess
 import sys
 import time
@@ -8,13 +9,15 @@ from pyspark.sql import functions as F
 
 from conftest import TESTDATA
 from panewise.operators import count_window as windows
-from panewise.operators import counter, throughput
+from panewise.operators import counter, histogram, throughput
 from panewise.plans import jobs
 from panewise.sources import io
 from panewise.sources.generate import word_stream
+from panewise.streaming import log_state as log_state_module
 from panewise.streaming import microbatch, stateful
+from panewise.streaming.log_state import GONE, LogState
 from panewise.streaming.run import run_to_end, timed_write
-from panewise.streaming.state import IN_MEMORY, ROCKSDB, session_settings, state_profile
+from panewise.streaming.state import IN_MEMORY, ROCKSDB, counter_table, session_settings, state_profile
 
 FILES = 4
 HOT = 50
@@ -131,16 +134,16 @@ def test_restart_goes_on_from_the_checkpoint(spark, events, tmp_path):
 
 
 def test_failed_batch_is_run_again_from_the_same_state(spark, events, folder, tmp_path, monkeypatch):
-    """Fail after the output of the third batch is written but before its state is."""
-    real, calls = microbatch.BucketState.write, []
+    """Fail after the output and the run of the third batch are written but before its manifest is."""
+    real, calls = LogState._commit, []
 
-    def failing(self, rows, batch_id, buckets):
+    def failing(self, batch_id, runs, note):
         calls.append(batch_id)
         if calls.count(2) == 1 and batch_id == 2:
             raise RuntimeError("lost")
-        return real(self, rows, batch_id, buckets)
+        return real(self, batch_id, runs, note)
 
-    monkeypatch.setattr(microbatch.BucketState, "write", failing)
+    monkeypatch.setattr(LogState, "_commit", failing)
     with pytest.raises(Exception, match="lost"):
         run_to_end(spark, counter_writer(spark, events, folder, tmp_path))
     run_to_end(spark, counter_writer(spark, events, folder, tmp_path))
@@ -150,27 +153,100 @@ def test_failed_batch_is_run_again_from_the_same_state(spark, events, folder, tm
     )
 
 
-def test_untouched_buckets_are_not_written_again(spark, tmp_path):
-    schema = "k bigint, n bigint"
-    rows = spark.createDataFrame([(i, 1) for i in range(200)], schema)
-    state = microbatch.BucketState(spark, str(tmp_path), "s", "k", rows.schema)
-    every = microbatch.touched_buckets(rows, "k")
-    state.write(rows, 0, every)
-    few = spark.createDataFrame([(5, 2)], schema)
-    touched = microbatch.touched_buckets(few, "k")
-    old = state.read(1, touched)
-    assert len(touched) == 1 and 0 < old.count() < 200
-    state.write(old.where("k <> 5").unionByName(few), 1, touched)
-    held = state.manifest(1)
-    assert {b for b, v in held.items() if v == 1} == set(touched) and set(held) == set(every)
-    assert os.listdir(tmp_path / "tables" / "s" / "batch=1") != [] and state.read(2, every).count() == 200
-    assert state.read(2, every).where("k = 5").first().n == 2
-    # Versions go once no batch can start from them, and buckets may lose all rows.
-    state.write(few, 2, touched)
-    state.write(few.limit(0), 3, touched)
-    assert set(state.manifest(3)) == set(every) - set(touched)
-    assert not (tmp_path / "tables" / "s" / "batch=0" / f"__bucket={touched[0]}").exists()
-    assert not (tmp_path / "tables" / "s" / "manifest" / "1").exists()
+# The log of states -----------------------------------------------------------------------------------
+
+
+def log_state(spark, tmp_path, **options):
+    schema = spark.createDataFrame([], "k bigint, n bigint").schema
+    return LogState(spark, str(tmp_path), "s", schema, "k", **options)
+
+
+def pairs(rows):
+    return {} if rows is None else {r.k: r.n for r in rows.collect()}
+
+
+@pytest.mark.parametrize("bucket_rows", [5, 1 << 20])
+def test_state_is_that_of_a_dictionary(spark, tmp_path, monkeypatch, bucket_rows):
+    """Many batches with changes, keys that go and come again, null keys, and batches that are run twice."""
+    monkeypatch.setattr(log_state_module, "BUCKET_ROWS", bucket_rows)
+    r, held, state = random.Random(2), {}, log_state(spark, tmp_path)
+    for batch in range(18):
+        changed = {r.choice([None, *range(40)]): r.randrange(1000) for _ in range(r.randrange(0, 12))}
+        gone = {k: r.random() < 0.2 for k in changed}
+        rows = spark.createDataFrame([(k, n, gone[k]) for k, n in changed.items()], f"k bigint, n bigint, {GONE} boolean")
+        asked = spark.createDataFrame([(k,) for k in [None, *range(0, 40, 3)]], "k bigint")
+        want = {k: n for k, n in held.items() if k in (None, *range(0, 40, 3))}
+        assert pairs(state.read(batch, asked)) == want and pairs(state.read(batch)) == held
+        for _ in range(1 + batch % 2):
+            assert state.write(rows, batch, {"batch": batch}).count() == len(changed)
+        held = {k: n for k, n in (held | changed).items() if not gone.get(k)}
+        assert state.note(batch) == {"batch": batch}
+    assert len(state.runs(17)) < 8 and any(x.level == 2 for x in state.runs(17))
+    assert any(x.buckets > 1 for x in state.runs(17)) == (bucket_rows == 5)
+    # What no manifest leads to any more is gone: the runs there are belong to this one or the one before.
+    named = {x.name for x in [*state.runs(17), *state.runs(16)]}
+    assert {n for n in os.listdir(tmp_path / "tables" / "s") if n.startswith("run-")} == named
+    assert sorted(n for n in os.listdir(tmp_path / "tables" / "s" / "manifest") if n.endswith(".json")) == ["16.json", "17.json"]
+
+
+def test_bytes_written_follow_the_batch(spark, tmp_path):
+    """A batch of a few keys beside a state of many writes a few rows."""
+    state = log_state(spark, tmp_path)
+    state.write(spark.range(200_000).selectExpr("id k", "1L n"), 0)
+    folder = tmp_path / "tables" / "s"
+
+    def size(name):
+        return sum(f.stat().st_size for f in (folder / name).rglob("*.parquet"))
+
+    for batch in (1, 2):
+        state.write(spark.range(50).selectExpr("id k", f"{batch}L n"), batch)
+        assert size(f"run-{batch}") * 100 < size("run-0") and [x.rows for x in state.runs(batch)] == [200_000] + [50] * batch
+    assert pairs(state.read(3, spark.range(49, 51).toDF("k"))) == {49: 2, 50: 1}
+
+
+def test_combined_rows_and_rows_that_are_passed(spark, tmp_path):
+    state = log_state(spark, tmp_path, combine=lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")))
+    for batch in range(4):
+        state.write(spark.createDataFrame([(1, 1), (batch, 10)], "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), batch, keep=F.col("k") > 0)
+    assert pairs(state.read(4)) == {1: 14, 2: 10, 3: 10}
+
+
+# The whole stream ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size,slide", [(100, 50), (7, 30), (200, 12), (60, 7), (400, 400)])
+def test_stream_pane_histogram(spark, events, folder, tmp_path, size, slide):
+    out = str(tmp_path / "out")
+    run_to_end(
+        spark,
+        microbatch.pane_histogram(
+            stream(spark, events, folder), "event_type", "event_id", size, slide, out, str(tmp_path / "checkpoint")
+        ),
+    )
+    same(microbatch.read_output(spark, out), histogram.stream_histogram(events, "event_type", "event_id", size, slide))
+
+
+@pytest.mark.parametrize("fill,count", [(1, 1), (100, 500), (300, 100), (249, 1)])
+def test_stream_after_fill(spark, events, folder, tmp_path, fill, count):
+    out = str(tmp_path / "out")
+    writer = microbatch.after_fill(
+        stream(spark, events, folder), "ts", "event_id", fill, count, out, str(tmp_path / "checkpoint")
+    )
+    run_to_end(spark, writer)
+    same(microbatch.read_output(spark, out), throughput.after_fill(events, "ts", "event_id", fill, count))
+
+
+def test_state_as_a_table(spark, events, folder, tmp_path):
+    """After the last batch, and after an earlier one, without the stream."""
+    rows = stateful.running_counter(stream(spark, events, folder), "user_id", "event_type", "event_id")
+    written(spark, rows, tmp_path)
+    checkpoint = str(tmp_path / "checkpoint")
+    same(counter_table(spark, checkpoint, "user_id", "event_type"), counter.final_state(events, "user_id", "event_id", "event_type"))
+    early = events.where(F.col("event_id") < events.count() // FILES)
+    same(
+        counter_table(spark, checkpoint, "user_id", "event_type", batch_id=0),
+        counter.final_state(early, "user_id", "event_id", "event_type"),
+    )
 
 
 def test_microbatch_decimals(spark, events, folder, tmp_path):
