@@ -129,7 +129,7 @@ class PieceModel:
         return n.Sequence(steps)
 
     def tokenizer(self):
-        from tokenizers import AddedToken, Tokenizer, decoders, models
+        from tokenizers import AddedToken, Tokenizer, models
 
         if self.kind == BPE:
             vocabulary = {p: i for i, (p, _, _) in enumerate(self.pieces)}
@@ -143,11 +143,17 @@ class PieceModel:
         made = Tokenizer(model)
         made.normalizer = self.normalizer()
         made.add_tokens([AddedToken(p, normalized=False) for p, _, kind in self.pieces if kind == USER])
-        strip = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
-        unknown = decoders.Replace(self.pieces[self.unknown][0], " ⁇ ")
-        made.decoder = decoders.Sequence([unknown, decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+        made.decoder = self.decoder()
         return made
 
+    def decoder(self, first: bool = True):
+        """What turns pieces into text; without `first`, that of a stretch inside a text."""
+        from tokenizers import decoders
+
+        strip = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix and first else []
+        unknown = decoders.Replace(self.pieces[self.unknown][0], " ⁇ ")
+        return decoders.Sequence([unknown, decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+
 
 # Encoding and decoding ------------------------------------------------------------------------------
 
@@ -166,9 +172,11 @@ class Codec:
         self._whole = model.tokenizer()
         self._bare = model.tokenizer()  # for stretches that are normalised already
         self._bare.normalizer = None
+        self._bare.decoder = model.decoder(first=False)
         self._judge = SentencePieceProcessor(model_proto=model.content)
         self._split = model.splits_at_markers()
-        self._kept: dict[str, bytes] = {}
+        self._kept: dict[str, tuple[bytes, bool | None, str]] = {}  # ids, whether the judge agrees (None: it can't tell), text
+        self._unknown_id = model.unknown
         self._control = {i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL}
 
     @staticmethod
@@ -180,28 +188,61 @@ class Codec:
         """Whether sentencepiece gives these ids for the whole text."""
         return array("I", self._judge.encode(text)).tobytes() == ids
 
-    def _stretches(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         model = self._model
         if model.squeeze:
             text = re.sub(" {2,}", " ", text.strip(" "))
         text = text.replace(" ", MARKER)
-        return _STRETCH.findall(MARKER + text if model.dummy_prefix and text else text)
+        return MARKER + text if model.dummy_prefix and text else text
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
-        """(little-endian unsigned 32-bit ids, whether both libraries agree) of each text."""
+        return self.encode_and_decode(texts)[:2]
+
+    def encode_and_decode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool], list[str]]:
+        """(little-endian unsigned 32-bit ids, whether both libraries agree, the text they decode to) of each text.
+
+        Where no piece goes on from a letter to a marker, both libraries put nothing together across the start of a
+        stretch (markers and what follows them): a merge or a path over that place would need such a piece, and
+        byte fallback works letter by letter. So the ids of a text are those of its stretches in a row, and the
+        libraries agree on the text if they normalise it alike and agree on each stretch. A stretch is
+        judged once, when it is met first; the text as a whole is compared as normalised. Stretches with an
+        unknown letter at an edge could be fused across it, so such texts are judged whole. Decoding puts pieces
+        side by side, and bytes that make one letter are inside a stretch, so it goes by stretches too; only the
+        blank at the start is taken from the whole.
+        """
         texts = [t or "" for t in texts]
         if not self._split or not self._model.dummy_prefix:
             ids = self._ids(self._whole, texts)
-            return ids, list(map(self._agrees, texts, ids))
-        cut = [self._stretches(t) for t in texts]
+            return ids, list(map(self._agrees, texts, ids)), self.decode_batch(ids)
+        normal = list(map(self._normal, texts))
+        cut = list(map(_STRETCH.findall, normal))
         met = set().union(*cut)
         new = list(met - self._kept.keys())
         if len(self._kept) + len(new) > MOST_KEPT:
             self._kept.clear()
             new = list(met)
-        self._kept.update(zip(new, self._ids(self._bare, new)))
-        ids = [b"".join(map(self._kept.__getitem__, c)) for c in cut]
-        return ids, list(map(self._agrees, texts, ids))
+        judged = [array("I", ids).tobytes() for ids in self._judge.encode([s.replace(MARKER, " ").removeprefix(" ") for s in new])] if new else []
+        encoded = self._ids(self._bare, new)
+        decoded = self._bare.decode_batch([memoryview(i).cast("I").tolist() for i in encoded], skip_special_tokens=False)
+        for stretch, ids, theirs, shown in zip(new, encoded, judged, decoded):
+            # The judge puts a marker before what it gets and squeezes blanks: only what survives that is comparable.
+            alone = self._normal(stretch.replace(MARKER, " ").removeprefix(" ")) == stretch
+            self._kept[stretch] = ids, ids == theirs if alone else None, shown
+        found, agree, back = [], [], []
+        for text, whole, stretches in zip(texts, normal, cut):
+            held = [self._kept[s] for s in stretches]
+            ids = b"".join([h[0] for h in held])
+            verdicts = {h[1] for h in held}
+            found.append(ids)
+            back.append("".join([h[2] for h in held]).removeprefix(" "))
+            if not stretches or None in verdicts or self._unknown_in(ids):
+                agree.append(self._agrees(text, ids))
+            else:
+                agree.append(False not in verdicts and self._judge.Normalize(text) == whole)
+        return found, agree, back
+
+    def _unknown_in(self, ids: bytes) -> bool:
+        return self._unknown_id in memoryview(ids).cast("I")
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
         """Texts of ids by the rebuilt tokenizer's decoder; control pieces stand for nothing."""
@@ -218,8 +259,7 @@ def _run(model: PieceModel, threads: int, keep: bool):
         codec = Codec(model, threads)
         for batch in by_size(batches, "text"):
             texts = batch.column("text").to_pylist()
-            found, agree = codec.encode(texts)
-            decoded = codec.decode_batch(found)
+            found, agree, decoded = codec.encode_and_decode(texts)
             arrays = [
                 batch.column("id"),
                 pa.array([len(ids) // 4 for ids in found], pa.int64()),

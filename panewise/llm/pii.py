@@ -56,7 +56,8 @@ def luhn(number: str) -> bool:
 
 
 def octets(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    parts = [p.lstrip("0") for p in text.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def _emails(text: str) -> Iterator[Span]:

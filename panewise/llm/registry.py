@@ -91,7 +91,7 @@ def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WHOLE = """select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
-    where vec_id is not null and len(embedding) > 0
+    where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
 
 
@@ -99,7 +99,7 @@ _WHOLE = """select vec_id, list_transform(embedding, lambda x: floor(256 * x::do
     "op10_pivot_top_k",
     f"""with w as ({_WHOLE}),
     s as (select q.vec_id query_id, x.vec_id vec_id,
-            list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint score
+            coalesce(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])), 0)::bigint score
         from w q join w x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id)
     select query_id, rank, vec_id, score from (
         select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)

@@ -112,24 +112,97 @@ class _Type:
         return None if self._depth else self.name
 
 
+#: Letters at both ends of a value by which it is told what stands across the seams of its parts.
+_EDGE = 120
+
+
+class Value:
+    """A literal put together from parts: spans of the text, and other values, which are shared and never copied.
+
+    What a score needs of its text is worked out from the parts, so a chain of constants costs what its lines
+    do, however long the text is that they stand for.
+    """
+
+    def __init__(self, text: str, parts: list[tuple[int, int] | Value]):
+        self.parts, self.size, self.letters, self.last = parts, 0, frozenset(), ""
+        self.key = self.veto = self.opened = self.message = False
+        self.head = self.tail = ""
+        for part in parts:
+            self._add(part if isinstance(part, Value) else _Leaf(text[part[0] : part[1]]))
+
+    def _add(self, other: Value | _Leaf) -> None:
+        across = self.tail[-_EDGE:] + other.head[:_EDGE]
+        # A word at the edge of what is looked at may be half of one.
+        from_start, to_end = self.size <= _EDGE, other.size <= _EDGE
+        seam = len(self.tail[-_EDGE:])
+
+        def met(pattern: re.Pattern) -> bool:
+            return any(
+                m.start() < seam < m.end() and (from_start or m.start() > 0) and (to_end or m.end() < len(across))
+                for m in pattern.finditer(across)
+            )
+
+        self.key = self.key or other.key or met(_KEY_BEGINS)
+        self.veto = self.veto or other.veto or self.opened and ">" in other.letters or met(_PLACEHOLDER)
+        self.opened = self.opened or "<" in other.letters
+        self.message = self.message or other.message or met(_MESSAGE_WORD)
+        self.letters |= other.letters
+        self.head = (self.head + other.head)[:_EDGE] if self.size < _EDGE else self.head
+        self.tail = (self.tail + other.tail)[-_EDGE:]
+        self.size += other.size
+        self.last = other.last or self.last
+
+    def spans(self, seen: set[int] | None = None) -> Iterator[tuple[int, int]]:
+        """Each span once, in order; values in `seen` are left out, and added to it."""
+        seen = set() if seen is None else seen
+        given: set[tuple[int, int]] = set()
+        stack = [self]
+        while stack:
+            part = stack.pop()
+            if isinstance(part, tuple):
+                if part not in given:
+                    given.add(part)
+                    yield part
+            elif id(part) not in seen:
+                seen.add(id(part))
+                stack.extend(reversed(part.parts))
+
+
+class _Leaf:
+    """What a score needs of a piece of text."""
+
+    def __init__(self, text: str):
+        self.size, self.letters, self.last = len(text), frozenset(text), text.rstrip()[-1:]
+        self.key, self.veto = bool(_KEY_BEGINS.search(text)), bool(_PLACEHOLDER.search(text))
+        self.message = bool(_MESSAGE_WORD.search(text))
+        self.head, self.tail = text[:_EDGE], text[-_EDGE:]
+
+
 def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of its literal's parts), in order of place; constants are handed on by name.
+    """(name, spans of its literal's parts, each once), in order of place; constants are handed on by name."""
+    for name, value in assignments(text):
+        yield name, list(value.spans())
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of what is assigned, in order of place; constants are handed on by name.
 
     The target of `name: type = ...` is the name, that of `x["name"] = ...` the last string in the brackets.
+    Forms that need more than the last name follow: calls, setters, blocks, elements and tuples.
     """
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, Value] = {}
     lexemes = ((m.lastgroup, m) for m in _LEXEMES.finditer(text) if m.lastgroup != "comment")
     name = None  # what the next literal would be assigned to
     before: tuple[str, re.Match] | None = None
-    parts: list[tuple[int, int]] = []
+    parts: list[tuple[int, int] | Value] = []
     waiting = False  # a value may follow
     typed = _Type()
 
-    def close() -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    def close() -> Iterator[tuple[str, Value]]:
         nonlocal name, parts, waiting
         if name and parts:
-            constants[name] = parts
-            yield name, parts
+            constants[name] = Value(text, parts)
+            yield name, constants[name]
         name, parts, waiting = None, [], False
 
     for kind, m in lexemes:
@@ -148,11 +221,11 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]
             if declared or called:
                 name, waiting = declared or called, True
         elif kind == "string" and name and waiting:
-            parts = parts + _fixed(m)
+            parts += _fixed(m)
             waiting = False
         elif kind == "name" and name and waiting:
             if m[0] in constants:
-                parts = parts + constants[m[0]]
+                parts.append(constants[m[0]])
                 waiting = False
             else:
                 yield from close()
@@ -162,7 +235,7 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]
             if not waiting:
                 yield from close()
         elif kind == "string" and name and parts and before and before[0] == "string":
-            parts = parts + _fixed(m)
+            parts += _fixed(m)
         else:
             yield from close()
         if kind != "becomes":
@@ -175,7 +248,45 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]
             before = (kind, m)
     yield from close()
     for m in _BARE_LINE.finditer(text):
-        yield m[1], [m.span(2)]
+        yield m[1], Value(text, [m.span(2)])
+    yield from _other_forms(text)
+
+
+_STRING = r"""(?:"[^"\n]*+"|'[^'\n]*+')"""
+# `name = f("literal")`, `name: Type = f("what", "literal")`.
+_CALL = re.compile(
+    rf"""\b([A-Za-z_]\w*+)[ \t]*+(?::[^=:\n"'(]{{0,80}}+)?[:=][ \t]*+(?:new[ \t]++)?([A-Za-z_][\w.:]*+)\([ \t]*+({_STRING})(?:[ \t]*+,[ \t]*+({_STRING}))?"""
+)
+_SETTER = re.compile(rf"\b(?:set|with|add|put)_?([A-Z]\w*+|[a-z]\w*+)\([ \t]*+({_STRING})[ \t]*+\)")
+_BLOCK = re.compile(r"^[ \t]*+(?:-[ \t]++)?([A-Za-z_][\w.-]*+)[ \t]*+:[ \t]*+[|>][+-]?[ \t]*+\n((?:[ \t]++[^\s][^\n]*+(?:\n|\Z))++)", re.M)
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]{0,200}+)?>([^<>\n]++)</\1>")
+_TUPLE = re.compile(
+    rf"^[ \t]*+(\w++(?:[ \t]*+,[ \t]*+\w++)++)[ \t]*+:?=[ \t]*+({_STRING}(?:[ \t]*+,[ \t]*+{_STRING})++)", re.M
+)
+# Functions that give back the text they get; of others only a second literal, a default, is a value.
+_GIVES_BACK = {"from", "new", "str", "string", "bytes", "secretstr", "secretbytes", "text", "literal", "b64decode", "base64decode", "tostring"}
+
+
+def _other_forms(text: str) -> Iterator[tuple[str, Value]]:
+    inside = lambda m, g: Value(text, [(m.start(g) + 1, m.end(g) - 1)])
+    for m in _CALL.finditer(text):
+        if m[4]:
+            yield m[1], inside(m, 4)
+        elif re.split(r"[.:]+", m[2])[-1].lower() in _GIVES_BACK:
+            yield m[1], inside(m, 3)
+    for m in _SETTER.finditer(text):
+        yield m[1], inside(m, 2)
+    for m in _BLOCK.finditer(text):
+        lines = [(x.start() + m.start(2), x.end() + m.start(2)) for x in re.finditer(r"[^\s][^\n]*(?<!\s)", m[2])]
+        yield m[1], Value(text, lines)
+    for m in _ELEMENT.finditer(text):
+        yield m[1], Value(text, [m.span(2)])
+    for m in _TUPLE.finditer(text):
+        names = re.findall(r"\w+", m[1])
+        values = [x.span() for x in re.finditer(_STRING, m[2])]
+        if len(names) == len(values):
+            for name, (a, b) in zip(names, values):
+                yield name, Value(text, [(m.start(2) + a + 1, m.start(2) + b - 1)])
 
 
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -200,26 +311,29 @@ def name_score(name: str) -> int:
 
 
 # What a sentence shown to a reader has, and a pass phrase hasn't.
-_MESSAGE = re.compile(r"[.!?:]\s*+\Z|\b(?:please|enter|your|must|invalid|incorrect|required|forgot|cannot|should|password|token|secret|credentials?)\b", re.I)
+_MESSAGE_WORD = re.compile(r"\b(?:please|enter|your|must|invalid|incorrect|required|forgot|cannot|should|password|token|secret|credentials?)\b", re.I)
+_MESSAGE_ENDS = frozenset(".!?:")
 _KEY_BEGINS = re.compile(r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----")
 _KEY_ENDS = "-----END "
 
 
-def literal_score(value: str, sensitive: int = 0) -> int:
+def literal_score(value: str | Value, sensitive: int = 0) -> int:
     """0 to 4 by length and mix of characters; below 0 for what can't be a secret.
 
     A private key scores 4. Other values with white space may be pass phrases if their name scores 3 or more;
     they lose 1, and 3 more if they read like a message.
     """
-    if _KEY_BEGINS.search(value):
+    v = Value(value, [(0, len(value))]) if isinstance(value, str) else value
+    if v.key:
         return 4
-    blank = re.search(r"\s", value) is not None
-    if len(value) < 8 or blank and sensitive < 3 or _PLACEHOLDER.search(value):
+    blank = any(c.isspace() for c in v.letters)
+    if v.size < 8 or blank and sensitive < 3 or v.veto:
         return -9
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    distinct = len(set(value))
-    form = (distinct >= 6) + (kinds >= 2) + (kinds >= 3 or len(value) >= 20) + (distinct >= 12)
-    return form - blank - 3 * (blank and _MESSAGE.search(value) is not None)
+    lower, upper, digit = (any(a <= c <= b for c in v.letters) for a, b in ("az", "AZ", "09"))
+    other = any(not (c.isascii() and c.isalnum()) for c in v.letters)
+    kinds, distinct = lower + upper + digit + other, len(v.letters)
+    form = (distinct >= 6) + (kinds >= 2) + (kinds >= 3 or v.size >= 20) + (distinct >= 12)
+    return form - blank - 3 * (blank and (v.message or v.last in _MESSAGE_ENDS))
 
 
 def key_blocks(text: str) -> list[Span]:
@@ -242,13 +356,13 @@ def literal_spans(text: str, least: int = 5) -> list[Span]:
     lower = text.lower()
     strong, weak = _STEMS
     named = any(s in lower for s in strong) or sum(s in lower for s in weak) >= 2
-    if not named or not any(c in text for c in "=:"):
+    if not named or not any(c in text for c in "=:(<"):
         return blocks
-    found = set()
-    for name, parts in name_literal_pairs(text):
+    found, seen = set(), set()
+    for name, value in assignments(text):
         sensitive = name_score(name)
-        if sensitive >= 2 and sensitive + literal_score("".join(text[a:b] for a, b in parts), sensitive) >= least:
-            found.update((LITERAL, a, b) for a, b in parts if b > a)
+        if sensitive >= 2 and sensitive + literal_score(value, sensitive) >= least:
+            found.update((LITERAL, a, b) for a, b in value.spans(seen) if b > a)
     spans, reach = [], 0
     for s in sorted({*found, *blocks}, key=lambda s: (s[1], -s[2])):
         if s in found or s[2] > reach:

@@ -6,10 +6,10 @@ norms of a ring's vectors its inner product there is at most (|q|^2 + |x|^2 - |D
 and Schwarz at most |q| |x|. A query first opens the rings with the highest bounds, until they hold k
 vectors; the k-th score then shuts out all rings with a lower bound, and the rest are opened.
 
-Components are turned into floor(256 x); scores are exact integers, ties go to the smaller id. Rows without
-an id, and vectors that are null, empty, or hold a null, non-finite or huge (2^28 scaled) component take no
-part. Shorter vectors count as filled up with zeros. Rows that repeat in id and vector count once; an id
-with several vectors is a query, and a candidate, with each; a row is never a candidate of its own id. An
+Components are turned into floor(256 x); scores are exact integers, those beyond 63 bits count as the largest or
+least long, and ties go to the smaller id. Rows without an id, and vectors that are null or hold a null or
+non-finite component, take no part. Shorter vectors, also empty ones, count as filled up with zeros. Each row is
+a candidate and a query of its own, also one that repeats another; a row is never a candidate of its own id. An
 empty table gives no rows. Other columns are not read.
 """
 
@@ -29,17 +29,18 @@ PIVOTS, RINGS, SAMPLE = 32, 8, 4096
 #: Rows of a ring, and queries, that meet in one group.
 ROWS_PER_GROUP, QUERIES_PER_GROUP = 2048, 1024
 
-_HUGE = 1 << 28
 _KEY = ["cell", "ring", "part", "block"]
 
 
 def whole(vectors: DataFrame, id: str, vector: str, scale: int = 256) -> DataFrame:
-    """`id, v` of the vectors that take part, v an array of whole numbers."""
+    """`id, v` of the vectors that take part, v an array of whole numbers, as DOUBLE, which holds each exactly."""
     x = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), x.alias("x"))
-    fit = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < _HUGE)
-    rows = rows.filter(F.col("id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: F.coalesce(fit(c), F.lit(False))))
-    return rows.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("int")).alias("v")).distinct()
+    fit = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: F.coalesce(fit(c), F.lit(False))))
+    # From 2^53 on a DOUBLE is whole already.
+    down = lambda c: F.when(F.abs(c * scale) < 2.0**53, F.floor(c * scale).cast("double")).otherwise(c * scale)
+    return rows.select("id", F.transform("x", down).alias("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
@@ -68,12 +69,23 @@ def distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64; float arithmetic where every sum stays below 2^53."""
+    """Exact inner products as int64; float arithmetic where every sum stays below 2^53, Python's integers where one
+    could leave 63 bits."""
     width = max(q.shape[1], x.shape[1])
     q, x = widened(q, width), widened(x, width)
-    if width * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 2**53:
+    most = width * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
+    if most < 2**53:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    narrow = width * np.abs(q).max(initial=0) * np.abs(x).max(1, initial=0) < 2**53
+    if narrow.any():  # a few wide rows don't slow the others down
+        out = np.zeros((len(q), len(x)), np.int64)
+        out[:, narrow], out[:, ~narrow] = products(q, x[narrow]), products(q, x[~narrow])
+        return out
+    if most < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    exact = (whole(q) @ whole(x).T) if q.size and x.size else np.zeros((len(q), len(x)), object)
+    return np.clip(exact, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
 
 
 def choose_pivots(sample: np.ndarray, pivots: int, rounds: int = 4) -> np.ndarray:
@@ -102,9 +114,11 @@ class Directory:
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query and ring, no inner product is higher. Rounding is given away, never gained."""
         d = distances(q, self.pivots)[:, self.cell]
-        gap = np.maximum(0, np.maximum(d - self.farthest, self.nearest - d))
-        gap = np.maximum(0, gap - 1e-6 * (1 + d))
         qq = (q * q).sum(1)[:, None]
+        gap = np.maximum(0, np.maximum(d - self.farthest, self.nearest - d))
+        # A distance is a difference of squares: its error goes by the lengths, not by itself.
+        lengths = np.sqrt(qq) + np.sqrt(self.norm)[None, :] + np.sqrt((self.pivots * self.pivots).sum(1))[self.cell][None, :]
+        gap = np.maximum(0, gap - 1e-6 * (1 + d + lengths))
         triangle = (qq + self.norm[None, :] - gap * gap) / 2
         cauchy = np.sqrt(qq * self.norm[None, :])
         bound = np.minimum(triangle, cauchy)
@@ -121,7 +135,7 @@ class Directory:
 
 def build(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE) -> tuple[DataFrame, Directory]:
     """Every vector with its `cell, ring`, written to the working folder, and the directory of the rings."""
-    rows = written(vectors, "vectors")
+    rows = written(vectors.withColumn("no", F.monotonically_increasing_id()), "vectors")
     taken = rows.orderBy(F.xxhash64("v", "id"), "id").limit(sample).select("v").toArrow().column("v")
     if len(taken) == 0:
         none = np.zeros(0)
@@ -140,10 +154,10 @@ def build(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample:
             ring = np.clip((r - low) // step, 0, rings - 1).astype(np.int32)
             arrays = [*batch.columns, cell.astype(np.int32), ring, r, (m * m).sum(1)]
             yield pa.RecordBatch.from_arrays(
-                [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=["id", "v", "cell", "ring", "r", "norm"]
+                [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=["id", "v", "no", "cell", "ring", "r", "norm"]
             )
 
-    placed = rows.mapInArrow(place, "id long, v array<int>, cell int, ring int, r double, norm double")
+    placed = rows.mapInArrow(place, "id long, v array<double>, no long, cell int, ring int, r double, norm double")
     index = written(placed, "index")
     known = index.groupBy("cell", "ring").agg(
         F.count(F.lit(1)).alias("rows"), F.min("r").alias("near"), F.max("r").alias("far"), F.max("norm").alias("norm")
@@ -154,7 +168,7 @@ def build(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample:
 
 
 def _open(directory: Directory, k: int, first: bool):
-    """Rows `query, q, cell, ring` of the rings that queries open: at first, or after their k-th score is known."""
+    """Rows `query, of, q, cell, ring` of the rings that queries open: at first, or after their k-th score is known."""
 
     def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -169,11 +183,12 @@ def _open(directory: Directory, k: int, first: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(pa.array(row)),
+                        batch.column("no").take(pa.array(row)),
                         batch.column("v").take(pa.array(row)),
                         pa.array(directory.cell[ring], pa.int32()),
                         pa.array(directory.ring[ring], pa.int32()),
                     ],
-                    names=["query", "q", "cell", "ring"],
+                    names=["query", "of", "q", "cell", "ring"],
                 )
 
     return rings
@@ -217,13 +232,12 @@ def _score(opened: DataFrame, index: DataFrame, directory: Directory, k: int) ->
         if (c, r) in wanted
     ]
     small = F.broadcast(spark.createDataFrame(cuts, "cell int, ring int, parts int, blocks int"))
-    of = F.xxhash64("q")
     left = opened.join(small, ["cell", "ring"]).select(
         "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("query", "q"), "blocks").cast("int").alias("block"), "query", of.alias("of"), "q",
+        F.pmod(F.xxhash64("of"), "blocks").cast("int").alias("block"), "query", "of", "q",
     )
     right = index.join(small, ["cell", "ring"]).select(
-        "cell", "ring", F.pmod(F.xxhash64("id", "v"), "parts").cast("int").alias("part"),
+        "cell", "ring", F.pmod(F.xxhash64("no"), "parts").cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v",
     )
     best = _best(k)
@@ -235,7 +249,7 @@ def _score(opened: DataFrame, index: DataFrame, directory: Directory, k: int) ->
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query", "of").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("of").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -244,11 +258,11 @@ def search(
 ) -> DataFrame:
     """`query_id, rank, id, score`: the k best rows of `vectors` for each row of `queries`, all if there are fewer."""
     index, directory = build(whole(vectors, id, vector), **index_bounds)
-    asked = written(whole(queries, id, vector), "queries")
-    ring = "query long, q array<int>, cell int, ring int"
+    asked = written(whole(queries, id, vector).withColumn("no", F.monotonically_increasing_id()), "queries")
+    ring = "query long, of long, q array<double>, cell int, ring int"
     seeds = written(_top(_score(asked.mapInArrow(_open(directory, k, True), ring), index, directory, k), k), "seeds")
-    least = seeds.filter(F.col("rank") == k).select(F.col("query").alias("id"), "of", F.col("score").cast("double").alias("least"))
-    rest = asked.withColumn("of", F.xxhash64("v")).join(least, ["id", "of"], "left").select("id", "v", "least")
+    least = seeds.filter(F.col("rank") == k).select(F.col("of").alias("no"), F.col("score").cast("double").alias("least"))
+    rest = asked.join(least, "no", "left").select("id", "v", "no", "least")
     more = _score(rest.mapInArrow(_open(directory, k, False), ring), index, directory, k)
     top = _top(seeds.drop("rank").unionByName(more), k)
     return top.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id), "score")

@@ -164,3 +164,55 @@ def test_tables(spark, kinds, plain, scan):
             text = dict((x[0], x[1]) for x in documents())[r.doc_id]
             assert {f"{k}:{s}:{e}" for k, s, e in plain(text)} <= set(filter(None, r.spans.split(",")))
     assert secrets.digest_columns(scan(table(spark).limit(0)), kinds).count() == 0
+
+
+@pytest.mark.parametrize("double", [True, False])
+def test_chained_constants_take_time_in_proportion(double):
+    """Values that stand for texts of 2^400 letters, and long chains of sensitive names."""
+
+    def chain(n):
+        step = "x{0} = x{1} + x{1}\n" if double else 'token_x{0} = token_x{1} + "q{0}"\n'
+        first = 'x0 = "aB3dE5gH7jK9"\n' if double else 'token_x0 = "aB3dE5gH7jK9"\n'
+        last = f"api_token = x{n}\n" if double else ""
+        return first + "".join(step.format(i, i - 1) for i in range(1, n + 1)) + last
+
+    start = time.perf_counter()
+    found = secrets.literal_spans(chain(400))
+    assert ("literal", chain(400).index("aB3"), chain(400).index("aB3") + 12) in found
+    assert len(found) == len(set(found)) == (1 if double else 401)
+    secrets.literal_spans(chain(8000))
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize(
+    "line, values",
+    [
+        ('password = os.getenv("X", "Xk29fQ81mm")', ["Xk29fQ81mm"]),
+        ('let mut pwd: String = String::from("Xk29fQ81mm");', ["Xk29fQ81mm"]),
+        ('client.setPassword("Xk29fQ81mm")', ["Xk29fQ81mm"]),
+        ("password: >-\n  Xk29fQ81mm\n  Zz7\nother: 1", ["Xk29fQ81mm", "Zz7"]),
+        ("<password>Xk29fQ81mm</password>", ["Xk29fQ81mm"]),
+        ('password, user = "Xk29fQ81mm", "u"', ["Xk29fQ81mm"]),
+        ('password = os.getenv("DB_PASSWORD_1A")', []),
+        ('user, name = "Xk29fQ81mm", "u"', []),
+        ("<password>your-password-9A</password>", []),
+    ],
+)
+def test_other_forms_of_assignments(line, values):
+    assert [line[a:b] for _, a, b in secrets.literal_spans(line)] == values
+
+
+def test_scores_across_the_seams_of_parts():
+    """A value in parts scores as its text does, wherever it is cut."""
+    for value in ["aB3dE5gH7jK9", "your-secret-9A", "x1xxxx9Zq0Lm", "four plain words here", "please enter 9Zq!", "aa<bB9>cc12", "-----BEGIN PRIVATE KEY-----ab", "a.b.c...d9Z"]:
+        for sensitive in (2, 3):
+            want = secrets.literal_score(value, sensitive)
+            for cut in range(1, len(value)):
+                parts = secrets.Value(value, [secrets.Value(value, [(0, cut)]), (cut, len(value))])
+                assert secrets.literal_score(parts, sensitive) == want, (value, cut)
+
+
+def test_numbers_with_many_zeros():
+    zeros = "0" * 5000
+    base, _ = pii.find(f"1.2.3.{zeros} and {zeros}1.2.3.4 and 1.2.3.{zeros}256", None)
+    assert [k for k, _, _ in base if k == "ip"] == ["ip", "ip"]

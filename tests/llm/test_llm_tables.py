@@ -265,11 +265,12 @@ def test_components(spark):
 
 
 def best(rows, k):
-    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, q in whole:
         if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)
+            most = (1 << 63) - 1  # scores of more bits count as this
+            scored = sorted((max(-most, min(most, -sum(a * b for a, b in zip(q, v)))), j) for j, v in whole if j != i)
             out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -281,6 +282,8 @@ def test_top_k(spark, bounds, monkeypatch):
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
     rows += [(i, [0.5] * 8) for i in range(400, 560)]  # one common vector
     rows += [(600, None), (650, [float("nan")] + [1.0] * 7), (700, [None] + [1.0] * 7), (None, [1.0] * 8), (750, []), (800, [float("inf")] * 8)]
+    rows += [(850, [2.0**20] + [1.0] * 7), (900, [2.0**45, -(2.0**44)] + [0.25] * 6), (901, [1.0, 3.0])]  # wide and short ones
+    rows += [(850, [2.0**20] + [1.0] * 7), rows[50], rows[401], (950, [0.5] * 8), (950, [0.5] * 8)]  # repeated rows
     docs = spark.createDataFrame([(i, v, 1, "x", 0) for i, v in rows], "vec_id bigint, embedding array<float>, id int, v string, cell int")
     got = topk.search(docs, docs.filter("vec_id % 50 = 0"), 5, **bounds)
     assert sorted(map(tuple, got.collect())) == best(rows, 5)
@@ -292,3 +295,6 @@ def test_top_k(spark, bounds, monkeypatch):
 def test_products_are_exact():
     q, x = np.full((2, 3), 2.0**27), np.full((1, 3), 2.0**27 - 1)
     assert topk.products(q, x).tolist() == [[3 * 2**27 * (2**27 - 1)]] * 2
+    mixed = np.array([[1.0, 2.0, 3.0], [2.0**40, 1.0, 1.0], [2.0**90, 0.0, 0.0], [-(2.0**90), 0.0, 0.0]])
+    got = topk.products(np.array([[2.0**20, 1.0, 1.0]]), mixed)
+    assert got.tolist() == [[2**20 + 5, 2**60 + 2, 2**63 - 1, 1 - 2**63]]

@@ -136,20 +136,35 @@ def test_ids_and_texts_are_those_of_the_rebuilt_tokenizer():
         def piece_to_id(self, piece):
             return judge.piece_to_id(piece)
 
+        def Normalize(self, text):
+            return judge.Normalize(text)
+
     codec._judge = Other()
     ids, agree = codec.encode(texts)
     assert [memoryview(i).cast("I").tolist() for i in ids] == want and agree == [False] * 3
-    codec._judge = judge
+    codec = pieces.Codec(pieces.PieceModel.read(PIECES))  # verdicts are kept
     assert codec.encode(texts) == (ids, [True] * 3) and codec.decode_batch(ids) == texts
     start, unknown = judge.piece_to_id("<s>"), judge.unk_id()
     assert codec.decode(array("I", [start, *want[0], unknown]).tobytes()) == judge.decode([start, *want[0], unknown])
-    codec._kept["▁Hello"] = array("I", [7]).tobytes()  # a wrong rebuild shows in the ids and in parity
+    codec._ids = lambda tokenizer, some: [array("I", [7]).tobytes() if s == "▁Hello" else i for s, i in zip(some, pieces.Codec._ids(tokenizer, some))]
+    codec._kept.clear()  # a wrong rebuild shows in the ids and in parity
     ids, agree = codec.encode(texts)
     assert memoryview(ids[0]).cast("I").tolist()[0] == 7 and agree == [False, True, True]
     codec._whole.decoder = decoders.Fuse()
     assert codec.decode(ids[2]).startswith("▁ab")
 
 
+def test_stretches_judge_and_decode_like_whole_texts():
+    """Markers, blanks and control letters in the text, empty texts, and letters the model lacks."""
+    model = pieces.PieceModel.read(public_tokenizers.path("piece_bpe_32k.model"))
+    codec, judge = pieces.Codec(model, 1), SentencePieceProcessor(model_proto=model.content)
+    assert model.splits_at_markers()
+    odd = ["", None, " ", "  ", "\u2581", "a\u2581b", "\u2581a \u2581 b", " a  b ", "\n \t", "<s> </s> <unk>", "日本🙂 é\x00", "x" * 700, "<0x41> a"]
+    for text in odd + [r[1] for r in documents()]:
+        ids, agree, decoded = (x[0] for x in codec.encode_and_decode([text]))
+        assert agree == (array("I", judge.encode(text or "")).tobytes() == ids) and decoded == codec.decode(ids)
+
+
 def test_a_unigram_model_from_its_message():
     def field(n, kind, data):
         return bytes([n << 3 | kind]) + (bytes([len(data)]) if kind == 2 else b"") + data
