@@ -288,7 +288,7 @@ def test_top_k(spark, bounds, monkeypatch):
     got = topk.search(docs, docs.filter("vec_id % 50 = 0"), 5, **bounds)
     assert sorted(map(tuple, got.collect())) == best(rows, 5)
     few = docs.filter("vec_id in (0, 1, 50)")
-    assert sorted(map(tuple, topk.search(few, few.filter("vec_id % 50 = 0"), 5).collect())) == best(rows[:2] + [rows[50]], 5)
+    assert sorted(map(tuple, topk.search(few, few.filter("vec_id % 50 = 0"), 5).collect())) == best(rows[:2] + [rows[50]] * 2, 5)
     assert topk.search(docs.limit(0), docs.limit(0), 5).count() == 0
 
 
