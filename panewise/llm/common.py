@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +39,32 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
 
 
+def in_batches(rows: DataFrame, work: Callable, schema) -> DataFrame:
+    """`rows.mapInArrow(work, schema)` whose tasks give their memory back when they end.
+
+    Spark hands a Python worker from task to task and from stage to stage: what a stage has freed would stay with
+    the worker's allocators, beside what the next stage needs.
+    """
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(freed, schema)
+
+
+def give_back() -> None:
+    """Return free memory to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this kind of C library
+
+
 def partitions_for(rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
 

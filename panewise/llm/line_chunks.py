@@ -1,20 +1,19 @@
-"""Removal of line chunks that are found again anywhere in the corpus.
-
-Lines are hashed; a rolling hash over the last lines is cut where it is lower than at both neighbours. A
-cut depends on the few lines around it alone, so an insertion before a passage shifts no cut inside it, and
-a chunk has two lines at least (the last of a text may have one). Chunks with two lines that aren't blank
-are looked up by hash; those whose hash is found again are grouped by their full bytes, and all but the
-first place, by id and then place in the text, are removed. Built-in functions only.
-
-A null text stays null; a text without a removed chunk stays as it is, byte for byte; one all of whose lines
-go becomes empty. With `whole`, lines are looked up instead of chunks, so that no cut decides what is found:
-each line that isn't blank together with the next such line and all between them, and each line of more than
-ALONE words for itself. What is found before goes, the first place of every line stays; equal means equal
-SHA-256 digests. A shared passage of two such lines or more thus goes to its last line, wherever it stands.
-
-Ids are whole numbers; rows with the same id, or without one, count as one document
-(those without come last), so the same chunk at the same place in them stays in each. Other columns are
-handed through, whatever their names. An empty table gives no rows.
+"""Removal of chunks of lines that are found again anywhere in the corpus.
+
+Lines are hashed, and a rolling hash over the hashes of two lines in a row (lines that aren't blank) is worked out
+at every line. Where it is found nowhere else, a boundary is set between its two lines; what lies between two
+boundaries is a chunk. A boundary depends on the two lines beside it alone, so no insertion before or after a
+shared passage moves its edges, and a chunk begins and ends where the passage does. A line of more than ALONE
+words is looked up for itself too. What has a hash that is there again is then compared by its bytes, and goes
+where it isn't the first place of them, by id and then place in the text. Built-in functions only.
+
+A null text stays null; a text that loses nothing stays as it is, byte for byte; one all of whose lines
+go becomes empty. Blank lines go with the two lines around them. A shared line of at most ALONE words between
+two foreign ones stays.
+
+Ids are whole numbers; rows with the same id, or without one, count as one document (those without come last), so
+the same lines at the same place in them stay in each. Texts may be of any length. Other columns are handed
+through, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,109 +22,62 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panewise.llm.common import ASCII_SPACE, Scratch, let, numbers, same
 
-#: Lines in the rolling hash. Its factor, and the hex digits of a line's hash, keep it inside 63 bits.
-WINDOW, FACTOR, HEX = 2, 31, 7
-
 #: Words of a line beyond which it is a passage of its own.
 ALONE = 50
 
+_FILLED = r"[^\x20\x09-\x0D]"
 _PLACE = "decimal(38,0)"
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, HEX), 16, 10).cast("bigint")
-
-
-def chunks(lines: Column) -> Column:
-    """Array of (first, n): the index of each chunk's first line, from 0, and its number of lines."""
-
-    def rolled(h: Column) -> Column:
-        def at(_: Column, i: Column) -> Column:
-            return sum((F.coalesce(F.get(h, i - j), F.lit(0)) * FACTOR**j for j in range(WINDOW)), F.lit(0))
-
-        return F.transform(h, at)
-
-    def cuts(r: Column) -> Column:
-        lowest = lambda i: (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1))
-        return F.filter(numbers(F.lit(1), F.size(r) - 2), lowest)
-
-    def spans(ends: Column) -> Column:
-        def one(i: Column) -> Column:
-            first = F.coalesce(F.get(ends, i - 1) + 1, F.lit(0))
-            return F.struct(first.alias("first"), (F.coalesce(F.get(ends, i) + 1, F.size(lines)) - first).alias("n"))
-
-        return F.transform(numbers(F.lit(0), F.size(ends)), one)
-
-    hashes = F.transform(lines, line_hash)
-    return let(hashes, lambda h: let(rolled(h), lambda r: let(cuts(r), spans)))
-
-
-def _contents(text: Column) -> Column:
-    """Array of (number, content) of the chunks of a text that may be removed."""
-
-    def of(lines: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            own = F.slice(lines, c["first"] + 1, c["n"])
-            full = F.size(F.filter(own, lambda line: line.rlike(r"\S")))
-            return F.when(full >= 2, F.struct(i.alias("no"), F.array_join(own, "\n").alias("content")))
-
-        return F.filter(F.transform(chunks(lines), one), lambda c: c.isNotNull())
-
-    return let(F.split(text, "\n", -1), of)
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def _without(text: Column, removed: Column) -> Column:
-    """(text, n_lines, n_removed) without the chunks whose numbers are in `removed`."""
+def windows(text: Column) -> Column:
+    """Array of (first, n, hash): the windows of the rolling hash, each two filled lines and what is between them,
+    and then the long lines."""
 
     def of(lines: Column) -> Column:
-        def kept(c: Column) -> Column:
-            stay = F.array_except(numbers(F.lit(0), F.size(c) - 1), F.coalesce(removed, F.array().cast("array<int>")))
-            parts = F.transform(stay, lambda k: F.slice(lines, F.get(c, k)["first"] + 1, F.get(c, k)["n"]))
-            return F.flatten(parts)
-
-        def shown(rest: Column) -> Column:
-            return F.struct(
-                F.array_join(rest, "\n").alias("text"),
-                F.size(lines).alias("n_lines"),
-                (F.size(lines) - F.size(rest)).alias("n_removed"),
-            )
-
-        return let(let(chunks(lines), kept), shown)
+        def found(full: Column) -> Column:
+            line_hash = lambda i: F.xxhash64(F.get(lines, F.get(full, i)))
 
-    return let(F.split(text, "\n", -1), of)
+            def rolled(hashes: Column) -> Column:
+                def pair(i: Column) -> Column:
+                    first, last = F.get(full, i), F.get(full, i + 1)
+                    both = F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
+                    return F.struct(first.alias("first"), (last - first + 1).alias("n"), both.alias("hash"))
 
+                return F.transform(numbers(F.lit(0), F.size(full) - 2), pair)
 
-def _stretches(lines: Column) -> Column:
-    """Array of (first, n) of the stretches of lines that may be removed: pairs, then long lines."""
+            def is_long(i: Column) -> Column:
+                return F.size(F.filter(F.split(F.get(lines, i), f"{ASCII_SPACE}+"), lambda w: w != "")) > ALONE
 
-    def of(full: Column) -> Column:
-        def pair(i: Column) -> Column:
-            return F.struct(F.get(full, i).alias("first"), (F.get(full, i + 1) - F.get(full, i) + 1).alias("n"))
+            def alone(i: Column) -> Column:
+                return F.struct(i.alias("first"), F.lit(1).alias("n"), F.xxhash64(F.get(lines, i)).alias("hash"))
 
-        def is_long(i: Column) -> Column:
-            return F.size(F.filter(F.split(F.get(lines, i), f"{ASCII_SPACE}+"), lambda w: w != "")) > ALONE
+            pairs = let(F.transform(numbers(F.lit(0), F.size(full) - 1), line_hash), rolled)
+            return F.concat(pairs, F.transform(F.filter(full, is_long), alone))
 
-        alone = F.transform(F.filter(full, is_long), lambda i: F.struct(i.alias("first"), F.lit(1).alias("n")))
-        return F.concat(F.transform(numbers(F.lit(0), F.size(full) - 2), pair), alone)
+        return let(F.filter(numbers(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(_FILLED)), found)
 
-    return let(F.filter(numbers(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S")), of)
+    return let(_lines(text), of)
 
 
-def _digests(text: Column) -> Column:
-    """Array of (first, n, key) of the stretches of a text."""
+def _contents(text: Column, again: Column) -> Column:
+    """Array of (first, n, content) of the windows (first, n) in `again`."""
 
     def of(lines: Column) -> Column:
         def one(c: Column) -> Column:
-            key = F.unhex(F.sha2(F.array_join(F.slice(lines, c["first"] + 1, c["n"]), "\n"), 256))
-            return F.struct(c["first"].alias("first"), c["n"].alias("n"), key.alias("key"))
+            content = F.array_join(F.slice(lines, c["first"] + 1, c["n"]), "\n")
+            return F.struct(c["first"].alias("first"), c["n"].alias("n"), content.alias("content"))
 
-        return F.transform(_stretches(lines), one)
+        return F.transform(again, one)
 
-    return let(F.split(text, "\n", -1), of)
+    return let(_lines(text), of)
 
 
-def _without_lines(text: Column, removed: Column) -> Column:
-    """(text, n_lines, n_removed) without the lines of the stretches (first, n) in `removed`."""
+def _without(text: Column, removed: Column) -> Column:
+    """(text, n_lines, n_removed) without the lines of the windows (first, n) in `removed`."""
 
     def of(lines: Column) -> Column:
         gone = F.flatten(F.transform(removed, lambda c: numbers(c["first"], c["first"] + c["n"] - 1)))
@@ -140,71 +92,62 @@ def _without_lines(text: Column, removed: Column) -> Column:
 
         return let(stay, shown)
 
-    return let(F.split(text, "\n", -1), of)
+    return let(_lines(text), of)
 
 
-def _number(id: str) -> Column:
-    """Documents in order; those without an id come last."""
-    return F.coalesce(F.col(id).cast(_PLACE), F.lit(str(2**63)).cast(_PLACE)) * F.lit(1 << 31).cast("decimal(10,0)")
+def _place(id: str, first: str) -> Column:
+    """Documents in order, then lines; documents without an id come last."""
+    number = F.coalesce(F.col(id).cast(_PLACE), F.lit(str(2**63)).cast(_PLACE))
+    return (number * F.lit(1 << 31).cast("decimal(10,0)") + F.col(first)).cast(_PLACE)
 
 
-def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id, h, removed`: the stretches (first, n) that go, for each text that loses some.
+def _not_first(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """The rows that share their keys with a row at another place; with `least`, the first of the places.
 
-    Only digests are shuffled, no text. Places are combined before the shuffle.
+    Places are combined before the shuffle, so what a third of all texts share is one row from each task.
     """
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    scratch = Scratch(docs.sparkSession, "lines")
-    found = scratch.write(rows.select("id", "h", F.explode(_digests(F.col("t"))).alias("c")).select("id", "h", "c.*"))
-    placed = found.withColumn("place", (_number("id") + F.col("first")).cast(_PLACE))
-    firsts = placed.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("last"))
-    firsts = firsts.filter(F.col("least") < F.col("last")).select("key", "least")
-    gone = placed.join(firsts, "key").filter(F.col("place") > F.col("least"))
-    removed = scratch.write(gone.groupBy("id", "h").agg(F.collect_set(F.struct("first", "n")).alias("removed")))
-    scratch.drop(found)
-    return removed
+    firsts = rows.groupBy(*keys).agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    firsts = firsts.filter(F.col("least") < F.col("most")).select(*keys, "least")
+    return rows.join(firsts.hint("merge"), keys)
 
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id, h, removed`: the numbers of the chunks that go, for each text that loses some.
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", told: str = "line_dedup") -> DataFrame:
+    """The documents, all columns, with repeated chunks out of `text`, and a last column `told` of (n_lines,
+    n_removed), null for a null text.
 
-    Hashes of all chunks are shuffled first; the content only of chunks whose hash is there again. Places
-    are combined before both shuffles, so a chunk that a third of all texts share is one row from each task.
+    Hashes and places of all windows are shuffled first. Texts go through one join with the windows that are
+    there again; from then on only texts with such windows are moved, and the bytes of those windows. Joins are
+    by merge at every size, so that work grows as the input does.
     """
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    rows = rows.filter(F.col("t").contains("\n"))
-    found = rows.select("id", "h", F.explode(_contents(F.col("t"))).alias("c"))
-    placed = found.select("id", "h", "c.no", F.xxhash64("c.content").alias("hash"), "c.content")
-    placed = placed.withColumn("place", (_number("id") + F.col("no")).cast(_PLACE))
-    again = (
-        placed.groupBy("hash")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
-        .filter(F.col("first") < F.col("last"))
-        .select("hash")
-    )
-    scratch = Scratch(docs.sparkSession, "chunks")
-    alike = scratch.write(placed.join(again, "hash", "left_semi"))
-    first = alike.groupBy("hash", "content").agg(F.min("place").alias("first"))
-    gone = alike.join(first, ["hash", "content"]).filter(F.col("place") > F.col("first"))
-    numbers_of = scratch.write(gone.groupBy("id", "h").agg(F.collect_set("no").alias("removed")))
-    scratch.drop(alike)
-    return numbers_of
-
-
-def dedup(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", told: str = "line_dedup", whole: bool = False
-) -> DataFrame:
-    """The documents, all columns, with the repeated chunks out of `text`, or with `whole` all repeated passages,
-    and a last column `told` of (n_lines, n_removed), null for a null text."""
-    find, without = (repeated_lines, _without_lines) if whole else (repeated, _without)
-    gone = find(docs, id, text).select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "removed")
+    scratch = Scratch(docs.sparkSession, "lines")
+    own = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    found = own.select("id", "h", F.explode(windows(F.col("t"))).alias("c")).select("id", "h", "c.*")
+    found = scratch.write(found)
+    again = _not_first(found, ["hash"], _place("id", "first"))
+    again = again.groupBy("id", "h").agg(F.collect_set(F.struct("first", "n")).alias("again"))
+    again = again.select(F.col("id").alias("again_id"), F.col("h").alias("again_h"), "again")
+
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the table meets one of ours
-    d = docs.toDF(*names.values()).withColumn("h", F.xxhash64(names[text]))
+    d = docs.toDF(*names.values()).withColumn("id", F.col(names[id]).cast("bigint")).withColumn("h", F.xxhash64(names[text]))
+    met = d.join(again.hint("merge"), same(F.col("id"), F.col("again_id")) & (F.col("h") == F.col("again_h")), "left")
+    met = scratch.write(met.drop("again_id", "again_h"))
+    scratch.drop(found)
+
     old = F.col(names[text])
-    joined = d.join(gone, same(F.col(names[id]).cast("bigint"), F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
+    some = met.filter(F.col("again").isNotNull())
+    alike = some.select("id", "h", F.explode(_contents(old, F.col("again"))).alias("c")).select("id", "h", "c.*")
+    alike = alike.withColumn("hash", F.xxhash64("content"))
+    gone = _not_first(alike, ["hash", "content"], _place("id", "first")).filter(_place("id", "first") > F.col("least"))
+    gone = gone.groupBy("id", "h").agg(F.collect_set(F.struct("first", "n")).alias("removed"))
+    gone = scratch.write(gone.select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "removed"))
+
+    changed = some.join(gone.hint("merge"), same(F.col("id"), F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
     # Kept as one column, so that it is worked out once.
-    joined = joined.withColumn("new", F.when(F.col("removed").isNotNull(), without(old, F.col("removed"))))
-    n_lines = F.coalesce(F.col("new.n_lines"), F.size(F.split(old, "\n", -1))).cast("bigint").alias("n_lines")
+    changed = changed.withColumn("new", F.when(F.col("removed").isNotNull(), _without(old, F.col("removed"))))
+    n_lines = F.size(_lines(old)).cast("bigint").alias("n_lines")
     n_removed = F.coalesce(F.col("new.n_removed"), F.lit(0)).cast("bigint").alias("n_removed")
     columns = [(F.coalesce("new.text", old) if c == text else F.col(n)).alias(c) for c, n in names.items()]
-    return joined.select(*columns, F.when(old.isNotNull(), F.struct(n_lines, n_removed)).alias(told))
+    changed = changed.select(*columns, F.struct(n_lines, n_removed).alias(told))
+    nothing = F.when(old.isNotNull(), F.struct(n_lines, F.lit(0).cast("bigint").alias("n_removed")))
+    left = met.filter(F.col("again").isNull()).select(*[F.col(n).alias(c) for c, n in names.items()], nothing.alias(told))
+    return left.union(changed)

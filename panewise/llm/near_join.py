@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panewise.llm.common import Scratch, by_size
+from panewise.llm.common import Scratch, by_size, in_batches
 from panewise.llm.components import components
 from panewise.llm.shingles import shingle_sets
 
@@ -100,7 +100,7 @@ def frequency_levels(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """
     schema = "block int, lane int, counts binary"
     lanes = int(np.ceil(np.sqrt(texts.rdd.getNumPartitions())))
-    counted = texts.select("text").mapInArrow(_count(size, lanes), schema)
+    counted = in_batches(texts.select("text"), _count(size, lanes), schema)
     summed = counted.groupBy("block", "lane").applyInArrow(_add, schema)
     levels, total = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8), 0
     for row in summed.groupBy("block").applyInArrow(_add, schema).collect():
@@ -195,7 +195,7 @@ def _fetched(texts: DataFrame, first: DataFrame, wanted: DataFrame, size: int, s
     """
     first = scratch.write(first.join(wanted, "c", "left_semi"))
     marked = texts.sparkSession.sparkContext.broadcast(_marked(first))
-    found = texts.select("k", "text").mapInArrow(_tokens(size, marked), "k long, class binary, n long, tokens binary")
+    found = in_batches(texts.select("k", "text"), _tokens(size, marked), "k long, class binary, n long, tokens binary")
     # Rows that repeat are dropped where the join has put them, without another shuffle.
     found = found.join(first, ["k", "class"], "left_semi").dropDuplicates(["k", "class"])
     tokens = scratch.write(found.select(F.xxhash64("class").alias("c"), "n", "tokens"))
@@ -302,8 +302,8 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, id: str, text: str)
     texts = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(texts, words))
     texts = texts.withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "h"))
-    sets = texts.drop("k").mapInArrow(
-        _describe(words, threshold, levels), "id long, h long, n long, class binary, prefix array<long>"
+    sets = in_batches(
+        texts.drop("k"), _describe(words, threshold, levels), "id long, h long, n long, class binary, prefix array<long>"
     )
     sets = scratch.write(sets.withColumn("c", F.xxhash64("class")))
 

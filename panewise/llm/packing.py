@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from panewise.llm.common import by_size, partitions_for, written
+from panewise.llm.common import by_size, in_batches, partitions_for, written
 from panewise.llm.segments import Encoder, Vocabulary
 
 OPEN_BINS = 512
@@ -122,7 +122,7 @@ def pack(
     cut = StructType(
         [doc, StructField("piece", IntegerType())] + [StructField(c, LongType()) for c in _PIECES[2:]]
     )
-    pieces = written(texts.mapInArrow(_tokenise(vocabulary, most, end), cut), "pieces")
+    pieces = written(in_batches(texts, _tokenise(vocabulary, most, end), cut), "pieces")
     order = F.xxhash64(*_PIECES)
     packers = partitions_for(pieces.count(), pieces_per_packer)
     placed = StructType(cut.fields + [StructField("sequence_id", LongType()), StructField("offset", LongType())])

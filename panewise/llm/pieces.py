@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panewise.llm.common import by_size
+from panewise.llm.common import by_size, in_batches
 
 MARKER = "▁"
 #: Kinds of pieces and models in the message.
@@ -288,4 +288,4 @@ def encode(
     kind = rows.schema["id"].dataType.simpleString()
     out = f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean"
     out += ", ids array<int>, decoded string" if keep else ""
-    return rows.mapInArrow(_run(PieceModel.read(model), threads, keep), out).withColumnRenamed("id", id)
+    return in_batches(rows, _run(PieceModel.read(model), threads, keep), out).withColumnRenamed("id", id)

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panewise.llm.common import by_size
+from panewise.llm.common import by_size, in_batches
 
 Span = tuple[str, int, int]
 
@@ -420,7 +420,7 @@ def scan_spans(docs: DataFrame, find_spans: Callable, id: str = "doc_id", text:
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     span = "array<struct<kind:string,start:int,end:int>>"
-    return rows.mapInArrow(_scan(find_spans), f"id {kind}, base {span}, spans {span}").withColumnRenamed("id", id)
+    return in_batches(rows, _scan(find_spans), f"id {kind}, base {span}, spans {span}").withColumnRenamed("id", id)
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -456,7 +456,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", size: st
     resized = size if size in columns and size != text else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, text):
             old = batch.column(columns.index(text)).to_pylist()
             new = [t if not t else redacted(t, find(t)[1], mark) for t in old]
             arrays = list(batch.columns)
@@ -467,4 +467,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", size: st
                 arrays[at] = pa.array(sizes, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_batches(docs, clean, docs.schema)

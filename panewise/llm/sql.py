@@ -38,23 +38,23 @@ from f
 """
 
 LINE_CHUNKS = r"""
-with d as (select row_number() over () rid, doc_id, text, string_split(text, chr(10)) l from documents),
-lines as (select rid, doc_id, unnest(generate_series(1, len(l))) i, unnest(l) line from d where text is not null),
-h as (select *, ('0x' || substr(md5(line), 1, 7))::bigint h from lines),
-r as (select *, h + 31 * coalesce(lag(h) over (partition by rid order by i), 0) r from h),
-c as (select *, r < lag(r) over w and r < lead(r) over w cut from r window w as (partition by rid order by i)),
-n as (select *, coalesce(sum(cut::int) over (
-        partition by rid order by i rows between unbounded preceding and 1 preceding), 0) no from c),
-chunks as (
-    select rid, doc_id, no, string_agg(line, chr(10) order by i) content,
-        count(*) filter (where regexp_matches(line, '\S')) filled from n group by rid, doc_id, no),
-gone as (
-    select rid, no from (
-        select rid, no, row(doc_id, no) > min(row(doc_id, no)) over (partition by content) again
-        from chunks where filled >= 2) where again),
+with d as (
+    select row_number() over () rid, coalesce(doc_id, 9223372036854775808::hugeint) id, doc_id, text,
+        string_split(text, chr(10)) l from documents),
+lines as (select rid, id, unnest(generate_series(1, len(l))) i, unnest(l) line from d where text is not null),
+filled as (
+    select *, lead(i) over (partition by rid order by i) nx from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+win as (
+    select rid, id, i, nx from filled where nx is not null union all
+    select rid, id, i, i from filled where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
+text_of as (select win.*, array_to_string(list_slice(l, i, nx), chr(10)) content from win join d using (rid)),
+later as (
+    select rid, i, nx from (select *, row(id, i) > min(row(id, i)) over (partition by content) again from text_of)
+    where again),
+gone as (select distinct rid, unnest(generate_series(i, nx)) i from later),
 rest as (
     select rid, string_agg(line, chr(10) order by i) text, count(*) n
-    from n where (rid, no) not in (select rid, no from gone) group by rid)
+    from lines where (rid, i) not in (select rid, i from gone) group by rid)
 select d.doc_id, case when d.text is not null then coalesce(rest.text, '') end as text,
     len(l)::bigint n_lines, case when d.text is not null then len(l) - coalesce(rest.n, 0) end n_removed
 from d left join rest using (rid)

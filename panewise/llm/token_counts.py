@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from panewise.llm.common import ASCII_SPACE, by_size, same, written
+from panewise.llm.common import ASCII_SPACE, by_size, in_batches, same, written
 from panewise.llm.segments import Encoder, Vocabulary
 
 CACHE = StructType([StructField("content", BinaryType()), StructField("n_tokens", LongType())])
@@ -78,7 +78,7 @@ def count_tokens(
         (F.col("t.content") == F.col("m.content")) & same(F.col("t.id"), F.col("m.id")),
         "left_semi",
     )
-    counted = chosen.select("content", "text").mapInArrow(_counter(vocabulary), CACHE)
+    counted = in_batches(chosen.select("content", "text"), _counter(vocabulary), CACHE)
     counted.write.mode("append").parquet(_folder(cache, vocabulary))
     # Written, so that the last join has two plain sides and a digest with many rows can be split.
     counts = written(first.select("content").join(stored(spark, cache, vocabulary), "content"), "counts")

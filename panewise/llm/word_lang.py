@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from panewise.llm.common import by_size
+from panewise.llm.common import by_size, in_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample: rows of a language, words of a row.
@@ -394,13 +394,24 @@ def identify(docs: DataFrame, model: Model | None, runs: bool = False, id: str =
 
 
 def known(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents, all columns, whose language isn't `und`; a null `lang` is filled in with what was found."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id"), F.col(text).alias("text"))
-    found = _identified(rows, model, False).filter(F.col("lang_pred") != UNKNOWN)
-    columns = [F.col("id").getField(c).alias(c) for c in docs.columns]
-    at = docs.columns.index(lang)
-    columns[at] = F.coalesce(F.col("id").getField(lang), F.col("lang_pred")).alias(lang)
-    return found.select(*columns)
+    """The documents, all columns, whose language isn't `und`; a null `lang` is filled in with what was found.
+
+    Each column goes to a Python worker once and comes back once."""
+    if model is None:
+        return docs.filter(F.lit(False))
+    label, at = _label(model, False), docs.columns.index(lang)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_size(batches, text, most=1 << 20):
+            own = part.column(text)
+            for found in label(iter([pa.RecordBatch.from_arrays([own, own], names=["id", "text"])])):
+                said = found.column("lang_pred").cast(part.schema.field(at).type)
+                arrays = list(part.columns)
+                arrays[at] = pa.compute.coalesce(arrays[at], said)
+                whole = pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+                yield whole.filter(pa.compute.not_equal(found.column("lang_pred"), UNKNOWN))
+
+    return in_batches(docs, keep, docs.schema)
 
 
 def _identified(rows: DataFrame, model: Model | None, runs: bool) -> DataFrame:
@@ -410,4 +421,4 @@ def _identified(rows: DataFrame, model: Model | None, runs: bool) -> DataFrame:
         nothing += [F.lit(0).cast("bigint").alias(c) for c in ("n_words", "n_runs")]
         nothing += [F.array().cast("array<struct<first:int,n:int,lang:string>>").alias("runs")] if runs else []
         return rows.select("id", *nothing)
-    return rows.mapInArrow(_label(model, runs), out)
+    return in_batches(rows, _label(model, runs), out)

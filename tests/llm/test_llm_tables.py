@@ -140,7 +140,7 @@ def plain_whole(rows):
     at, lines = {}, {}
     for k, (i, text) in enumerate(rows):
         lines[k] = (text or "").split("\n")
-        full = [j for j, line in enumerate(lines[k]) if re.search(r"[^ \t\n\x0b\f\r]", line)]
+        full = [j for j, line in enumerate(lines[k]) if re.search(r"[^\x20\x09-\x0D]", line)]
         stretches = list(zip(full, full[1:])) + [(j, j) for j in full if len(words_of(lines[k][j])) > 50]
         for a, b in stretches if text else []:
             at.setdefault("\n".join(lines[k][a : b + 1]), []).append(((2**63 if i is None else i, a), k, b))
@@ -163,7 +163,7 @@ def test_whole_passages_go_to_their_last_line(spark):
             rows.append((len(rows) + 1000, f"{new()}\n{new()}\n{passage}\n{new()}\n{new()}"))
     rows += [(2000, long), (2001, long), (2002, f"{new()}\n{long}"), (2003, "a b\n\n \nc d\nx"), (2004, "y\na b\n\n \nc d\n"), (2005, "a b\n\nc d\nz")]
     docs = table(spark, [(i, t, None, None, None) for i, t in rows])
-    got = line_chunks.dedup(docs, told="told", whole=True)
+    got = line_chunks.dedup(docs, told="told")
     assert got.columns == [*docs.columns, "told"]
     found = got.select("doc_id", "text", "told").collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(plain_whole(rows), key=repr)
@@ -171,7 +171,7 @@ def test_whole_passages_go_to_their_last_line(spark):
     assert all(texts[i].text.count("\n") == 3 for i, t in rows if 1000 <= (i or 0) < 2000 and texts[i].text != t)
     assert sum(texts[i].text != t for i, t in rows if 1000 <= (i or 0) < 2000) == 14
     assert texts[2001].text == "" and texts[2002].told.n_removed == 1 and texts[2004].text == "y\n" and texts[2005].told.n_removed == 0
-    assert line_chunks.dedup(docs.limit(0), whole=True).count() == 0
+    assert line_chunks.dedup(docs.limit(0)).count() == 0
 
 
 # Host rules -----------------------------------------------------------------------------------------
