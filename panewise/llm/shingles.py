@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(29)
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_LOWER = (_LOWER + np.uint64(77)) * _MIX
-_LOWER ^= _LOWER >> _SHIFT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += np.uint8(32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# The bytes of a little-endian number that a word of 0 to 8 bytes fills.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 # Bytes that are hashed at once; a longer text is cut between words.
 _AT_ONCE = 1 << 22
+# Longer words are hashed one by one.
+_LONG = 512
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -26,8 +29,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place of the first byte) of each word, A-Z as a-z. Equal words have equal hashes: sums of
-    bytes times powers, moved to the same power."""
+    """(hash, place of the first byte) of each word, A-Z as a-z. Equal words have equal hashes.
+
+    Eight bytes at a time are put into the hash and mixed, each step of which can be undone: words of up to
+    eight bytes never meet others of their length, and longer ones only as random numbers would.
+    """
     if len(data) > _AT_ONCE and not data.isspace():
         cut = max(data.rfind(s, 0, _AT_ONCE) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
         if cut > 0:
@@ -38,12 +44,20 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = ~_SPACE[codes]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    power, back = np.full(len(codes) + 1, _PRIME), np.full(len(codes) + 1, _INVERSE)
-    power[0] = back[0] = 1
-    power, back = np.cumprod(power), np.cumprod(back)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_LOWER[codes] * power[:-1], out=total[1:])
-    return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start
+    low = np.zeros(len(codes) + 8, np.uint8)
+    low[: len(codes)] = _LOWER[codes]
+    eight = np.ndarray((len(codes) + 1,), "<u8", buffer=low, strides=(1,))  # the eight bytes from each place on
+    h = mixed((end - start).astype(np.uint64) * _PRIME + _MIX)
+    for i in np.flatnonzero(end - start > _LONG).tolist():
+        digest = hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        h[i] = np.frombuffer(digest, np.uint64)[0]
+    rest = np.flatnonzero(end - start <= _LONG)
+    at, left = start[rest], (end - start)[rest]
+    while len(rest):
+        h[rest] = mixed((h[rest] ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _PRIME)
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    return h, start
 
 
 def _shifted(words: tuple[np.ndarray, np.ndarray], by: int) -> tuple[np.ndarray, np.ndarray]:

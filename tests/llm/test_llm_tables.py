@@ -15,7 +15,7 @@ from llm_fixtures import SCHEMA, documents, near_components, prose, table, words
 from panewise.llm import host_rules, line_chunks, near_join, sql, topk, word_lang
 from panewise.llm.components import components
 from panewise.llm.registry import QUERIES
-from panewise.llm.shingles import word_hashes
+from panewise.llm.shingles import shingle_sets, word_hashes
 
 
 def in_duckdb(spark, tmp_path, statement, **tables):
@@ -214,6 +214,29 @@ def test_word_hashes_tell_words_apart():
     assert (word_hashes(long)[0] == np.tile(got, 40)).all()
 
 
+def test_words_of_a_known_form_have_their_own_hashes():
+    """Words in Thue-Morse order, for which sums of powers modulo 2^64 are equal, and all short ones."""
+
+    def order(n, a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+    for n in (512, 1024, 2048, 8192):
+        hashes, _ = word_hashes(f"{order(n, 'a', 'b')} {order(n, 'b', 'a')}".encode())
+        assert hashes[0] != hashes[1]
+        sets = [shingles_of(f"x {order(n, *p)} y z".encode()) for p in ("ab", "ba")]
+        assert set(sets[0]).isdisjoint(sets[1])
+    every = ["".join(p) for n in range(1, 5) for p in itertools.product("abcdefg", repeat=n)]
+    every += [w + "12345678" * k + "x" * (k % 9) for k in range(70) for w in every[:20]]
+    hashes, place = word_hashes(" ".join(every).encode())
+    assert len(hashes) == len(every) and len(set(hashes.tolist())) == len(set(every))
+    again, _ = word_hashes(" \n".join(w.upper() for w in every).encode())
+    assert (again == hashes).all()
+
+
+def shingles_of(text):
+    return shingle_sets([text], 3)[0].tolist()
+
+
 @pytest.mark.parametrize("size,num,den", [(3, 90, 100), (5, 80, 100), (2, 1, 2)])
 def test_near_duplicates_are_those_of_all_pairs(spark, size, num, den, monkeypatch):
     if size == 2:  # many parts and blocks
