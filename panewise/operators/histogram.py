@@ -147,6 +147,53 @@ def top_words(panes: DataFrame, word: str, k: int) -> DataFrame:
     return panes.withColumn("r", F.row_number().over(order).cast("bigint")).where(F.col("r") <= k)
 
 
+def top_words_of_panes(
+    numbered: DataFrame, word: str, size: int, slide: int, total: Column, k: int, seq: str = "seq"
+) -> DataFrame:
+    """`top_words` of `pane_histogram` for long panes, without counting all words in all panes.
+
+    Panes in a row share most of their rows. For a group of them, a word's count in the rows that all of its panes
+    hold is no more than its count in any of them, and its count in the rows that any pane holds is no less. The
+    k-th largest of the former is a count that k words reach in every pane, so a word whose latter is below it
+    is in no pane's top k, and only the others are sent to the panes of the group. Ties are kept.
+    """
+    positive(size=size, slide=slide, k=k)
+    run = gcd(size, slide)
+    slices = numbered.groupBy(div(F.col(seq) - 1, run).alias("__slice"), F.col(word).alias("__word")).agg(
+        F.count(F.lit(1)).alias("__cnt")
+    )
+    asked = candidates_of_groups(slices, run, size, slide, total, k)
+    panes = asked.withColumn("pane", F.explode(F.sequence("__first", "__last")))
+    counts = panes.groupBy("pane", F.col("__word").alias(word)).agg(F.sum("__cnt").alias("cnt"))
+    return top_words(counts, word, k)
+
+
+def candidates_of_groups(slices: DataFrame, run: int, size: int, slide: int, total: Column, k: int) -> DataFrame:
+    """The slices (__slice, __word, __cnt) by `__group` of panes, with the `__first` and `__last` pane there that
+    holds them, of words that may be among the k of a pane of the group."""
+    panes = max(1, size // (8 * slide))
+    start, last_pane = F.col("__slice") * run, div(total, slide)
+    first = div(start + (run + slide - 1), slide)
+    last = F.least(div(start + size, slide), last_pane.cast("bigint"))
+    placed = slices.select("*", first.alias("__from"), last.alias("__to")).where("__from <= __to")
+    groups = F.sequence(div(F.col("__from") - 1, panes), div(F.col("__to") - 1, panes))
+    placed = placed.withColumn("__group", F.explode(groups))
+    opens, closes = F.col("__group") * panes + 1, F.least((F.col("__group") + 1) * panes, last_pane.cast("bigint"))
+    placed = placed.withColumn("__first", F.greatest("__from", opens)).withColumn("__last", F.least("__to", closes))
+    in_all = (F.col("__first") == opens) & (F.col("__last") == closes)
+    counts = placed.groupBy("__group", "__word").agg(
+        F.sum("__cnt").alias("__most"), F.sum(F.when(in_all, F.col("__cnt")).otherwise(0)).alias("__least")
+    )
+    order = Window.partitionBy("__group").orderBy(F.desc("__least"))
+    kth = counts.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+    kth = kth.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"), F.min("__least").alias("__kth"))
+    # With fewer words than k all of them stay.
+    kth = kth.select("__group", F.when(F.col("__n") == k, F.col("__kth")).otherwise(0).alias("__kth"))
+    able = counts.join(kth, "__group").where(F.col("__most") >= F.col("__kth")).select("__group", "__word")
+    met = able.select(F.col("__group").alias("__g"), F.col("__word").alias("__w"))
+    return placed.join(met, (F.col("__group") == F.col("__g")) & F.col("__word").eqNullSafe(F.col("__w")), "left_semi")
+
+
 def bottom_counts(panes: DataFrame, word: str, k: int) -> DataFrame:
     """The k smallest distinct counts of every pane, each with one word (the first by name)."""
     positive(k=k)

@@ -18,7 +18,8 @@ from panewise.functions.text import (
 )
 from panewise.functions.time import micros_since_1970
 from panewise.operators import count_window as windows
-from panewise.operators import counter, histogram, throughput, zipf
+from panewise.functions.permute import ROUNDS, grid, md5_noise, permuted
+from panewise.operators import counter, histogram, throughput, zipf, zipf_sampling
 from panewise.plans import jobs
 from panewise.session import forget, working_dir
 from panewise.sources import generate, io
@@ -374,6 +375,20 @@ def pane_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.top_words(panes, "word", 3)
 
 
+@register(
+    "pane_topk_long",
+    pane_sql(WORD_SEQUENCE, "word", 20_000, 500)
+    + "select * from (select *, row_number() over (partition by pane order by cnt desc, word) "
+    "as r from h) where r <= 3",
+)
+def pane_topk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 panes per word: words that can't be among the three are never sent to them."""
+    lines = documents(spark, sf_dir, "doc_id", "text")
+    numbered = histogram.number_words(lines, "text", "doc_id")
+    total = histogram.total_words(lines, "text", "doc_id")
+    return histogram.top_words_of_panes(numbered, "word", 20_000, 500, total, 3)
+
+
 # Running counter ------------------------------------------------------------------------------
 
 COUNTED = f"select user_id, n, event_type from ({NUMBERED})"
@@ -507,6 +522,66 @@ def zipf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(spark, sf_dir).select("o_orderkey", "rank", "word")
 
 
+# Words in a random order, and draws without a table; numbers of words are those of `part`.
+
+
+def noise_sql(place: str, key: str) -> str:
+    return f"('0x' || substr(md5(({place})::varchar || ':' || ({key})), 1, 13))::bigint"
+
+
+def permuted_sql(numbers: str, n: str) -> str:
+    """`x, y` for the rows `x` of `numbers`: the rounds of `permuted` with seed 0, on a grid of its sides."""
+    rounds = "m0 as (select x, y // low as a, y % low as b, high, low, n from walk where y >= n or not moved), "
+    for i in range(ROUNDS):
+        a, b = ("a", f"(b + {noise_sql('a', str(i))} % low) % low") if i % 2 else (f"(a + {noise_sql('b', str(i))} % high) % high", "b")
+        rounds += f"m{i + 1} as (select x, {a} as a, {b} as b, high, low, n from m{i}), "
+    moved = rounds.removesuffix(", ")
+    return (
+        f"side as (select n, ceil(sqrt(n))::bigint as high from (select {n} as n)), "
+        "box as (select n, high, (n + high - 1) // high as low from side), "
+        f"walk as (select x, x as y, false as moved, high, low, n from ({numbers}), box union all "
+        f"(with {moved} select x, a * low + b, true, high, low, n from m{ROUNDS})), "
+        "settled as (select x, y from walk where moved and y < n)"
+    )
+
+
+@register(
+    "zipf_words_shuffled",
+    "with recursive k as (select count(*)::bigint as k from part), "
+    f"{permuted_sql('select unnest(range(k)) as x from k', '(select k from k)')} "
+    "select x + 1 as rank, (y + 1)::varchar as word from settled",
+)
+def zipf_words_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _parts(spark, sf_dir)
+    ranks = spark.range(1, words + 1).withColumnRenamed("id", "rank")
+    return ranks.withColumn("word", (permuted(F.col("rank") - 1, words, 0, md5_noise) + 1).cast("string"))
+
+
+SAMPLED_WORDS, SAMPLED_SKEW = 10**9, 1.2
+
+
+def sampled_sql(words: int, skew: float) -> str:
+    least, most, sure = (f"{b!r}::double" for b in zipf_sampling.bounds(words, skew))
+    one, back = f"{1.0 - skew!r}::double", f"{1.0 / (1.0 - skew)!r}::double"
+    draws = uniform_sql("o_orderkey", 0).replace("':0'", "':' || t")
+    return (
+        f"with u as (select o_orderkey, t, {most} + {draws} * ({least} - {most}) as y from orders, "
+        f"range({zipf_sampling.TRIES}) r(t)), "
+        f"x as (select *, pow(1.0::double + y * {one}, {back}) as x from u), "
+        f"k as (select *, least(greatest(floor(x + 0.5)::bigint, 1), {words}) as k from x), "
+        f"good as (select * from k where k - x <= {sure} or "
+        f"y >= (pow(k::double + 0.5, {one}) - 1.0) / {one} - pow(k::double, {-skew!r}::double)) "
+        "select o_orderkey, arg_min(k, t)::bigint as rank from good group by o_orderkey"
+    )
+
+
+@register("zipf_ranks_sampled", sampled_sql(SAMPLED_WORDS, SAMPLED_SKEW))
+def zipf_ranks_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A billion words, for each order one of them."""
+    rank = zipf_sampling.sampled_rank(F.col("o_orderkey"), SAMPLED_WORDS, SAMPLED_SKEW, 0, md5_draw)
+    return orders(spark, sf_dir).select("o_orderkey", rank.alias("rank"))
+
+
 @register(
     "zipf_count_window",
     f"{DRAWN} select * from ({pane_counts_sql('select word from d', 'word', 10, 3)})",

@@ -1,8 +1,12 @@
+import bisect
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from panewise.functions.draws import below, hash_draw, letters, md5_draw
-from panewise.operators import zipf
+from panewise.functions import permute
+from panewise.operators import zipf, zipf_sampling
 from panewise.operators.zipf import draw_words, weight_scale, zipf_cdf, zipf_ranks
 from panewise.sources import generate
 from panewise.sources.generate import key_payload_lines, key_payloads, word_stream, zipf_words
@@ -147,3 +151,65 @@ def test_word_stream_shares_the_rate(spark):
     assert stream.isStreaming and stream.columns == ["timestamp", "value"]
     with pytest.raises(ValueError):
         word_stream(spark, 2, 3, 5, 1.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 97, 100, 1001, 4096])
+@pytest.mark.parametrize("noise", [permute.hash_noise, permute.md5_noise])
+def test_a_random_order_uses_every_place_once(spark, n, noise):
+    got = [r[0] for r in spark.range(n).select(permute.permuted(F.col("id"), n, 3, noise)).collect()]
+    assert sorted(got) == list(range(n))
+    if n > 90:
+        other = [r[0] for r in spark.range(n).select(permute.permuted(F.col("id"), n, 4, noise)).collect()]
+        assert sum(a == b for a, b in zip(got, other)) < n // 8
+        # No step between neighbours is common, as it is in an affine order.
+        steps = Counter((b - a) % n for a, b in zip(got, got[1:]))
+        assert max(steps.values()) < 8 + n // 100
+
+
+def test_a_random_order_of_very_many(spark):
+    n = (1 << 50) + 7
+    got = spark.range(n - 500, n).select(permute.permuted(F.col("id"), n).alias("p"))
+    places = [r.p for r in got.collect()]
+    assert len(set(places)) == 500 and 0 <= min(places) < n // 20 and max(places) < n and max(places) > n - n // 20
+
+
+@pytest.mark.parametrize("skew", [0.0, 0.5, 1.0, 1.2, 3.0])
+@pytest.mark.parametrize("words", [1, 7, 1000, 10**9])
+def test_sampled_ranks_have_zipf_chances(spark, skew, words):
+    """Chi-square over ranks 1 to 20 and powers of four beyond, against exact chances."""
+    n = 40_000
+    edges = sorted({*range(1, min(words, 20) + 1), *(min(words, 4**i) for i in range(3, 16)), words})
+    rows = spark.range(n).select(zipf_sampling.sampled_rank(F.col("id"), words, skew, 5).alias("rank"))
+    counts = Counter()
+    for r in rows.groupBy("rank").count().collect():
+        assert 1 <= r.rank <= words
+        counts[bisect.bisect_left(edges, r.rank)] += r["count"]
+
+    def mass(first, last):
+        """The sum of k^-skew, its middle by the integral with midpoints, which is exact to 1e-9 there."""
+        near = sum(k**-skew for k in range(first, min(last, 5000) + 1))
+        if last <= 5000:
+            return near
+        start = max(first, 5001)
+        return near + zipf_sampling.area(last + 0.5, skew) - zipf_sampling.area(start - 0.5, skew)
+
+    masses = [mass(a + 1, b) for a, b in zip([0, *edges], edges)]
+    square, freedom = 0.0, -1
+    for i, m in enumerate(masses):
+        expected = n * m / sum(masses)
+        if expected >= 5:
+            square, freedom = square + (counts[i] - expected) ** 2 / expected, freedom + 1
+    assert square <= freedom + 4.5 * (2 * max(freedom, 1)) ** 0.5 + 8
+    again = spark.range(n).repartition(7).select(zipf_sampling.sampled_rank(F.col("id"), words, skew, 5).alias("rank"))
+    assert rows.exceptAll(again).count() == 0
+
+
+def test_sampled_words_of_a_stream(spark, tmp_path):
+    spark.range(500).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    query = zipf_sampling.sample_words(source, "id", 10**9, 1.1).writeStream.format("memory").queryName("sampled")
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("sampled")
+    assert got.count() == 500 and got.exceptAll(zipf_sampling.sample_words(spark.range(500), "id", 10**9, 1.1)).count() == 0
+    with pytest.raises(ValueError):
+        zipf_sampling.sampled_rank(F.lit(1), 1 << 52, 1.0)

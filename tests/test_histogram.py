@@ -1,17 +1,20 @@
 import random
 from collections import Counter
+from math import gcd
 
 import pytest
 from pyspark.sql import functions as F
 
 from panewise.operators.histogram import (
     bottom_counts,
+    candidates_of_groups,
     histogram,
     histogram_by_changes,
     number_words,
     pane_histogram,
     stream_histogram,
     top_words,
+    top_words_of_panes,
     total_words,
 )
 
@@ -80,3 +83,18 @@ def test_panes_from_changes_are_those_of_copies(spark, size, slide, bits):
         assert r.w not in found.setdefault(r.pane, {})
         found[r.pane][r.w] = r.cnt
     assert found == want
+
+
+@pytest.mark.parametrize("size,slide,k", [(100, 3, 2), (160, 1, 3), (64, 4, 1), (90, 10, 9), (30, 40, 2)])
+def test_bounds_leave_the_top_words_alone(spark, size, slide, k):
+    r = random.Random(size)
+    words = [r.choice(["a"] * 9 + ["b"] * 6 + ["c"] * 6 + [None] + list("defghijklmn")) for _ in range(700)]
+    rows = spark.createDataFrame([(i + 1, w) for i, w in enumerate(words)], "seq bigint, w string").repartition(3)
+    total = F.lit(len(words))
+    want = top_words(pane_histogram(rows, "w", size, slide, total), "w", k)
+    got = top_words_of_panes(rows, "w", size, slide, total, k)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    if k < 3 and size > 8 * slide:  # most words are never sent to a pane
+        slices = rows.groupBy(((F.col("seq") - 1) / gcd(size, slide)).cast("bigint").alias("__slice"), F.col("w").alias("__word")).agg(F.count("*").alias("__cnt"))
+        sent = candidates_of_groups(slices, gcd(size, slide), size, slide, total, k)
+        assert sent.select("__word").distinct().count() <= 10  # of 16
