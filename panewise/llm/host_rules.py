@@ -1,12 +1,14 @@
 """Quality rules by document, and verdicts by host.
 
-Each text is measured and held against plain rules. Failures of each rule are added up by host, here the
-`source`; a beta prior fitted to the hosts' rates by moments (rates of hosts with more documents weigh more)
-draws rates of small hosts to the common one; a host whose drawn rate of some rule is above the limit is
-bad, and so are all its documents. Built-in functions only.
+Each text is measured and held against plain rules. Failures of each rule, and of any of them, are added up by
+host, here the `source`; a beta prior fitted to the hosts' rates by moments (rates of hosts with more documents
+weigh more) draws rates of small hosts to the common one. A host is bad, and so are all its documents, if its
+drawn rate of documents that fail any rule stands out from the prior: SPREADS standard deviations above its
+mean, and TIMES the mean at least; a rate above MOST_FAILED is always too much. Built-in functions only.
 
 A word is `[^\\x20\\x09-\\x0D]+`. A null text has no words, and so fails. Documents without a host form one
-host. Repeated rows are measured and counted each. An empty table gives no rows. Only the id, text and host
+host. Repeated rows are measured and counted each, and tie. Texts of any length are measured whole, each in its
+row. An empty table gives no rows. Only the id, text and host
 columns are read, so other columns' names don't matter.
 """
 
@@ -20,14 +22,16 @@ from panewise.llm.common import ASCII_SPACE, let, numbers, same, written
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Shares of a text beyond which the method's own rules fail it, in hundredths.
 MOST_SYMBOLS, MOST_DUP_LINES = 10, 30
-#: The drawn rate of a rule above which a host is bad.
-MOST_FAILED = 0.5
+#: The drawn rate of failing documents that is bad for any host, and what stands out from the others' rates.
+MOST_FAILED, SPREADS, TIMES = 0.5, 2.0, 2.0
 #: Bounds of the prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 10_000.0
 
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repetitive", "symbols", "dup_lines")
+#: Documents that fail one rule at least.
+ANY = "any_rule"
 
 
 def words(text: Column) -> Column:
@@ -89,27 +93,27 @@ def measured(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str
             "symbols": 100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars"),
             "dup_lines": 100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines"),
         }
-    )
+    ).withColumn(ANY, F.col("short") | F.col("repetitive") | F.col("symbols") | F.col("dup_lines"))
 
 
 def by_host(rows: DataFrame) -> DataFrame:
-    """`host, n` and how many of its documents fail each rule; combined before the shuffle."""
+    """`host, n` and how many of its documents fail each rule, and any; combined before the shuffle."""
     return rows.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(F.col(r).cast("bigint")).alias(r) for r in RULES)
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.col(r).cast("bigint")).alias(r) for r in (*RULES, ANY))
     )
 
 
 def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
-    """For each rule the mean rate and the strength, in documents, of the beta prior; from moments, one row.
+    """For each rule, and for any, the mean rate and the strength, in documents, of the beta prior; from moments, one row.
 
     Equal rates everywhere give the strongest prior.
     """
     sums = [F.sum("n").alias("n")]
-    for r in RULES:
+    for r in (*RULES, ANY):
         sums += [F.sum(r).alias(f"{r}_f"), F.sum(F.col(r).cast("double") * F.col(r) / F.col("n")).alias(f"{r}_s")]
     total = hosts.agg(*sums).first()
     found = {}
-    for r in RULES:
+    for r in (*RULES, ANY):
         mean = (total[f"{r}_f"] or 0) / (total["n"] or 1)
         variance = (total[f"{r}_s"] or 0.0) / (total["n"] or 1) - mean * mean
         strength = mean * (1 - mean) / variance - 1 if variance > 1e-9 else STRONGEST
@@ -117,13 +121,17 @@ def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
     return found
 
 
-def bad_hosts(hosts: DataFrame, most: float = MOST_FAILED) -> DataFrame:
-    """`host` and its drawn rates, for hosts of which one rate is above `most`."""
-    drawn = {
-        r: (F.col(r) + mean * strength) / (F.col("n") + strength) for r, (mean, strength) in priors(hosts).items()
-    }
-    rates = hosts.select("host", *(rate.alias(r) for r, rate in drawn.items()))
-    return rates.filter(F.greatest(*RULES) > most)
+def limit(mean: float, strength: float) -> float:
+    """The drawn rate above which a host stands out from a prior."""
+    spread = (mean * (1 - mean) / (strength + 1)) ** 0.5
+    return min(MOST_FAILED, max(mean + SPREADS * spread, TIMES * mean))
+
+
+def bad_hosts(hosts: DataFrame) -> DataFrame:
+    """`host` and its drawn rates by rule, for hosts whose drawn rate of any is above the limit."""
+    known = priors(hosts)
+    drawn = {r: (F.col(r) + mean * strength) / (F.col("n") + strength) for r, (mean, strength) in known.items()}
+    return hosts.select("host", *(rate.alias(r) for r, rate in drawn.items())).filter(F.col(ANY) > limit(*known[ANY]))
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -2,13 +2,16 @@
 
 Texts with the same set of shingles are one class. Shingles are put in one order, rare ones first, by a
 sketch of how many texts have them; two sets that are similar enough share one of their first few shingles.
-Classes that share such a shingle are compared with its most central class, and what links forms the
-groups. The token-group matrix says which groups have a shingle among their members' first ones; a class is
-held against the other groups it meets there only if sizes and places allow enough overlap. A group's token union then bounds the overlap with all its members at once, and only groups that
-qualify are opened. So no pair inside a group is ever looked at twice, and no link is lost.
+Classes that share such a shingle are compared with its most central class, and what links is one family. Where
+classes of several families still share one, and sizes and places leave room for a link, the classes of all
+shingles with the same central class are a group. A group's token union bounds the overlap of a class with all its
+members at once, and the group is opened only for classes that qualify, and that are not of its central class's
+family. A row goes from a class to each of its groups, never from a class to a class, so no pair is written
+down; inside a group, block meets part, and of the links found only those that connect are kept. No link
+between families is lost.
 
 The sketch has a fixed size and only decides an order: collisions cost time, never links. Shingles are
-64-bit hashes. A null or empty text has no shingles and is linked with nothing. Repeated rows keep a row
+64-bit hashes. Texts of any length are cut into shingles whole. A null or empty text has no shingles and is linked with nothing. Repeated rows keep a row
 each; rows without an id take part, and count in no smallest id. Other columns are not read. An empty table
 gives no rows.
 """
@@ -207,7 +210,8 @@ def _fetched(texts: DataFrame, first: DataFrame, wanted: DataFrame, size: int, s
 
 
 def _open(threshold: Threshold):
-    """For each query the members of a group, or of a part of a large one, that it is linked with: one is enough."""
+    """Links of queries with the members of a group, or of a part of a large one: enough of them to connect what
+    all of them connect."""
 
     def links(queries: pa.Table, members: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -217,6 +221,7 @@ def _open(threshold: Threshold):
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
+            label = np.arange(len(sets))  # members with the same one are connected already
             for c, tokens in zip(queries.column("c").to_pylist(), queries.column("tokens").to_pylist()):
                 q = np.frombuffer(tokens, np.uint64)
                 left, right = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
@@ -227,9 +232,12 @@ def _open(threshold: Threshold):
                 n = right - left
                 at = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 shared = np.bincount(owner[at], minlength=len(sets))
-                good = np.flatnonzero((shared >= threshold.overlap(len(q), sizes)) & (ids != c))
-                if len(good):
-                    found.append((c, int(ids[good].min())))
+                good = np.flatnonzero(shared >= threshold.overlap(len(q), sizes))
+                reached, first = np.unique(label[good], return_index=True)
+                others = [int(ids[good[i]]) for i in first]
+                found += [(c, other) for other in others if other != c]
+                if len(reached) > 1:
+                    label[np.isin(label, reached)] = reached[0]
         a, b = zip(*found) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -330,24 +338,30 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, id: str, text: str)
     scratch.drop(met, tokens)
     groups = components(star).select(F.col("node").alias("c"), F.col("label").alias("g"))
 
-    # The token-group matrix: groups with a shingle among their members' first ones, and what sizes and places allow.
-    grouped = postings.join(groups, "c", "left").withColumn("g", F.coalesce("g", "c")).select("token", "c", "n", "pos", "g")
-    grouped = scratch.write(grouped)
+    # What may still link families: places of a shingle from which a set of a fitting size has room for the overlap.
+    families = groups.select("c", F.col("g").alias("family"))
+    grouped = postings.join(families, "c", "left").withColumn("family", F.coalesce("family", "c"))
+    grouped = scratch.write(grouped.select("token", "c", "n", "pos", "family"))
     scratch.drop(postings)
-    matrix = grouped.groupBy("token", F.col("g").alias("other")).agg(
+    room = grouped.groupBy("token").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest")
     )
-    between = matrix.groupBy("token").agg(F.min("other").alias("low"), F.max("other").alias("high"))
-    between = scratch.write(between.filter(F.col("low") < F.col("high")).select("token"))
-    matrix = scratch.write(matrix.join(between, "token", "left_semi"))
-    asks = grouped.join(between, "token", "left_semi").join(matrix, "token").filter(F.col("other") < F.col("g"))
     allowed = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
     needed = F.greatest(F.ceil(F.col("n") * num / den), F.ceil((F.col("n") + F.col("least")) * num / (num + den)))
     roomy = F.least(F.col("n") - F.col("pos"), F.col("rest")) >= needed
-    pairs = scratch.write(asks.filter(allowed & roomy).select("c", F.col("other").alias("g")).distinct())
-    members = grouped.select("g", "c").distinct().join(pairs.select("g").distinct(), "g", "left_semi")
-    members = scratch.write(members)
-    scratch.drop(grouped, between, matrix)
+    fit = scratch.write(grouped.join(room, "token").filter(allowed & roomy).select(*grouped.columns))
+    between = fit.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"))
+    between = between.filter(F.col("low") < F.col("high")).select("token")
+    able = scratch.write(fit.join(between, "token", "left_semi"))
+    scratch.drop(grouped, fit)
+
+    # Groups: the classes of all shingles with the same most central class.
+    placed = able.join(_central(able), "token").select("g", "c", "family").distinct()
+    home = able.select(F.col("c").alias("of"), F.col("family").alias("home")).distinct()
+    placed = scratch.write(placed.join(home, F.col("g") == F.col("of")).select("g", "c", (F.col("family") == F.col("home")).alias("own")))
+    pairs = scratch.write(placed.filter(~F.col("own")).select("c", "g"))
+    members = scratch.write(placed.select("g", "c").join(pairs.select("g").distinct(), "g", "left_semi"))
+    scratch.drop(able, placed)
     tokens = _fetched(texts, first, pairs.select("c").union(members.select("c")).distinct(), words, scratch)
     more = _opened(pairs, members, tokens, threshold, scratch)
     scratch.drop(pairs, members, tokens)

@@ -8,7 +8,9 @@ likely first where candidates overlap. Spans that overlap a base span are not ad
 
 The trees are fitted on candidates of a bounded sample of rows, labelled by checks of form (check digits,
 octets), and on made-up candidates in the sample's stead for forms it lacks. Spans are in code points, the
-end exclusive. A null or empty text has no spans. Repeated rows keep a row each. Other columns are not read.
+end exclusive. A null or empty text has no spans, a text of any length is read
+whole, and an empty table gives no rows. Repeated rows keep a row each; candidates with equal chances go by
+their place. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ or configuration: assignments, keyword arguments, mappings and `KEY=value` lines
 literal; a name that stands for an earlier literal hands it on, and adjacent or added parts count as one
 value. A literal is reported by the sensitivity of its name and its own form.
 
-Spans are in code points, the end exclusive. A null or empty text has no spans. Repeated rows keep a row
-each. Other columns are not read. Every step takes time in proportion to the text.
+Spans are in code points, the end exclusive. A null or empty text has no spans, and an empty table gives no
+rows. Repeated rows keep a row each; spans that start together go by kind, then end. Other columns are not read.
+Every step takes time in proportion to the text, however constants are chained; texts of any length are read
+whole.
 """
 
 from __future__ import annotations

@@ -23,15 +23,13 @@ m as (
 f as (
     select *, n_words < 50 a, 100 * n_repeat_words > 50 * n_words b,
         100 * n_symbols > 10 * word_chars c, 100 * n_dup_lines > 30 * n_lines e from m),
-hosts as (
-    select host, count(*) n, r, sum(x::int) x
-    from (select host, unnest(['a', 'b', 'c', 'e']) r, unnest([a, b, c, e]) x from f) group by host, r),
+hosts as (select host, count(*) n, sum((a or b or c or e)::int) x from f group by host),
 prior as (
-    select r, sum(x) / sum(n) mean, sum(x::double * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 v from hosts group by r),
+    select sum(x) / sum(n) mean, sum(x::double * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 v from hosts),
 s as (
-    select r, mean, least(greatest(case when v > 1e-9 then mean * (1 - mean) / v - 1 else 10000 end, 1), 10000) k from prior),
-bad as (
-    select distinct host from hosts join s using (r) where (x + mean * k) / (n + k) > 0.5)
+    select mean, least(greatest(case when v > 1e-9 then mean * (1 - mean) / v - 1 else 10000 end, 1), 10000) k from prior),
+most as (select *, least(0.5, greatest(mean + 2 * sqrt(mean * (1 - mean) / (k + 1)), 2 * mean)) lim from s),
+bad as (select host from hosts, most where (x + mean * k) / (n + k) > lim)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, a or b base_failed,
     not (a or b) and not exists (select 1 from bad where bad.host is not distinct from f.host) kept
 from f

@@ -4,7 +4,7 @@ Counts are stored under a digest of the text, its white space normalised as far
 rules do, and a digest of the tokenizer file. A run joins its texts to the stored counts, encodes each
 distinct missing text once and appends its count.
 
-A null text counts as an empty one. Repeated rows and rows without an id keep a row each. Other columns
+A null text counts as an empty one; texts of any length are counted whole. Repeated rows and rows without an id keep a row each. Other columns
 of the documents are not read, so their names don't matter. The cache only ever grows by whole, committed
 files; a text that two runs append at the same time is there twice with the same count, and read once.
 """

@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from panewise.llm.common import by_size, in_batches
 
 UNKNOWN = "und"
-#: Bounds of the training sample: rows of a language, words of a row.
-ROWS, WORDS = 400, 60
+#: Bounds of the training sample: rows of a language, words of a row, languages (those with the most documents).
+ROWS, WORDS, LANGUAGES = 400, 60, 256
 #: Hashed features; letters beyond the last code are read one by one.
 FEATURES, LAST_CODE = 1 << 16, 0x33480
 
@@ -297,21 +297,29 @@ def held_out(id: Column) -> Column:
 
 
 def stretches(
-    docs: DataFrame, rows: int = ROWS, words: int = WORDS, id: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame,
+    rows: int = ROWS,
+    words: int = WORDS,
+    languages: int = LANGUAGES,
+    id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
 ) -> list[tuple[str, str]]:
-    """At most `rows` (text, language) of each language: those with the lowest hashes, a stretch of each.
+    """At most `rows` (text, language) of each of the `languages` with the most documents: those with the lowest
+    hashes, a stretch of each. A column of labels that is no list of languages can't fill the driver.
 
     Languages are counted first; the hash then leaves about twice the rows that are wanted, and only their
     stretches meet in the last step, however many rows a language has.
     """
     learn = docs.select(F.col(id).alias("id"), F.col(text).alias("t"), F.col(lang).alias("g"))
     learn = learn.filter(F.col("g").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("t").rlike(r"\p{L}"))
-    counts = {r["g"]: r["n"] for r in learn.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = learn.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(languages)
+    counts = {r["g"]: r["n"] for r in known.collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for g, n in sorted(counts.items()) for x in (g, min(1.0, (2 * rows + 100) / n))))
     place = F.xxhash64("id", "t")
-    few = learn.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 30)) <= F.get(F.array(share[F.col("g")]), F.lit(0)) * (1 << 30))
+    few = learn.filter(F.col("g").isin(list(counts))).withColumn("place", place).filter(F.pmod("place", F.lit(1 << 30)) <= F.get(F.array(share[F.col("g")]), F.lit(0)) * (1 << 30))
     order = Window.partitionBy("g").orderBy("place", "id", "t")
     w = F.split("t", r"\s+")
     from_ = F.pmod("place", F.greatest(F.size(w) - words, F.lit(1))).cast("int") + 1

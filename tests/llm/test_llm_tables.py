@@ -201,6 +201,22 @@ def test_hosts_are_drawn_to_the_common_rate(spark):
     assert host_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_a_host_that_stands_out_is_told_from_the_others(spark, tmp_path):
+    """A host of which a third fail one rule or another, none of them half of its documents: only the verdict on the
+    host takes its other documents out."""
+    r = random.Random(9)
+    words = [f"a{i}" for i in range(900)]
+    good = lambda: prose(r, words, 70)
+    failing = [lambda: "too short", lambda: good() + " #" * 80, lambda: "\n".join([good()] + ["the same line of words"] * 9)]
+    rows = [(f"h{h}", failing[i % 3]() if i % 14 == 0 else good()) for h in range(25) for i in range(60)]
+    rows += [("odd", failing[i // 3 % 3]() if i % 3 == 0 else good()) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, None, h, 0) for i, (h, t) in enumerate(rows)], SCHEMA)
+    got = host_rules.judge(docs)
+    lost = {rows[x.doc_id][0] for x in got.collect() if not x.kept and not x.base_failed}
+    assert lost == {"odd"} and got.filter("kept").count() > 1300
+    assert spark_rows(got) == in_duckdb(spark, tmp_path, sql.HOST_RULES, documents=docs)
+
+
 # Near duplicates ------------------------------------------------------------------------------------
 
 
