@@ -167,18 +167,20 @@ def mark_hot(
 ) -> DataFrame | None:
     """Add the BOOLEAN `into`: whether the row's key is one of `hot_keys`; None if there are no such keys.
 
-    Hot keys are found here and now, so that their number decides how they meet the rows.
+    Hot keys are found here and now, so that their number decides how they meet the rows: up to BROADCAST_KEYS
+    go through the driver to every executor. Nothing is kept on executors.
     """
-    hot = hot_keys(rows, keys, order_by, hot_rows).persist()
-    number = hot.count()
-    if not number:
-        hot.unpersist()
+    hot = hot_keys(rows, keys, order_by, hot_rows)
+    few = hot.limit(BROADCAST_KEYS + 1).collect()
+    if not few:
         return None
+    if len(few) <= BROADCAST_KEYS:
+        hot = F.broadcast(rows.sparkSession.createDataFrame(few, hot.schema))
     hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias(into))
     same = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
     )
-    return rows.join(F.broadcast(hot) if number <= BROADCAST_KEYS else hot, same, "left").select(
+    return rows.join(hot, same, "left").select(
         *rows.columns, F.coalesce(F.col(into), F.lit(False)).alias(into)
     )
 
