@@ -1,10 +1,10 @@
 """Keyed state of a stream as a log: each batch adds a run of what it changed, reads merge runs, and runs are
 put together as they become many.
 
-A batch writes its own rows and nothing else, so what it costs follows the batch and not the number of keys.
-FAN runs of a level are merged into one of the next, so a row is written again once per level: about
-log(keys / rows of a batch) times in all. A run of many rows is cut into buckets by a hash of the key, and a
-batch reads those its keys are in.
+A batch writes its own rows and nothing else, so what it costs follows the batch and not the number of keys. A
+run's level goes by its size; when FAN runs of a level stand at the end of the log, with none of a higher one
+between them, they are merged, so a row is written again about once per level: log(keys / rows of a batch) times
+in all, and a large run is left alone by small ones. A run of many rows is cut into buckets by a hash of the key, and a batch reads those its keys are in.
 
 Every batch leaves a manifest, which names the runs that hold and carries a note (a few numbers). A batch that is
 run again starts from the manifest before it and writes its files anew; runs that no manifest can lead to any
@@ -23,8 +23,10 @@ from pyspark.sql.types import StructType
 
 from panewise.session import forget
 
-#: Runs of one level that are merged into one of the next.
+#: Runs of a level that are merged; each level has FAN times the rows of the one below.
 FAN = 4
+#: Rows of a run of the lowest level, at most.
+LEVEL_ROWS = 1 << 12
 #: Rows of a bucket, about; a run of fewer is not cut.
 BUCKET_ROWS = 1 << 20
 
@@ -35,14 +37,32 @@ _AT, _BUCKET = "__written", "__bucket"
 
 @dataclass(frozen=True)
 class Run:
-    """A folder of rows: its level, the batch of its newest rows, and how it is cut."""
+    """A folder of rows: the batch of its newest rows, and how it is cut."""
 
     name: str
-    level: int
     batch: int
     rows: int
     buckets: int
 
+    @property
+    def level(self) -> int:
+        level, most = 0, LEVEL_ROWS
+        while self.rows > most:
+            level, most = level + 1, most * FAN
+        return level
+
+
+def newest_to_merge(runs: Sequence[Run]) -> int:
+    """How many runs at the end of the log are to be merged; 0 if none. Only neighbours in age are."""
+    for level in sorted({r.level for r in runs}):
+        n = same = 0
+        while n < len(runs) and runs[-1 - n].level <= level:
+            same += runs[-1 - n].level == level
+            n += 1
+        if same >= FAN:
+            return n
+    return 0
+
 
 class LogState:
     """A table of keyed rows under a checkpoint folder.
@@ -73,25 +93,26 @@ class LogState:
         place = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return place, place.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifest(self, batch_id: int) -> tuple[list[Run], dict]:
+    def _manifest(self, batch_id: int) -> tuple[list[Run], dict, list[str]]:
+        """The runs, oldest first, the note, and the names of runs that were there for the batch alone."""
         path, fs = self._place(f"{self._base}/manifest/{batch_id}.json")
         if batch_id < 0 or not fs.exists(path):
-            return [], {}
+            return [], {}, []
         stream = fs.open(path)
         try:
             text = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
         held = json.loads(text)
-        return [Run(**r) for r in held["runs"]], held["note"]
+        return [Run(**r) for r in held["runs"]], held["note"], held["passing"]
 
-    def _commit(self, batch_id: int, runs: list[Run], note: dict) -> None:
+    def _commit(self, batch_id: int, runs: list[Run], note: dict, passing: list[str]) -> None:
         """A manifest appears whole or not at all."""
         path, fs = self._place(f"{self._base}/manifest/{batch_id}.json")
         part, _ = self._place(f"{self._base}/manifest/{batch_id}.part")
         stream = fs.create(part, True)
         try:
-            stream.write(bytearray(json.dumps({"runs": [asdict(r) for r in runs], "note": note}).encode()))
+            stream.write(bytearray(json.dumps({"runs": [asdict(r) for r in runs], "note": note, "passing": passing}).encode()))
         finally:
             stream.close()
         fs.delete(path, False)
@@ -99,7 +120,7 @@ class LogState:
             raise OSError(f"could not write the manifest {path}")
 
     def runs(self, batch_id: int) -> list[Run]:
-        """The runs that hold after a batch."""
+        """The runs that hold after a batch, oldest first."""
         return self._manifest(batch_id)[0]
 
     def note(self, batch_id: int) -> dict:
@@ -155,20 +176,20 @@ class LogState:
 
         keep  rows of older runs for which it does not hold may be dropped when runs are merged
         """
-        runs, _ = self._manifest(batch_id - 1)
+        runs = self.runs(batch_id - 1)
         gone = F.col(GONE) if GONE in rows.columns else F.lit(False)
         typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema if f.name != GONE]
-        new = self._put(rows.select(*typed, gone.alias(GONE)), f"run-{batch_id}", 0, batch_id, 1)
-        runs = [*runs, new]
-        level = 0
-        while sum(r.level == level for r in runs) >= FAN:
-            runs = self._compacted(runs, level, batch_id, keep)
-            level += 1
-        self._commit(batch_id, runs, note or {})
+        new = self._put(rows.select(*typed, gone.alias(GONE)), f"run-{batch_id}", batch_id, 1)
+        runs, own = [*runs, new], {new.name}
+        while n := newest_to_merge(runs):
+            merged = self._compacted(runs[-n:], f"run-{batch_id}-{len(own)}", n == len(runs), keep)
+            runs = [*runs[:-n], merged]
+            own.add(merged.name)
+        self._commit(batch_id, runs, note or {}, sorted(own - {r.name for r in runs}))
         self._forget(batch_id)
         return self._rows(new).drop(_AT)
 
-    def _put(self, rows: DataFrame, name: str, level: int, batch: int, buckets: int) -> Run:
+    def _put(self, rows: DataFrame, name: str, batch: int, buckets: int) -> Run:
         seen, path = Observation(), f"{self._base}/{name}"
         watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         if buckets == 1:
@@ -177,30 +198,27 @@ class LogState:
             # Dealt by bucket first, so that each bucket is one file.
             dealt = watched.withColumn(_BUCKET, self._bucket(buckets)).repartition(buckets, _BUCKET)
             dealt.write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
-        return Run(name, level, batch, int(seen.get["rows"]), buckets)
+        return Run(name, batch, int(seen.get["rows"]), buckets)
 
-    def _compacted(self, runs: list[Run], level: int, batch_id: int, keep: Column | None) -> list[Run]:
-        old = [r for r in runs if r.level == level]
-        rest = [r for r in runs if r.level != level]
+    def _compacted(self, old: Sequence[Run], name: str, oldest: bool, keep: Column | None) -> Run:
+        """One run of several neighbours."""
         rows = self._merged(old)
-        if not any(r.level > level for r in rest):
-            rows = rows.where(~F.col(GONE))  # nothing older is left for them to take out
+        if oldest:
+            rows = rows.where(~F.col(GONE))  # nothing is left for them to take out
         if keep is not None:
             rows = rows.where(keep)
         buckets = 1
         while buckets * BUCKET_ROWS < sum(r.rows for r in old):
             buckets *= 2
-        return [*rest, self._put(rows, f"run-{batch_id}-{level + 1}", level + 1, old[-1].batch, buckets)]
+        return self._put(rows, name, old[-1].batch, buckets)
 
     def _forget(self, batch_id: int) -> None:
         """This batch may be run again from the manifest before it, never from the one before that.
 
         Runs that the batch before wrote and merged at once are in no manifest; they were there for its output.
         """
-        held = self.runs(batch_id - 1)
+        held, _, passing = self._manifest(batch_id - 1)
         before = {r.name for r in held}
-        old = {r.name for r in self.runs(batch_id - 2)}
-        passing = {f"run-{batch_id - 1}", *(f"run-{batch_id - 1}-{level}" for level in range(1, 1 + max((r.level for r in held), default=0)))}
-        for name in (old | passing) - before:
+        for name in ({r.name for r in self.runs(batch_id - 2)} | set(passing)) - before:
             forget(self._spark, f"{self._base}/{name}")
         forget(self._spark, f"{self._base}/manifest/{batch_id - 2}.json")
