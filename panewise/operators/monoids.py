@@ -126,7 +126,7 @@ class Call:
 def read(aggregate: Column) -> Call:
     """Look at an aggregate, with or without an alias."""
     column = type(aggregate)
-    jvm = SparkSession.getActiveSession()._jvm
+    jvm = SparkSession.active()._jvm
     of = lambda node: column(jvm.org.apache.spark.sql.Column(node))
     node = aggregate._jc.node()
     if node.getClass().getSimpleName() == "Alias":
@@ -142,7 +142,7 @@ def read(aggregate: Column) -> Call:
 
 def _aggregates(name: str) -> bool:
     """Whether Spark has an aggregate function of this name."""
-    session = SparkSession.getActiveSession()
+    session = SparkSession.active()
     known = session._jsparkSession.sessionState().functionRegistry()
     found = known.lookupFunction(session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
     return found.isDefined() and found.get().getGroup() == "agg_funcs"
