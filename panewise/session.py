@@ -43,14 +43,34 @@ def forget(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+# Folders this driver was given under a shared folder.
+_given: set[str] = set()
+
+
+@functools.cache
+def _clear_at_exit() -> None:
+    def clear() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:  # else the session has ended before
+            for path in _given:
+                forget(spark, path)
+
+    atexit.register(clear)
+
+
 def working_dir(spark: SparkSession, purpose: str) -> str:
     """A new path for `purpose` under the shared folder the session names in `spark.checkpoint.dir`.
 
-    Only a local master may go without that setting; it then gets a temporary folder that goes with the driver.
+    Only a local master may go without that setting; it then gets a temporary folder. What is left in either
+    goes when the driver ends with its session open: tables that results are still read from live that long.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        return f"{base}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _given.add(path)
+    _clear_at_exit()
+    return path

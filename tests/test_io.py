@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,19 @@ def test_metric(spark, tmp_path):
     assert [r.value for r in spark.read.text(path).collect()] == ["1234.5"]
     assert io.read_metric(spark, path).first().thp == 1234.5
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+
+
+def test_shared_working_folders_go_with_the_driver(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from panewise.sources.io import written
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+rows = written(spark.range(5), "kept")
+import os
+print("rows", rows.count(), "there", sum(n.startswith("kept-") for n in os.listdir({str(tmp_path)!r})))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "rows 5 there 1" in done.stdout, done.stderr[-500:]
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("kept-")]
