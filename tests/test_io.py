@@ -1,6 +1,7 @@
 import os
 import subprocess
 import sys
+
 import pytest
 from pyspark.sql import functions as F
 
