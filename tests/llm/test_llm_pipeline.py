@@ -16,7 +16,7 @@ SQL = [n for n, q in QUERIES.items() if q.sql is not None]
 
 def test_all_queries_are_entries():
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in QUERIES
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", SQL)
