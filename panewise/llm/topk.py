@@ -206,7 +206,8 @@ def _best(k: int):
         ids, score = ids[by_id], score[:, by_id]
         usable = ids[None, :] != own[:, None]
         score = np.where(usable, score, np.iinfo(np.int64).min)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        # ~score falls as score rises for every long; -score would put the least long, which has no negative, first.
+        order = np.argsort(~score, axis=1, kind="stable")[:, :k]
         top, good = np.take_along_axis(score, order, 1), np.take_along_axis(usable, order, 1)
         row = np.repeat(np.arange(len(own)), order.shape[1])[good.ravel()]
         return pa.table(

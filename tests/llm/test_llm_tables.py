@@ -331,6 +331,14 @@ def test_top_k(spark, bounds, monkeypatch):
     assert topk.search(docs.limit(0), docs.limit(0), 5).count() == 0
 
 
+def test_the_own_row_takes_no_place_among_the_best(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk.search(docs, docs.filter("vec_id % 50 = 0"), 5, pivots=1, rings=1)  # all rows in one group
+    assert sorted(map(tuple, got.collect())) == best(rows, 5)
+
+
 def test_products_are_exact():
     q, x = np.full((2, 3), 2.0**27), np.full((1, 3), 2.0**27 - 1)
     assert topk.products(q, x).tolist() == [[3 * 2**27 * (2**27 - 1)]] * 2
