@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panewise.functions.arith import div
 from panewise.functions.checks import positive
-from panewise.functions.text import split_words
+from panewise.functions.text import WHITESPACE, WHITESPACE_CHAR, split_words
 from panewise.operators.ranges import explode_range
 from panewise.operators.running import number_all_rows, running_sum, total_weight
 
@@ -19,6 +19,11 @@ LINE_BITS = (8, 18, 19)
 # With no more panes per row than this, counting in slices first costs more than it saves.
 FEW_PANES = 8
 
+# Words of a stretch that meet in one task of `top_words_of_lines`; longer panes than LONGEST don't.
+STRETCH, LONGEST = 1 << 17, 1 << 20
+# Words of a block that are looked at by name, and places in a stretch's table of marks.
+LISTED, MARKS = 32, 4096
+
 # Panes of a stretch in which changes of counts are summed: 2^20.
 CHANGE_BITS = 20
 
@@ -27,8 +32,15 @@ def histogram(rows: DataFrame, word: str, into: str = "cnt") -> DataFrame:
     return rows.groupBy(word).agg(F.count(F.lit(1)).alias(into))
 
 
-def _words(lines: DataFrame, column: str, order_by: str) -> DataFrame:
-    return lines.select(order_by, split_words(column).alias("__words"))
+def _lines(lines: DataFrame, column: str, order_by: str) -> DataFrame:
+    """Lines stay texts until they are where their words are needed: an array of words is several times as large."""
+    return lines.select(order_by, F.col(column).alias("__line"), F.size(split_words(column)).alias("__words"))
+
+
+def number_lines(lines: DataFrame, column: str, order_by: str) -> DataFrame:
+    """`__before, __line, __words`: each line with the words of all lines before it and its own number of words."""
+    summed = running_sum(_lines(lines, column, order_by), order_by, F.col("__words"), "__upto", bits=LINE_BITS)
+    return summed.select((F.col("__upto") - F.col("__words")).alias("__before"), "__line", "__words")
 
 
 def number_words(lines: DataFrame, column: str, order_by: str) -> DataFrame:
@@ -37,17 +49,14 @@ def number_words(lines: DataFrame, column: str, order_by: str) -> DataFrame:
     Only lines are ordered, with their word counts as weights; a word's number is its place in its
     line after the words of all lines before.
     """
-    words = _words(lines, column, order_by)
-    summed = running_sum(words, order_by, F.size("__words"), "__upto", bits=LINE_BITS)
-    before = F.col("__upto") - F.size("__words")
-    placed = summed.select(before.alias("__before"), F.posexplode("__words").alias("__at", "word"))
+    placed = number_lines(lines, column, order_by)
+    placed = placed.select("__before", F.posexplode(split_words("__line")).alias("__at", "word"))
     return placed.select((F.col("__before") + F.col("__at") + 1).alias("seq"), "word")
 
 
 def total_words(lines: DataFrame, column: str, order_by: str) -> Column:
-    """Number of words of all lines, as a scalar subquery that shares the counts of `number_words`."""
-    words = _words(lines, column, order_by)
-    return total_weight(words, order_by, F.size("__words"), LINE_BITS)
+    """Number of words of all lines, as a scalar subquery that shares the counts of `number_lines`."""
+    return total_weight(_lines(lines, column, order_by), order_by, F.col("__words"), LINE_BITS)
 
 
 def slice_rows(size: int, slide: int) -> int:
@@ -194,6 +203,111 @@ def candidates_of_groups(slices: DataFrame, run: int, size: int, slide: int, tot
     return placed.join(met, (F.col("__group") == F.col("__g")) & F.col("__word").eqNullSafe(F.col("__w")), "left_semi")
 
 
+def top_words_of_lines(
+    lines: DataFrame, column: str, order_by: str, size: int, slide: int, k: int, word: str = "word",
+    stretch: int = STRETCH, listed: int = LISTED,
+) -> DataFrame:
+    """`top_words` of panes over the words of all lines, in the order of `order_by`.
+
+    Lines are cut into stretches of blocks of words, each with the blocks before it that its panes reach into, and
+    shuffled once by their stretch; all counts then stay where they are. A group of panes ends in one block. The
+    `listed` largest counts of the blocks that all its panes hold give a count that k words reach in each of them.
+    A word among the k reaches that count in the blocks that any pane holds, so in one of them it has its share
+    of it. Words without that share in any block of the stretch are never counted in panes. Blocks that may have more
+    such words than are listed keep all words of their stretch.
+    """
+    positive(size=size, slide=slide, k=k)
+    total = total_words(lines, column, order_by)
+    if max(size, slide) > LONGEST:
+        numbered = number_words(lines, column, order_by).withColumnRenamed("word", word)
+        return top_words_of_panes(numbered, word, size, slide, total, k)
+    panes = max(1, size // (8 * slide))
+    block = panes * slide
+    reach = max(0, -(-(size - slide) // block))  # a group's panes hold rows of its block and of so many before it
+    groups = max(4 * reach, -(-stretch // block))
+    held = _by_stretch(number_lines(lines, column, order_by), block, groups, reach)
+    marks = _marks(held, size, block, panes, groups, reach, max(listed, k), k)
+
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(MARKS)).cast("int")
+    each = F.transform(F.split("__line", WHITESPACE_CHAR), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    able = F.filter(each, lambda x: F.col("__open") | F.get("__marks", slot(x["w"])))
+    words = held.join(marks.hint("shuffle_hash"), "__stretch").select("__stretch", "__from", F.explode(able).alias("__x"))
+    run = gcd(size, slide)
+    place = div(F.col("__from") + F.col("__x.i"), run).alias("__slice")
+    slices = words.groupBy("__stretch", place, F.col("__x.w").alias(word)).agg(F.count(F.lit(1)).alias("__cnt"))
+    start = F.col("__slice") * run
+    first = F.greatest(div(start + (run + slide - 1), slide), F.col("__stretch") * (groups * panes) + 1)
+    last = F.least(
+        div(start + size, slide), (F.col("__stretch") + 1) * (groups * panes), div(total, slide).cast("bigint")
+    )
+    shown = slices.withColumn("pane", F.explode(F.when(first <= last, F.sequence(first, last))))
+    counts = shown.groupBy("__stretch", "pane", word).agg(F.sum("__cnt").alias("cnt"))
+    order = Window.partitionBy("__stretch", "pane").orderBy(F.desc("cnt"), word)
+    top = counts.withColumn("r", F.row_number().over(order).cast("bigint")).where(F.col("r") <= k)
+    return top.drop("__stretch")
+
+
+def _by_stretch(numbered: DataFrame, block: int, groups: int, reach: int) -> DataFrame:
+    """`__stretch, __from, __line`: the parts of lines that a stretch holds, one white space between words, each with
+    the number of words before it."""
+    long = block * groups
+    before, upto = F.col("__before"), F.col("__before") + F.col("__words")
+    first, last = div(before, long), div(div(upto - 1, block) + reach, groups)
+
+    def parts(words: Column) -> Column:
+        def part(s: Column) -> Column:
+            begin = F.greatest(before, (s * groups - reach) * block)
+            size = F.least(upto, (s + 1) * long) - begin
+            text = F.array_join(F.slice(words, (begin - before + 1).cast("int"), size.cast("int")), " ")
+            return F.struct(s.alias("__stretch"), begin.alias("__from"), text.alias("__line"))
+
+        return F.transform(F.sequence(first, last), part)
+
+    # Most lines are in one stretch and stay as they are. In an array of its own, a line's words are split once for all
+    # its stretches.
+    body = F.rtrim("__line", F.lit(WHITESPACE))
+    one = F.array(F.struct(first.alias("__stretch"), before.alias("__from"), body.alias("__line")))
+    cut = F.when(first == last, one).otherwise(F.flatten(F.transform(F.array(split_words("__line")), parts)))
+    cut = numbered.where(F.col("__words") > 0).select(F.explode(cut).alias("__p")).select("__p.*")
+    # A fixed number: what comes of a small partition is many times its size.
+    return cut.repartition(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__stretch")
+
+
+def _marks(
+    held: DataFrame, size: int, block: int, panes: int, groups: int, reach: int, listed: int, k: int
+) -> DataFrame:
+    """`__stretch, __open, __marks`: by a word's hash, whether the stretch counts it; if open, it counts all."""
+    words = held.select("__stretch", "__from", F.posexplode(F.split("__line", WHITESPACE_CHAR)).alias("__at", "__word"))
+    at = div(F.col("__from") + F.col("__at"), block).alias("__block")
+    counts = words.groupBy("__stretch", at, "__word").agg(F.count(F.lit(1)).alias("__cnt"))
+    largest = Window.partitionBy("__stretch", "__block").orderBy(F.desc("__cnt"))
+    most = counts.withColumn("__r", F.row_number().over(largest)).where(F.col("__r") <= listed)
+
+    # The groups of the stretch whose panes all hold the block: the first of several panes doesn't hold its own.
+    opens, closes = F.col("__stretch") * groups, (F.col("__stretch") + 1) * groups - 1
+    first = F.greatest(F.col("__block") + (0 if panes == 1 else 1), opens)
+    last = F.least(F.col("__block") + (size // block - 1), closes)
+    of_groups = most.withColumn("__group", F.explode(F.when(first <= last, F.sequence(first, last))))
+    sums = of_groups.groupBy("__stretch", "__group", "__word").agg(F.sum("__cnt").alias("__least"))
+    order = Window.partitionBy("__stretch", "__group").orderBy(F.desc("__least"))
+    kth = sums.withColumn("__k", F.row_number().over(order)).where(F.col("__k") == k)
+    # What each block's words are held against: the least of the groups that hold the block, none if one has none.
+    reached = F.sequence(F.col("__group") - reach, F.col("__group"))
+    known = kth.select("__stretch", "__least", F.explode(reached).alias("__block"))
+    known = known.groupBy("__stretch", "__block").agg(F.min("__least").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    asked = F.least(F.col("__block") + reach, closes) - F.greatest(F.col("__block"), opens) + 1
+    known = known.where(F.col("__n") == asked).drop("__n")
+
+    able = most.join(known, ["__stretch", "__block"], "left")
+    able = able.where(F.col("__cnt") * (reach + 1) >= F.coalesce("__least", F.lit(0)))
+    slot = F.pmod(F.xxhash64("__word"), F.lit(MARKS)).cast("int")
+    found = able.groupBy("__stretch").agg(
+        F.max(F.col("__r") == listed).alias("__open"), F.collect_set(slot).alias("__slots")
+    )
+    marks = F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), lambda i: F.array_contains("__slots", i))
+    return found.select("__stretch", "__open", marks.alias("__marks"))
+
+
 def bottom_counts(panes: DataFrame, word: str, k: int) -> DataFrame:
     """The k smallest distinct counts of every pane, each with one word (the first by name)."""
     positive(k=k)

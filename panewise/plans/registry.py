@@ -368,11 +368,7 @@ def pane_bottomk_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pane_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = documents(spark, sf_dir, "doc_id", "text")
-    numbered = histogram.number_words(lines, "text", "doc_id")
-    panes = histogram.pane_histogram(
-        numbered, "word", 5000, 2500, histogram.total_words(lines, "text", "doc_id")
-    )
-    return histogram.top_words(panes, "word", 3)
+    return histogram.top_words_of_lines(lines, "text", "doc_id", 5000, 2500, 3)
 
 
 @register(
@@ -384,9 +380,7 @@ def pane_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pane_topk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 panes per word: words that can't be among the three are never sent to them."""
     lines = documents(spark, sf_dir, "doc_id", "text")
-    numbered = histogram.number_words(lines, "text", "doc_id")
-    total = histogram.total_words(lines, "text", "doc_id")
-    return histogram.top_words_of_panes(numbered, "word", 20_000, 500, total, 3)
+    return histogram.top_words_of_lines(lines, "text", "doc_id", 20_000, 500, 3)
 
 
 # Running counter ------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from panewise.operators.histogram import (
     pane_histogram,
     stream_histogram,
     top_words,
+    top_words_of_lines,
     top_words_of_panes,
     total_words,
 )
@@ -98,3 +99,26 @@ def test_bounds_leave_the_top_words_alone(spark, size, slide, k):
         slices = rows.groupBy(((F.col("seq") - 1) / gcd(size, slide)).cast("bigint").alias("__slice"), F.col("w").alias("__word")).agg(F.count("*").alias("__cnt"))
         sent = candidates_of_groups(slices, gcd(size, slide), size, slide, total, k)
         assert sent.select("__word").distinct().count() <= 10  # of 16
+
+
+@pytest.mark.parametrize(
+    "size,slide,k,stretch,listed",
+    [(160, 10, 3, 100, 8), (200, 5, 2, 400, 4), (60, 30, 3, 100, 8), (70, 30, 1, 1, 32), (40, 40, 2, 90, 2), (9, 20, 2, 50, 4), (33, 4, 50, 100, 4)],
+)
+def test_top_words_of_lines(spark, size, slide, k, stretch, listed):
+    rng = random.Random(size)
+    lines = [" ".join(rng.choices(["the", "of", "", "and", *"abcdefghij"], [9, 6, 1, 4] + [1] * 10, k=rng.randint(0, 25))) for _ in range(60)]
+    lines[20:20] = [None, "", "  ", " ".join(rng.choices("uvw", [3, 2, 1], k=300)), "x  y ", " ".join(f"w{i}" for i in range(200))]
+    rows = spark.createDataFrame([(i * 7, t) for i, t in enumerate(lines)], "o bigint, value string").repartition(3)
+    got = top_words_of_lines(rows, "value", "o", size, slide, k, stretch=stretch, listed=listed)
+    panes = pane_histogram(number_words(rows, "value", "o"), "word", size, slide, total_words(rows, "value", "o"))
+    want = top_words(panes, "word", k)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_top_words_of_lines_shuffles_words_as_lines(spark):
+    rows = spark.createDataFrame([(1, "a b a")], "o bigint, value string")
+    plan = top_words_of_lines(rows, "value", "o", 4, 2, 1)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert shuffled and not any("word#" in line.split("hashpartitioning(")[1].split("]")[0] for line in shuffled)
