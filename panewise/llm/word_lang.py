@@ -331,6 +331,8 @@ def stretches(
 # Codes that are scored at once; a longer text is cut between words (or in a word longer than that), its
 # chain is not.
 _AT_ONCE = 1 << 21
+# Bytes of the texts that are labelled together; arrays over their codes take some hundred times as much.
+_BATCH = 1 << 18
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -348,7 +350,7 @@ def _parts(text: str) -> Iterator[str]:
 def _label(model: Model, runs: bool):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, languages = letters(), model.languages
-        for batch in by_size(batches, "text", most=1 << 20):
+        for batch in by_size(batches, "text", most=_BATCH):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if max(map(len, texts)) <= _AT_ONCE:
                 words = Words.of(texts, letter)
@@ -410,7 +412,7 @@ def known(docs: DataFrame, model: Model | None, text: str = "text", lang: str =
     label, at = _label(model, False), docs.columns.index(lang)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_size(batches, text, most=1 << 20):
+        for part in by_size(batches, text, most=_BATCH):
             own = part.column(text)
             for found in label(iter([pa.RecordBatch.from_arrays([own, own], names=["id", "text"])])):
                 said = found.column("lang_pred").cast(part.schema.field(at).type)

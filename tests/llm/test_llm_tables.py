@@ -73,6 +73,17 @@ def test_a_cut_text_gives_the_same_chances(spark, model, monkeypatch):
         assert key(a) == key(b) and a.score == pytest.approx(b.score, abs=1e-6)
 
 
+def test_texts_that_are_labelled_together_are_few(model, monkeypatch):
+    import pyarrow as pa
+
+    seen, of = [], word_lang.Words.of
+    monkeypatch.setattr(word_lang.Words, "of", lambda texts, letter: (seen.append(sum(map(len, texts))), of(texts, letter))[1])
+    texts = ["the other would about there from " * 100] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["id", "text"])
+    assert sum(b.num_rows for b in word_lang._label(model, False)(iter([batch]))) == 300
+    assert max(seen) <= 1 << 18 and sum(seen) == sum(map(len, texts))
+
+
 def test_languages_of_a_table(spark):
     docs = table(spark)
     taught = word_lang.stretches(docs, rows=30)
