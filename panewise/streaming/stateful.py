@@ -40,8 +40,27 @@ def in_order(batches: Iterator[pd.DataFrame], order_by: str | None, most: int =
     if order_by is None:
         yield from batches
         return
+    batches = iter(batches)  # what is left of it when runs begin is read there
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= most:
+            yield from _merged(held, batches, order_by, most)
+            return
+    # Most keys have few rows: they need no folder, and no sort if they came in order.
+    if held:
+        yield _sorted(held, order_by)
+
+
+def _merged(
+    held: list[pd.DataFrame], batches: Iterator[pd.DataFrame], order_by: str, most: int
+) -> Iterator[pd.DataFrame]:
+    """The rows of what is held and of the batches left, sorted in runs on disk."""
     with tempfile.TemporaryDirectory() as folder:
-        held, rows, runs = [], 0, []
+        runs = [os.path.join(folder, "0")]
+        _spill(_sorted(held, order_by), runs[-1])
+        held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += len(batch)
@@ -49,14 +68,9 @@ def in_order(batches: Iterator[pd.DataFrame], order_by: str | None, most: int =
                 runs.append(os.path.join(folder, str(len(runs))))
                 _spill(_sorted(held, order_by), runs[-1])
                 held, rows = [], 0
-        last = _sorted(held, order_by) if held else None
-        if not runs:
-            if last is not None:
-                yield last
-            return
         streams = [_rows(_read(run), order_by, i) for i, run in enumerate(runs)]
-        if last is not None:
-            streams.append(_rows(iter([last]), order_by, len(runs)))
+        if held:
+            streams.append(_rows(iter([_sorted(held, order_by)]), order_by, len(runs)))
         block, columns = [], None
         for _, _, _, row, columns in heapq.merge(*streams, key=lambda r: r[:3]):
             block.append(row)
@@ -68,7 +82,11 @@ def in_order(batches: Iterator[pd.DataFrame], order_by: str | None, most: int =
 
 
 def _sorted(batches: list[pd.DataFrame], order_by: str) -> pd.DataFrame:
-    return pd.concat(batches, ignore_index=True).sort_values(order_by, kind="stable", ignore_index=True)
+    rows = batches[0] if len(batches) == 1 else pd.concat(batches, ignore_index=True)
+    order = rows[order_by].to_numpy()
+    if order.dtype.kind in "iu" and (order[1:] >= order[:-1]).all():
+        return rows
+    return rows.sort_values(order_by, kind="stable", ignore_index=True)
 
 
 def _spill(rows: pd.DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ import subprocess
 import sys
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,3 +420,16 @@ def test_workers_need_not_have_the_package(tmp_path):
         [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
     )
     assert "stream_running_counter_state 1000" in done.stdout, done.stderr[-2000:]
+
+
+def test_few_rows_of_a_key_are_sorted_without_a_folder(monkeypatch):
+    def refuse(*args, **options):
+        raise AssertionError("a folder")
+
+    monkeypatch.setattr(stateful.tempfile, "TemporaryDirectory", refuse)
+    frame = lambda *o: pd.DataFrame({"o": o, "p": [f"{i}" for i in range(len(o))]})
+    for batches in ([frame(1, 2, 2, 5)], [frame(3, 1, 3)], [frame(4, 6), frame(5, 1, 6)], [frame(2, None, 1)]):
+        want = pd.concat(batches).sort_values("o", kind="stable")
+        (got,) = stateful.in_order(iter(batches), "o")
+        assert list(got["p"]) == list(want["p"])
+    assert list(stateful.in_order(iter([]), "o")) == []
