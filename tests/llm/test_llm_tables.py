@@ -7,12 +7,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from compare import rows_of, spark_rows
 from llm_fixtures import SCHEMA, documents, near_components, prose, table, words_of
 from panewise.llm import host_rules, line_chunks, near_join, sql, topk, word_lang
+from panewise.llm.common import Scratch
 from panewise.llm.components import components
 from panewise.llm.registry import QUERIES
 from panewise.llm.shingles import shingle_sets, word_hashes
@@ -292,6 +294,67 @@ def test_empty_near_join(spark):
     assert near_join.join(table(spark, [(1, None, None, None, None)])).collect() == [(1, 0, 1)]
 
 
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (1, 2), (1, 40)])
+def test_no_link_is_lost_by_ranges_of_hashes(num, den):
+    """Sets of all sizes, copies with other shingles, and sets with many shingles in one range."""
+    rng, threshold = np.random.default_rng(num), near_join.Threshold(num, den)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 2, 7, 60, 500, 520, 600, 1100, 9000)]
+    sets += [rng.integers(0, 1 << 40, n, np.uint64) for n in (300, 700, 720)]
+    for s in list(sets):
+        for share in (0.04, 0.1, 0.4):
+            new = rng.integers(0, 1 << 64, max(1, int(share * len(s))), np.uint64)
+            sets += [np.r_[s[len(new) :], new], np.r_[s, new]]
+    sets = [np.unique(s) for s in sets]
+
+    def side(of):
+        n = pa.array([len(sets[c]) for c in of], pa.int64())
+        sigs = pa.array([near_join._ranges(sets[c]) for c in of], pa.binary())
+        return pa.table({"g": pa.array([5] * len(of), pa.int64()), "c": pa.array(of, pa.int64()), "n": n, "sig": sigs})
+
+    def linked(a, b):
+        return a != b and len(np.intersect1d(sets[a], sets[b])) >= threshold.overlap(len(sets[a]), len(sets[b]))
+
+    queries, members = list(range(0, len(sets), 2)), list(range(len(sets)))
+    left = near_join._sift(threshold)(side(queries), side(members)).to_pylist()
+    asks, held = ({r["c"] for r in left if r["asks"] == k} for k in (True, False))
+    assert asks >= {a for a in queries if any(linked(a, b) for b in members)}
+    assert held >= {b for b in members if any(linked(a, b) for a in queries)}
+    pairs = [(a, b) for a in queries for b in members]
+    of_a, of_b = side([a for a, _ in pairs]), side([b for _, b in pairs])
+    met = pa.table({"c": of_a["c"], "g": of_b["c"], "n": of_a["n"], "m": of_b["n"], "sig": of_a["sig"], "of_g": of_b["sig"]})
+    close = {(r["c"], r["g"]) for b in near_join._close(threshold)(iter(met.to_batches())) for r in b.to_pylist()}
+    assert close >= {p for p in pairs if linked(*p)}
+    if num > 2:  # and sets that have nothing in common go
+        apart = near_join._sift(threshold)(side([4]), side([5, 6, 3]))
+        assert apart.num_rows == 0 and not close & {(4, 5), (4, 6)}
+
+
+def test_groups_are_not_opened_for_texts_that_share_a_shingle(spark, monkeypatch):
+    """Texts of many sizes that have shingles in common, but too few of them: no shingle of theirs is sent."""
+    opened, open_groups = [], near_join._opened
+    monkeypatch.setattr(near_join, "_opened", lambda pairs, *rest: opened.append(pairs.count()) or open_groups(pairs, *rest))
+    monkeypatch.setattr(near_join, "ROUND_TOKENS", 50)
+    rng = random.Random(8)
+    shared = [" ".join(rng.choice("abcdefgh") * 4 + str(rng.randrange(300)) for _ in range(5)) for _ in range(12)]
+    texts = [" ".join([*rng.sample(shared, 3), *(f"w{i}x{k}" for k in range(75 + i % 4))]) for i in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[7] + " end", texts[9]])]
+    got = near_join.join(table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(60)} | {60: 7, 61: 9}
+    assert sum(opened) <= 2
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in str(manager.getAllFiles().mkString(" ")).split() if "/shuffle_" in f}
+
+    scratch, before = Scratch(spark, "test"), files()
+    rows = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    table = scratch.write(rows.filter("k < 4"), rows.filter("k >= 4"))
+    assert sorted(map(tuple, table.collect())) == [(k, 100) for k in range(10)]
+    assert not files() - before
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(200, i) for i in range(201, 260)]
